@@ -5,6 +5,9 @@ outputs, explode them, mint ids, move the cursor and resolve the destination.
 Hops are chained in a single plan without any shuffle, and each row carries the
 trace of its hops, so that terminal rows and the hop log come out of the same
 single evaluation.
+
+The frame's own rules are SQL texts, one parsed expression each, which keeps
+planning a long route cheap. Handlers are given as columns.
 """
 
 from __future__ import annotations
@@ -13,52 +16,63 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waybill.functions.checks import frame_reason, route_of, text_map, typed_reason
-from waybill.functions.payload import byte_size, part
-from waybill.functions.route import (
-    advance,
-    current_actor,
-    destination,
-    fanout_id,
-    fanout_parent,
-    last_actor,
-    visit_guard,
-)
+from waybill.functions.payload import part
+from waybill.functions.route import advance
 from waybill.operators.actors import ENVELOPE, PAYLOAD, Actor, Registry, python_call
-from waybill.schema import DETAILS, ERROR_END, FAILURE, HAPPY_END, ROUTE, STRING_MAP, TRACE_ENTRY
+from waybill.schema import DETAILS, ERROR_END, HAPPY_END, ROUTE, STRING_MAP, TRACE_ENTRY
 from waybill.session import cut_lineage
 from waybill.sources.wire import wire_struct
 
 FRAME = ("id", "parent_id", "route", "headers", "payload")
 RUN_STATE = ("dest", "failure", "trace")
 
+_ENDS = f"('{HAPPY_END}', '{ERROR_END}')"
+_ACTIVE = f"dest NOT IN {_ENDS}"
+_TRACE = f"array<{TRACE_ENTRY.simpleString()}>"
+_DETAILS = DETAILS.simpleString()
+
+
+def _quote(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _details(message: str, kind: str) -> str:
+    return (
+        f"named_struct('message', {message}, 'type', {_quote(kind)}, "
+        "'traceback', cast(null as string))"
+    )
 
-def _null(kind) -> Column:
-    return F.lit(None).cast(kind)
 
+def _failure(error: str, reason: str, details: str | None = None) -> str:
+    details = f"cast(null as {_DETAILS})" if details is None else details
+    return f"named_struct('error', {error}, 'reason', {reason}, 'details', {details})"
 
-def _failure(error, reason, details: Column | None = None) -> Column:
-    details = _null(DETAILS) if details is None else details
-    text = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return F.struct(
-        text(error).alias("error"), text(reason).alias("reason"), details.alias("details")
-    ).cast(FAILURE)
 
+def _processing_error(message: str, kind: str) -> str:
+    return _failure("'processing_error'", "'runtime_error'", _details(message, kind))
 
-def _details(message: Column, kind) -> Column:
-    return F.struct(
-        message.alias("message"),
-        F.lit(kind).alias("type"),
-        F.lit(None).cast("string").alias("traceback"),
-    ).cast(DETAILS)
 
+def _entry(**values: str) -> str:
+    cells = (
+        f"'{f.name}', cast({values.get(f.name, 'null')} as {f.dataType.simpleString()})"
+        for f in TRACE_ENTRY.fields
+    )
+    return f"named_struct({', '.join(cells)})"
 
-def _trace_entry(**values) -> Column:
-    cells = []
-    for f in TRACE_ENTRY.fields:
-        value = values.get(f.name)
-        value = value if isinstance(value, Column) else F.lit(value)
-        cells.append(value.cast(f.dataType).alias(f.name))
-    return F.struct(*cells)
+
+def _route(actors: str, current: str, metadata: str) -> str:
+    return (
+        f"cast(named_struct('actors', {actors}, 'current', {current}, 'metadata', {metadata}) "
+        f"as {ROUTE.simpleString()})"
+    )
+
+
+def _moved(route: str) -> str:
+    return _route(f"{route}.actors", f"{route}.current + 1", f"{route}.metadata")
+
+
+def _destination(route: str) -> str:
+    return f"coalesce(nullif(get({route}.actors, {route}.current), ''), '{HAPPY_END}')"
 
 
 def start(df: DataFrame) -> DataFrame:
@@ -66,60 +80,85 @@ def start(df: DataFrame) -> DataFrame:
 
     Rows of ``parse_envelopes`` keep the failure found while parsing.
     """
-    route = F.col("route")
-    parsed = "outcome" in df.columns and "reason" in df.columns
-    reason = typed_reason(F.col("id"), route)
-    if parsed:
-        reason = F.coalesce(F.col("reason"), reason)
     if "parent_id" not in df.columns:
-        df = df.withColumn("parent_id", _null("string"))
+        df = df.withColumn("parent_id", F.lit(None).cast("string"))
     if "headers" not in df.columns:
-        df = df.withColumn("headers", _null(STRING_MAP))
-    checked = df.withColumn("__reason", reason)
-    code = F.col("__reason")
+        df = df.withColumn("headers", F.lit(None).cast(STRING_MAP))
+    reason = typed_reason(F.col("id"), F.col("route"))
+    if "outcome" in df.columns and "reason" in df.columns:
+        reason = F.coalesce(F.col("reason"), reason)
+    extra = [c for c in df.columns if c not in (*FRAME, "outcome", "reason")]
     outcome = (
-        F.when(code == "invalid_json", "parse_error")
-        .when(code == "missing_id", "validation_error")
-        .when(code.isNotNull(), "runtime_error")
+        "CASE WHEN __code = 'invalid_json' THEN 'parse_error' "
+        "WHEN __code = 'missing_id' THEN 'validation_error' "
+        "WHEN __code IS NOT NULL THEN 'runtime_error' END"
     )
-    failure = F.when(
-        code.isNotNull(),
-        _failure(
-            F.when(outcome == "runtime_error", "msg_parsing_error").otherwise(outcome),
-            code,
-            F.when(outcome == "runtime_error", _details(code, "ValueError")),
-        ),
+    failure = _failure(
+        "CASE WHEN __outcome = 'runtime_error' THEN 'msg_parsing_error' ELSE __outcome END",
+        "__code",
+        f"CASE WHEN __outcome = 'runtime_error' THEN {_details('__code', 'ValueError')} END",
     )
-    actor = current_actor(route)
-    first = F.when(
-        code.isNotNull(),
-        F.array(
-            _trace_entry(
-                hop=0, id=F.col("id"), parent_id=F.col("parent_id"), actor=actor, outcome=outcome,
-                reason=code, message_type="error_end", dest=ERROR_END, pos=0, n_outputs=0,
-            )
-        ),
-    ).otherwise(F.array().cast(f"array<{TRACE_ENTRY.simpleString()}>"))
-    extra = [c for c in df.columns if c not in (*FRAME, "outcome", "reason")]
-    unrouted = F.struct(
-        F.array(F.lit(ERROR_END)).alias("actors"), F.lit(0).alias("current"),
-        F.lit(None).alias("metadata"),
-    ).cast(ROUTE)
-    return checked.select(
+    entry = _entry(
+        hop="0",
+        id="id",
+        parent_id="parent_id",
+        actor="get(route.actors, route.current)",
+        outcome="__outcome",
+        reason="__code",
+        message_type="'error_end'",
+        dest=f"'{ERROR_END}'",
+        pos="0",
+        n_outputs="0",
+    )
+    lost = _route(f"array('{ERROR_END}')", "0", "null")
+    own = _route("route.actors", "route.current", "route.metadata")
+    coded = df.withColumn("__code", reason).withColumn("__outcome", F.expr(outcome))
+    return coded.selectExpr(
         *extra,
         "id",
         "parent_id",
-        F.when(route.isNull() | route["actors"].isNull(), unrouted).otherwise(route).alias("route"),
+        f"CASE WHEN route.actors IS NULL THEN {lost} ELSE {own} END AS route",
         "headers",
         "payload",
-        F.when(code.isNotNull(), ERROR_END).otherwise(destination(route)).alias("dest"),
-        failure.alias("failure"),
-        first.alias("trace"),
+        f"CASE WHEN __code IS NOT NULL THEN '{ERROR_END}' ELSE {_destination('route')} END AS dest",
+        f"CASE WHEN __code IS NOT NULL THEN {failure} END AS failure",
+        f"CASE WHEN __code IS NOT NULL THEN array({entry}) ELSE cast(array() AS {_TRACE}) END "
+        "AS trace",
+    )
+
+
+def _dispatch(
+    df: DataFrame, registry: Registry, only: str | None, max_visits: int | None
+) -> DataFrame:
+    """Current actor of every active row, and the rows that must not be handled."""
+    refusals = []
+    if only is not None:
+        told = (
+            "format_string('Route mismatch: expected \\'%s\\', got \\'%s\\'', "
+            f"{_quote(only)}, __at)"
+        )
+        refusals.append((f"__at <> {_quote(only)}", _failure(told, "'route_mismatch'")))
+    if max_visits is not None:
+        seen = "filter(slice(route.actors, 1, greatest(route.current + 1, 0)), a -> a = __at)"
+        told = f"concat(__at, ' visited more than {max_visits} times')"
+        refusals.append((f"size({seen}) > {max_visits}", _processing_error(told, "ValueError")))
+    names = ", ".join(_quote(n) for n in registry.actors)
+    unknown = f"__at NOT IN ({names})" if names else "__at IS NOT NULL"
+    told = "concat('no handler for actor ', __at)"
+    refusals.append((unknown, _processing_error(told, "LookupError")))
+    cases = " ".join(f"WHEN {test} THEN {value}" for test, value in refusals)
+    return (
+        df.selectExpr(
+            "*",
+            f"CASE WHEN {_ACTIVE} THEN coalesce(get(route.actors, route.current), '') END AS __at",
+        )
+        .selectExpr("*", f"CASE {cases} END AS __refused")
+        .selectExpr("*", "CASE WHEN __refused IS NULL THEN __at END AS __actor")
     )
 
 
 def _pick(actors: list[Actor], value) -> Column:
-    """One value per column actor, chosen by the current actor."""
+    """One value per actor, chosen by the current actor."""
     chain = None
     for a in actors:
         test = F.col("__actor") == a.name
@@ -127,78 +166,55 @@ def _pick(actors: list[Actor], value) -> Column:
     return chain
 
 
-def _out(payload: Column, route: Column, headers: Column, kind: str) -> Column:
-    return F.struct(
-        payload.cast(kind).alias("payload") if kind != "string" else payload.alias("payload"),
-        route.cast(ROUTE).alias("route"),
-        headers.cast(STRING_MAP).alias("headers"),
-    )
-
-
-def _column_outputs(actors: list[Actor], kind: str) -> Column:
-    payload, route, headers = F.col("payload"), F.col("route"), F.col("headers")
-
-    def one(actor: Actor, value: Column) -> Column:
-        moved = advance(actor.reroute(value, route) if actor.reroute else route)
-        return _out(value, moved, headers, kind)
-
-    def outputs(actor: Actor) -> Column:
-        value = actor.call(payload)
-        if actor.many:
-            return F.transform(value, lambda v: one(actor, v))
-        return F.when(value.isNotNull(), F.array(one(actor, value)))
-
-    return _pick(actors, outputs)
-
-
 def _from_text(text: Column, kind: str) -> Column:
     return text if kind == "string" else F.from_json(text, kind)
 
 
 def _python_outputs(df: DataFrame, registry: Registry, kind: str) -> DataFrame:
-    """Call Python actors; adds ``__call``, ``__py_outs`` and ``__py_reason``."""
-    route, headers, payload = F.col("route"), F.col("headers"), F.col("payload")
+    """Call Python actors; adds ``__call``, ``__bad`` and the outputs ``__outs``."""
     plain, whole = registry.names(PAYLOAD), registry.names(ENVELOPE)
+    payload, actor = F.col("payload"), F.col("__actor")
     as_text = payload if kind == "string" else F.to_json(payload)
-    body = F.when(F.col("__actor").isin(*plain), as_text) if plain else None
+    body = F.when(actor.isin(*plain), as_text) if plain else None
     if whole:
         text = F.to_json(wire_struct(df))
-        test = F.col("__actor").isin(*whole)
+        test = actor.isin(*whole)
         body = F.when(test, text) if body is None else body.when(test, text)
-    called = df.withColumn("__call", python_call(registry)(F.col("__actor"), body))
+    called = df.withColumn("__call", python_call(registry)(actor, body))
     outs = F.col("__call.outs")
-
-    plain_outs = F.transform(
-        outs, lambda t: _out(_from_text(t, kind), advance(route), headers, kind)
-    )
     if not whole:
-        return called.withColumn("__py_outs", plain_outs).withColumn("__py_reason", _null("string"))
+        if kind != "string":
+            outs = F.transform(outs, lambda t: _from_text(t, kind))
+        return called.select("*", F.lit(None).cast("string").alias("__bad"), outs.alias("__outs"))
+
+    # envelope actors own route and headers, so every output carries them
+    route, headers = F.col("route"), F.col("headers")
+
+    def frame(value: Column, to: Column, kept: Column) -> Column:
+        return F.struct(
+            value.alias("p"), to.cast(ROUTE).alias("r"), kept.cast(STRING_MAP).alias("h")
+        )
 
     def envelope_out(text: Column) -> Column:
         doc = F.try_parse_json(text)
         kept = F.coalesce(text_map(doc, "$.headers"), headers)
-        return _out(_from_text(F.to_json(part(doc, "$.payload")), kind), route_of(doc), kept, kind)
+        return frame(_from_text(F.to_json(part(doc, "$.payload")), kind), route_of(doc), kept)
 
-    is_whole = F.col("__actor").isin(*whole)
+    is_whole = actor.isin(*whole)
     reasons = F.transform(outs, lambda t: frame_reason(F.try_parse_json(t), before=route))
     found = called.withColumn("__reasons", F.when(is_whole, reasons))
-    position = F.array_position(
-        F.transform("__reasons", lambda r: r.isNotNull().cast("int")), 1
-    ).cast("int")
-    bad = F.when(
-        F.exists("__reasons", lambda r: r.isNotNull()),
-        F.format_string(
-            "Invalid output envelope[%d/%d]: %s",
-            position - 1,
-            F.size("__reasons"),
-            F.get("__reasons", position - 1),
-        ),
+    bad = F.expr(
+        "CASE WHEN exists(__reasons, r -> r IS NOT NULL) THEN format_string("
+        "'Invalid output envelope[%d/%d]: %s', "
+        "cast(array_position(transform(__reasons, r -> r IS NOT NULL), true) as int) - 1, "
+        "size(__reasons), filter(__reasons, r -> r IS NOT NULL)[0]) END"
+    )
+    flagged = found.withColumn("__bad", bad)
+    plain_out = lambda t: frame(_from_text(t, kind), advance(route), headers)
+    chosen = F.when(~is_whole, F.transform(outs, plain_out)).when(
+        F.col("__bad").isNull(), F.transform(outs, envelope_out)
     )
-    flagged = found.withColumn("__py_reason", bad)
-    chosen = F.when(
-        is_whole & F.col("__py_reason").isNull(), F.transform(outs, envelope_out)
-    ).when(~is_whole, plain_outs)
-    return flagged.withColumn("__py_outs", chosen).drop("__reasons")
+    return flagged.withColumn("__outs", chosen).drop("__reasons")
 
 
 def hop(
@@ -216,159 +232,140 @@ def hop(
     elsewhere become ``route_mismatch`` errors.
     """
     kind = dict(df.dtypes)["payload"]
-    route = F.col("route")
-    active = ~F.col("dest").isin(HAPPY_END, ERROR_END)
-    state = df.withColumn("__active", active).withColumn(
-        "__actor", F.when(F.col("__active"), current_actor(route))
-    )
-    on, actor = F.col("__active"), F.col("__actor")
-
-    refused = F.when(F.lit(False), _null(FAILURE))
-    if only is not None:
-        refused = refused.when(
-            on & (actor != only),
-            _failure(
-                F.format_string("Route mismatch: expected '%s', got '%s'", F.lit(only), actor),
-                "route_mismatch",
-            ),
-        )
-    if max_visits is not None:
-        refused = refused.when(
-            on & visit_guard(route, max_visits),
-            _failure(
-                "processing_error", "runtime_error",
-                _details(F.concat(actor, F.lit(f" visited more than {max_visits} times")),
-                         "ValueError"),
-            ),
-        )
-    known = list(registry.actors)
-    refused = refused.when(
-        on & ~actor.isin(*known),
-        _failure("processing_error", "runtime_error",
-                 _details(F.concat(F.lit("no handler for actor "), actor), "LookupError")),
-    )
-    state = state.withColumn("__refused", refused)
-    state = state.withColumn("__actor", F.when(F.col("__refused").isNull(), actor))
-
-    natives = registry.columns()
-    failure = F.col("__refused")
-    outs = _null(f"array<struct<payload:{kind},route:{ROUTE.simpleString()},"
-                 f"headers:{STRING_MAP.simpleString()}>>")
-    timing = {"started_at": None, "duration_s": None}
-    if registry.has_python():
+    extra = [c for c in df.columns if c not in (*FRAME, *RUN_STATE)]
+    natives, python = registry.columns(), registry.has_python()
+    whole = bool(registry.names(ENVELOPE))
+    singles, lists = [a for a in natives if not a.many], [a for a in natives if a.many]
+    failing, rerouting = [a for a in natives if a.fails], [a for a in natives if a.reroute]
+
+    state = _dispatch(df, registry, only, max_visits)
+    failures, timing = ["__refused"], {}
+    if python:
         state = _python_outputs(state, registry, kind)
-        outs = F.col("__py_outs")
-        call = F.col("__call")
-        failure = F.coalesce(
-            failure,
-            F.when(
-                call["error"].isNotNull(),
-                _failure(call["error"], "runtime_error", call["details"]),
-            ),
-            F.when(
-                F.col("__py_reason").isNotNull(),
-                _failure("processing_error", "runtime_error",
-                         _details(F.col("__py_reason"), "ValueError")),
-            ),
+        called = _failure("__call.error", "'runtime_error'", "__call.details")
+        failures += [
+            f"CASE WHEN __call.error IS NOT NULL THEN {called} END",
+            f"CASE WHEN __bad IS NOT NULL THEN {_processing_error('__bad', 'ValueError')} END",
+        ]
+        timing = {"started_at": "__call.started_at", "duration_s": "__call.duration_s"}
+
+    payload, computed = F.col("payload"), []
+    if singles:
+        computed.append(_pick(singles, lambda a: a.call(payload)).cast(kind).alias("__one"))
+    if lists:
+        made = _pick(lists, lambda a: a.call(payload)).cast(f"array<{kind}>")
+        computed.append(made.alias("__many"))
+    if failing:
+        computed.append(_pick(failing, lambda a: a.fails(payload)).alias("__message"))
+        failures.append(
+            f"CASE WHEN __message IS NOT NULL THEN {_processing_error('__message', 'ValueError')} "
+            "END"
         )
-        timing = {"started_at": call["started_at"], "duration_s": call["duration_s"]}
-    if natives:
-        outs = F.coalesce(_column_outputs(natives, kind), outs)
-        failing = [a for a in natives if a.fails]
-        if failing:
-            message = _pick(failing, lambda a: a.fails(F.col("payload")))
-            state = state.withColumn("__message", message)
-            failure = F.coalesce(
-                failure,
-                F.when(
-                    F.col("__message").isNotNull(),
-                    _failure("processing_error", "runtime_error",
-                             _details(F.col("__message"), "ValueError")),
-                ),
-            )
-    state = state.withColumn("__fail", failure)
-    state = state.withColumn("__outs", F.when(F.col("__fail").isNull(), outs))
-    state = state.withColumn("__n", F.coalesce(F.size("__outs"), F.lit(0)))
-
-    single = not registry.has_python() and not any(a.many for a in natives)
-    kept = [c for c in state.columns if c != "__outs"]
-    if single:
-        state = state.withColumn("__out", F.get("__outs", F.lit(0))).withColumn("__pos", F.lit(0))
+    if computed:
+        state = state.select("*", *computed)
+    state = state.selectExpr("*", f"coalesce({', '.join(failures)}) AS __fail")
+
+    if python or lists:
+        pos, out = "coalesce(__pos, 0)", "__out"
+        state = _explode(state, bool(singles), bool(lists), python, whole)
     else:
-        state = state.select(*kept, F.posexplode_outer("__outs").alias("__pos", "__out"))
-    pos, n, out, fail = F.coalesce("__pos", F.lit(0)), F.col("__n"), F.col("__out"), F.col("__fail")
-
-    produced = on & fail.isNull() & (n > 0)
-    message_type = (
-        F.when(fail.isNotNull(), "error_end")
-        .when(n == 0, "happy_end")
-        .when(F.col("__dest") == HAPPY_END, "happy_end")
-        .otherwise("routing")
-    )
-    outcome = (
-        F.when(fail["reason"] == "route_mismatch", "route_mismatch")
-        .when(fail.isNotNull(), "runtime_error")
-        .when(n == 0, "empty_response")
-        .otherwise("success")
+        pos, out = "0", "__one"
+        state = state.selectExpr("*", "int(__fail IS NULL AND __one IS NOT NULL) AS __n")
+
+    to, headers = _moved("route"), "headers"
+    if whole:
+        to, headers, out = "__out.r", "__out.h", "__out.p"
+    if rerouting:
+        value, route = F.expr(out), F.col("route")
+        turned = _pick(rerouting, lambda a: a.reroute(value, route))
+        state = state.withColumn("__turned", turned)
+        to = f"CASE WHEN __turned IS NOT NULL THEN {_moved('__turned')} ELSE {to} END"
+    state = state.selectExpr("*", f"CASE WHEN __n > 0 THEN {to} ELSE route END AS __next")
+    state = state.selectExpr(
+        "*",
+        f"CASE WHEN __at IS NULL THEN dest WHEN __fail IS NOT NULL THEN '{ERROR_END}' "
+        f"WHEN __n = 0 THEN '{HAPPY_END}' ELSE {_destination('__next')} END AS __dest",
     )
-    timed_out = fail["error"].startswith("Runtime timeout")
     text = kind == "string"
-    entry = _trace_entry(
-        hop=number,
-        id=F.col("id"),
-        parent_id=F.col("parent_id"),
-        actor=current_actor(route),
-        outcome=outcome,
-        reason=fail["reason"],
-        error_type=F.when(timed_out, "execution_error").otherwise(fail["details"]["type"]),
-        message_type=message_type,
-        dest=F.col("__dest"),
+    entry = _entry(
+        hop=str(number),
+        id="id",
+        parent_id="parent_id",
+        actor="__at",
+        outcome="CASE WHEN __fail.reason = 'route_mismatch' THEN 'route_mismatch' "
+        "WHEN __fail IS NOT NULL THEN 'runtime_error' WHEN __n = 0 THEN 'empty_response' "
+        "ELSE 'success' END",
+        reason="__fail.reason",
+        error_type="CASE WHEN startswith(__fail.error, 'Runtime timeout') THEN 'execution_error' "
+        "ELSE __fail.details.type END",
+        message_type=f"CASE WHEN __dest = '{ERROR_END}' THEN 'error_end' "
+        f"WHEN __dest = '{HAPPY_END}' THEN 'happy_end' ELSE 'routing' END",
+        dest="__dest",
         pos=pos,
-        n_outputs=n,
-        size_in=byte_size(F.col("payload")) if text else None,
-        size_out=F.when(produced, byte_size(out["payload"])) if text else None,
+        n_outputs="__n",
+        size_in="octet_length(payload)" if text else "null",
+        size_out=f"CASE WHEN __n > 0 THEN octet_length({out}) END" if text else "null",
         **timing,
     )
-    state = state.withColumn(
-        "__dest",
-        F.when(~on, F.col("dest"))
-        .when(fail.isNotNull(), ERROR_END)
-        .when(n == 0, HAPPY_END)
-        .otherwise(destination(out["route"])),
-    )
-    # a child starts its own trace; the parent's earlier hops stay with output 0
-    past = F.when(pos == 0, F.col("trace")).otherwise(F.array().cast(state.schema["trace"].dataType))
-    extra = [c for c in df.columns if c not in (*FRAME, *RUN_STATE)]
-    return state.select(
+    ids, past = ["id", "parent_id"], "trace"
+    if pos != "0":
+        infix = f"-h{number}-" if on_collision == "hop" else "-"
+        ids = [
+            f"CASE WHEN __pos > 0 THEN concat(id, '{infix}', __pos) ELSE id END AS id",
+            "CASE WHEN __pos > 0 THEN id ELSE parent_id END AS parent_id",
+        ]
+        # a child starts its own trace; the parent's earlier hops stay with output 0
+        past = f"CASE WHEN __pos > 0 THEN cast(array() AS {_TRACE}) ELSE trace END"
+    return state.selectExpr(
         *extra,
-        F.when(on, fanout_id(F.col("id"), pos, n, number if on_collision == "hop" else None))
-        .otherwise(F.col("id"))
-        .alias("id"),
-        F.when(on, fanout_parent(F.col("id"), F.col("parent_id"), pos, n))
-        .otherwise(F.col("parent_id"))
-        .alias("parent_id"),
-        F.when(produced, out["route"]).otherwise(route).alias("route"),
-        F.when(produced, out["headers"]).otherwise(F.col("headers")).alias("headers"),
-        F.when(produced, out["payload"]).otherwise(F.col("payload")).alias("payload"),
-        F.col("__dest").alias("dest"),
-        F.coalesce("failure", fail).alias("failure"),
-        F.when(on, F.concat(past, F.array(entry))).otherwise(F.col("trace")).alias("trace"),
+        *ids,
+        "__next AS route",
+        "headers" if headers == "headers" else
+        f"CASE WHEN __n > 0 THEN {headers} ELSE headers END AS headers",
+        f"CASE WHEN __n > 0 THEN {out} ELSE payload END AS payload",
+        "__dest AS dest",
+        "coalesce(failure, __fail) AS failure",
+        f"CASE WHEN __at IS NOT NULL THEN concat({past}, array({entry})) ELSE trace END AS trace",
+    )
+
+
+def _explode(
+    state: DataFrame, singles: bool, lists: bool, python: bool, whole: bool
+) -> DataFrame:
+    """One row per output (``__pos``, ``__out``); rows without outputs stay."""
+    wrap = "named_struct('p', {}, 'r', " + _moved("route") + ", 'h', headers)" if whole else "{}"
+    options = []
+    if singles:
+        options.append(f"CASE WHEN __one IS NOT NULL THEN array({wrap.format('__one')}) END")
+    if lists:
+        options.append(f"transform(__many, x -> {wrap.format('x')})" if whole else "__many")
+    if python:
+        options.append("__outs")
+    made = [c for c in state.columns if c not in ("__one", "__many", "__outs", "__bad")]
+    listed = state.selectExpr(
+        *made, f"CASE WHEN __fail IS NULL THEN coalesce({', '.join(options)}) END AS __list"
+    )
+    return listed.selectExpr(
+        *made,
+        "greatest(coalesce(size(__list), 0), 0) AS __n",
+        "posexplode_outer(__list) AS (__pos, __out)",
     )
 
 
 def _overrun(df: DataFrame, max_hops: int) -> DataFrame:
     """Rows still active after the hop limit become error rows."""
-    active = ~F.col("dest").isin(HAPPY_END, ERROR_END)
-    failure = _failure("max_hops exceeded", "runtime_error",
-                       _details(F.lit(f"still active after {max_hops} hops"), "OverflowError"))
-    return df.withColumn("failure", F.when(active, failure).otherwise(F.col("failure"))).withColumn(
-        "dest", F.when(active, ERROR_END).otherwise(F.col("dest"))
+    told = _details(_quote(f"still active after {max_hops} hops"), "OverflowError")
+    failure = _failure("'max_hops exceeded'", "'runtime_error'", told)
+    return df.selectExpr(
+        *[c for c in df.columns if c not in ("failure", "dest")],
+        f"CASE WHEN {_ACTIVE} THEN {failure} ELSE failure END AS failure",
+        f"CASE WHEN {_ACTIVE} THEN '{ERROR_END}' ELSE dest END AS dest",
     )
 
 
-def step(df: DataFrame, registry: Registry, actor: str, **options) -> DataFrame:
+def step(df: DataFrame, registry: Registry, actor: str, number: int = 1, **options) -> DataFrame:
     """One hop of one actor over the rows of its queue; rows go on, not to an end."""
-    return hop(start(df), registry, options.pop("number", 1), only=actor, **options)
+    return hop(start(df), registry, number, only=actor, **options)
 
 
 def run(
@@ -391,15 +388,13 @@ def run(
     long or growing routes; finished rows are then not carried along.
     """
     state = start(df)
-    options = {"on_collision": on_collision, "max_visits": max_visits}
-    active = ~F.col("dest").isin(HAPPY_END, ERROR_END)
     done: list[DataFrame] = []
     for number in range(1, max_hops + 1):
-        state = hop(state, registry, number, **options)
+        state = hop(state, registry, number, on_collision=on_collision, max_visits=max_visits)
         if unroll and number % unroll == 0 and number < max_hops:
             state = cut_lineage(state)
-            done.append(state.filter(~active))
-            state = state.filter(active)
+            done.append(state.filter(f"NOT ({_ACTIVE})"))
+            state = state.filter(_ACTIVE)
             if state.isEmpty():
                 break
     state = _overrun(state, max_hops)
@@ -410,16 +405,17 @@ def run(
 
 def finish(state: DataFrame) -> DataFrame:
     """Terminal rows: no routing and no cursor change, whatever the route says."""
-    failed = F.col("dest") == ERROR_END
     extra = [c for c in state.columns if c not in (*FRAME, *RUN_STATE)]
-    return state.select(
+    at = "get(route.actors, route.current)"
+    return state.selectExpr(
         *extra,
         *FRAME,
-        F.col("dest").alias("terminal"),
-        F.col("failure.error").alias("error"),
-        F.col("failure.details").alias("details"),
-        F.col("failure.reason").alias("reason"),
-        last_actor(F.col("route"), failed).alias("last_actor"),
+        "dest AS terminal",
+        "failure.error AS error",
+        "failure.details AS details",
+        "failure.reason AS reason",
+        f"coalesce(CASE WHEN dest = '{ERROR_END}' OR route.current > 0 "
+        f"THEN nullif({at}, '') END, try_element_at(route.actors, -1), 'unknown') AS last_actor",
         "trace",
     )
 

@@ -99,18 +99,18 @@ def size_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("inflight_depth", f"""WITH {HOP_SQL}, moves AS (
-  SELECT queue, enqueued_at AS at FROM hop UNION ALL SELECT queue, started_at FROM hop
+  SELECT queue, enqueued_at AS t FROM hop UNION ALL SELECT queue, started_at FROM hop
   UNION ALL SELECT queue, ended_at FROM hop
 ), span AS (
-  SELECT queue, ceil(epoch_us(min(at)) / 3600e6)::BIGINT AS lo,
-         ceil(epoch_us(max(at)) / 3600e6)::BIGINT AS hi FROM moves GROUP BY ALL
+  SELECT queue, ceil(epoch_us(min(t)) / 3600e6)::BIGINT AS lo,
+         ceil(epoch_us(max(t)) / 3600e6)::BIGINT AS hi FROM moves GROUP BY ALL
 ), grid AS (
-  SELECT queue, to_timestamp(h * 3600)::TIMESTAMP AS at
+  SELECT queue, to_timestamp(h * 3600)::TIMESTAMP AS t
   FROM span CROSS JOIN LATERAL (SELECT unnest(generate_series(lo, hi)) AS h)
 )
-SELECT grid.queue, grid.at,
-       count(*) FILTER (enqueued_at <= at AND started_at > at) AS queued,
-       count(*) FILTER (started_at <= at AND ended_at > at) AS processing
+SELECT grid.queue, grid.t AS "at",
+       count(*) FILTER (enqueued_at <= t AND started_at > t) AS queued,
+       count(*) FILTER (started_at <= t AND ended_at > t) AS processing
 FROM grid JOIN hop ON hop.queue = grid.queue GROUP BY ALL""")
 def inflight_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Waiting and in-flight rows per queue, every hour."""
@@ -127,11 +127,11 @@ def active_now(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("capacity", f"""WITH {HOP_SQL}, depth AS (
   SELECT queue, count(*) FILTER (enqueued_at <= t AND started_at > t) AS queued,
-         count(*) FILTER (started_at <= t AND ended_at > t) AS processing, t AS at
+         count(*) FILTER (started_at <= t AND ended_at > t) AS processing, t
   FROM hop, (SELECT unnest(generate_series(TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-11',
              INTERVAL 1 HOUR)) AS t) GROUP BY ALL
 )
-SELECT queue, at, queued, processing,
+SELECT queue, t AS "at", queued, processing,
        least(greatest(ceil((queued + processing) / 5.0)::BIGINT, 1), 8)::BIGINT AS workers
 FROM depth""")
 def capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,8 +267,8 @@ ALERT_LIMITS = M.Thresholds(error_ratio=0.1, error_for=180, depth=2, depth_for=3
   SELECT queue, epoch(time_bucket(INTERVAL 5 MINUTE, started_at))::BIGINT AS start,
          quantile_cont(duration_s, 0.95) AS p95 FROM hop WHERE pos = 0 GROUP BY ALL
 ), lim AS (
-  SELECT queue, min(at) AS lo, max(at) AS hi FROM (
-    SELECT queue, ceil(epoch_us(enqueued_at) / 60e6)::BIGINT AS at FROM hop
+  SELECT queue, min(t) AS lo, max(t) AS hi FROM (
+    SELECT queue, ceil(epoch_us(enqueued_at) / 60e6)::BIGINT AS t FROM hop
     UNION ALL SELECT queue, ceil(epoch_us(ended_at) / 60e6)::BIGINT FROM hop) GROUP BY ALL
 ), ticks AS (
   SELECT queue, unnest(generate_series(lo, hi)) AS m FROM lim
@@ -289,7 +289,7 @@ ALERT_LIMITS = M.Thresholds(error_ratio=0.1, error_for=180, depth=2, depth_for=3
   UNION ALL SELECT 'slow_processing', queue, start, p95 FROM slow WHERE p95 > 3
   UNION ALL SELECT 'queue_depth', queue, start, queued::DOUBLE FROM deep WHERE hits >= 5
 )
-SELECT alert, queue, to_timestamp(start)::TIMESTAMP AS at, round(value, 6) AS value FROM found""")
+SELECT alert, queue, to_timestamp(start)::TIMESTAMP AS "at", round(value, 6) AS value FROM found""")
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threshold alerts on error ratio, runtime errors, P95 and queue depth."""
     rows = hops(spark, sf_dir)

@@ -68,18 +68,18 @@ def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("time_in_state", f"""WITH {UPD_SQL}
 SELECT envelope_id, seq, status,
-       round(epoch_us(lead(ts) OVER (PARTITION BY envelope_id ORDER BY seq)) / 1e6
-             - epoch_us(ts) / 1e6, 3) AS seconds
+       (epoch_us(lead(ts) OVER (PARTITION BY envelope_id ORDER BY seq)) - epoch_us(ts))
+         / 1e6::DOUBLE AS seconds
 FROM upd""")
 def time_in_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seconds until the next update of the same envelope."""
     return S.time_in_state(updates(spark, sf_dir)).select(
-        "envelope_id", "seq", "status", F.round("seconds", 3).alias("seconds")
+        "envelope_id", "seq", "status", "seconds"
     )
 
 
 @query("actor_latency", f"""WITH {UPD_SQL}
-SELECT *, round((epoch_us(completed_at) - epoch_us(received_at)) / 1e6, 3) AS seconds FROM (
+SELECT *, (epoch_us(completed_at) - epoch_us(received_at)) / 1e6::DOUBLE AS seconds FROM (
   SELECT envelope_id, idx AS current_actor_idx, min(ts) FILTER (state = 'received') AS received_at,
          max(ts) FILTER (state = 'completed') AS completed_at FROM upd GROUP BY ALL)""")
 def actor_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ def actor_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = S.actor_latency(updates(spark, sf_dir))
     return out.select(
         "envelope_id", "current_actor_idx", utc("received_at").alias("received_at"),
-        utc("completed_at").alias("completed_at"), F.round("seconds", 3).alias("seconds"),
+        utc("completed_at").alias("completed_at"), "seconds",
     )
 
 
