@@ -19,7 +19,9 @@ def object_key(prefix: str, ts: Column, actor: Column, id_: Column) -> Column:
 
 
 def size_kb_message(size: Column) -> Column:
-    return F.format_string("Received message (%.2f KB)", size / F.lit(1024.0))
+    # ties go to the even digit
+    kb = F.bround(size / F.lit(1024.0), 2)
+    return F.format_string("Received message (%.2f KB)", kb)
 
 
 def duration_message(ms: Column) -> Column:

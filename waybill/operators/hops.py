@@ -170,8 +170,30 @@ def _from_text(text: Column, kind: str) -> Column:
     return text if kind == "string" else F.from_json(text, kind)
 
 
-def _python_outputs(df: DataFrame, registry: Registry, kind: str) -> DataFrame:
+class Handlers:
+    """Handler expressions of a registry, built once and shared by all hops."""
+
+    def __init__(self, registry: Registry, kind: str) -> None:
+        payload, route = F.col("payload"), F.col("route")
+        natives = registry.columns()
+        singles, lists = [a for a in natives if not a.many], [a for a in natives if a.many]
+        failing, rerouting = [a for a in natives if a.fails], [a for a in natives if a.reroute]
+        self.registry, self.kind = registry, kind
+        self.one = _pick(singles, lambda a: a.call(payload))
+        self.many = _pick(lists, lambda a: a.call(payload))
+        self.message = _pick(failing, lambda a: a.fails(payload))
+        self.turned = _pick(rerouting, lambda a: a.reroute(F.col("__value"), route))
+        if self.one is not None:
+            self.one = self.one.cast(kind).alias("__one")
+        if self.many is not None:
+            self.many = self.many.cast(f"array<{kind}>").alias("__many")
+        self.python = python_call(registry) if registry.has_python() else None
+        self.whole = bool(registry.names(ENVELOPE))
+
+
+def _python_outputs(df: DataFrame, handlers: Handlers) -> DataFrame:
     """Call Python actors; adds ``__call``, ``__bad`` and the outputs ``__outs``."""
+    registry, kind = handlers.registry, handlers.kind
     plain, whole = registry.names(PAYLOAD), registry.names(ENVELOPE)
     payload, actor = F.col("payload"), F.col("__actor")
     as_text = payload if kind == "string" else F.to_json(payload)
@@ -180,7 +202,7 @@ def _python_outputs(df: DataFrame, registry: Registry, kind: str) -> DataFrame:
         text = F.to_json(wire_struct(df))
         test = actor.isin(*whole)
         body = F.when(test, text) if body is None else body.when(test, text)
-    called = df.withColumn("__call", python_call(registry)(actor, body))
+    called = df.withColumn("__call", handlers.python(actor, body))
     outs = F.col("__call.outs")
     if not whole:
         if kind != "string":
@@ -225,6 +247,7 @@ def hop(
     only: str | None = None,
     on_collision: str = "keep",
     max_visits: int | None = None,
+    handlers: Handlers | None = None,
 ) -> DataFrame:
     """One hop for every row that is not terminal yet.
 
@@ -233,15 +256,13 @@ def hop(
     """
     kind = dict(df.dtypes)["payload"]
     extra = [c for c in df.columns if c not in (*FRAME, *RUN_STATE)]
-    natives, python = registry.columns(), registry.has_python()
-    whole = bool(registry.names(ENVELOPE))
-    singles, lists = [a for a in natives if not a.many], [a for a in natives if a.many]
-    failing, rerouting = [a for a in natives if a.fails], [a for a in natives if a.reroute]
+    handlers = Handlers(registry, kind) if handlers is None else handlers
+    python, whole = handlers.python is not None, handlers.whole
 
     state = _dispatch(df, registry, only, max_visits)
     failures, timing = ["__refused"], {}
     if python:
-        state = _python_outputs(state, registry, kind)
+        state = _python_outputs(state, handlers)
         called = _failure("__call.error", "'runtime_error'", "__call.details")
         failures += [
             f"CASE WHEN __call.error IS NOT NULL THEN {called} END",
@@ -249,14 +270,9 @@ def hop(
         ]
         timing = {"started_at": "__call.started_at", "duration_s": "__call.duration_s"}
 
-    payload, computed = F.col("payload"), []
-    if singles:
-        computed.append(_pick(singles, lambda a: a.call(payload)).cast(kind).alias("__one"))
-    if lists:
-        made = _pick(lists, lambda a: a.call(payload)).cast(f"array<{kind}>")
-        computed.append(made.alias("__many"))
-    if failing:
-        computed.append(_pick(failing, lambda a: a.fails(payload)).alias("__message"))
+    computed = [c for c in (handlers.one, handlers.many) if c is not None]
+    if handlers.message is not None:
+        computed.append(handlers.message.alias("__message"))
         failures.append(
             f"CASE WHEN __message IS NOT NULL THEN {_processing_error('__message', 'ValueError')} "
             "END"
@@ -265,9 +281,9 @@ def hop(
         state = state.select("*", *computed)
     state = state.selectExpr("*", f"coalesce({', '.join(failures)}) AS __fail")
 
-    if python or lists:
+    if python or handlers.many is not None:
         pos, out = "coalesce(__pos, 0)", "__out"
-        state = _explode(state, bool(singles), bool(lists), python, whole)
+        state = _explode(state, handlers)
     else:
         pos, out = "0", "__one"
         state = state.selectExpr("*", "int(__fail IS NULL AND __one IS NOT NULL) AS __n")
@@ -275,10 +291,8 @@ def hop(
     to, headers = _moved("route"), "headers"
     if whole:
         to, headers, out = "__out.r", "__out.h", "__out.p"
-    if rerouting:
-        value, route = F.expr(out), F.col("route")
-        turned = _pick(rerouting, lambda a: a.reroute(value, route))
-        state = state.withColumn("__turned", turned)
+    if handlers.turned is not None:
+        state = state.selectExpr("*", f"{out} AS __value").withColumn("__turned", handlers.turned)
         to = f"CASE WHEN __turned IS NOT NULL THEN {_moved('__turned')} ELSE {to} END"
     state = state.selectExpr("*", f"CASE WHEN __n > 0 THEN {to} ELSE route END AS __next")
     state = state.selectExpr(
@@ -329,17 +343,16 @@ def hop(
     )
 
 
-def _explode(
-    state: DataFrame, singles: bool, lists: bool, python: bool, whole: bool
-) -> DataFrame:
+def _explode(state: DataFrame, handlers: Handlers) -> DataFrame:
     """One row per output (``__pos``, ``__out``); rows without outputs stay."""
+    whole = handlers.whole
     wrap = "named_struct('p', {}, 'r', " + _moved("route") + ", 'h', headers)" if whole else "{}"
     options = []
-    if singles:
+    if handlers.one is not None:
         options.append(f"CASE WHEN __one IS NOT NULL THEN array({wrap.format('__one')}) END")
-    if lists:
+    if handlers.many is not None:
         options.append(f"transform(__many, x -> {wrap.format('x')})" if whole else "__many")
-    if python:
+    if handlers.python is not None:
         options.append("__outs")
     made = [c for c in state.columns if c not in ("__one", "__many", "__outs", "__bad")]
     listed = state.selectExpr(
@@ -388,9 +401,11 @@ def run(
     long or growing routes; finished rows are then not carried along.
     """
     state = start(df)
+    handlers = Handlers(registry, dict(state.dtypes)["payload"])
+    options = {"on_collision": on_collision, "max_visits": max_visits, "handlers": handlers}
     done: list[DataFrame] = []
     for number in range(1, max_hops + 1):
-        state = hop(state, registry, number, on_collision=on_collision, max_visits=max_visits)
+        state = hop(state, registry, number, **options)
         if unroll and number % unroll == 0 and number < max_hops:
             state = cut_lineage(state)
             done.append(state.filter(f"NOT ({_ACTIVE})"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waybill.functions.payload import json_type
+from waybill.functions.payload import json_type, part
 from waybill.functions.route import make_route, merge_maps
 from waybill.functions.text import deadline
 
@@ -103,13 +103,22 @@ def argument_errors(arguments: Column, specs: Column) -> Column:
     )
 
 
-def nested_type_ok(value: Column, declared: str) -> Column:
-    """Strict check of a variant against a declared SQL type, nested parts included.
+def fits(value: Column, declared: dict) -> Column:
+    """Strict check of a variant against a declaration, nested parts included.
 
-    ``declared`` is a type such as ``struct<a:bigint,b:array<string>>``; a part
-    that cannot be read as its type makes the cast fail.
+    ``declared`` is ``{"type": ..., "properties": {name: declared},
+    "items": declared}``; absent properties are fine.
     """
-    return F.try_variant_get(value, "$", declared).isNotNull()
+    if declared["type"] not in PARAMETER_TYPES:
+        raise ValueError(f"invalid type {declared['type']!r}")
+    ok = type_matches(value, F.lit(declared["type"]))
+    for name, inner in declared.get("properties", {}).items():
+        piece = part(value, f"$.{name}")
+        ok = ok & (piece.isNull() | fits(piece, inner))
+    if "items" in declared:
+        items = F.try_variant_get(value, "$", "array<variant>")
+        ok = ok & F.forall(items, lambda v: fits(v, declared["items"]))
+    return F.coalesce(ok, F.lit(False))
 
 
 def fill_defaults(arguments: Column, specs: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waybill.functions.text import is_final
 from waybill.operators import delivery as D
@@ -58,7 +59,7 @@ def drain(df: DataFrame, spark: SparkSession, name: str, mode: str = "append") -
         .start()
         .awaitTermination()
     )
-    return spark.read.schema(df.schema.add("batch_id", "int")).parquet(path)
+    return spark.read.schema(df.schema.add("batch_id", T.IntegerType())).parquet(path)
 
 
 @query("stream_run", f"WITH {ROUTES_SQL} SELECT * FROM finished")
@@ -113,11 +114,19 @@ def creation_and_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("stream_status", f"""WITH {UPD_SQL}
-SELECT id, status, result, error, message, actors, progress_percent AS progress,
-       current_actor_idx, current_actor_name FROM fold""")
+@query("stream_status", f"""WITH {UPD_SQL}, closing AS (
+  SELECT fold.*, status = 'running' AND
+         CAST(substr(id, strpos(id, '-') + 1) AS DATE) + INTERVAL 2 DAY
+           < (SELECT max(ts) - INTERVAL 10 MINUTE FROM upd) AS expired FROM fold)
+SELECT id, CASE WHEN expired THEN 'failed' ELSE status END AS status, result,
+       CASE WHEN expired THEN 'envelope timed out' ELSE error END AS error, message, actors,
+       CASE WHEN expired THEN 100.0::DOUBLE ELSE progress_percent END AS progress,
+       current_actor_idx, current_actor_name FROM closing""")
 def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stateful fold: the newest version per envelope equals the batch fold."""
+    """Stateful fold: the newest version per envelope equals the batch fold.
+
+    Open envelopes are failed by their deadline timer once the watermark passes it.
+    """
     changes = drain(
         fold_status_stream(creation_and_updates(spark, sf_dir)), spark, "status", "update"
     )

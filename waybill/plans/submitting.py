@@ -28,6 +28,10 @@ AS params(tool, name, type, required, default, options)
 """
 TEMPLATES = "SELECT * FROM VALUES ('chat', array('read', 'draft', 'send')) AS t(name, actors)"
 
+DECLARED = {
+    "type": "object",
+    "properties": {"text": {"type": "string"}, "turn": {"type": "integer"}},
+}
 START = "2024-03-01 00:00:00"
 
 
@@ -117,10 +121,7 @@ def strict_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", "rejected",
         json_type(F.try_variant_get("doc", "$.turn", "variant")).alias("turn_type"),
         F.get_json_object("payload", "$.mode").alias("mode"),
-        (
-            (json_type(F.try_variant_get("doc", "$.text", "variant")) == "string")
-            & S.nested_type_ok(F.col("doc"), "struct<turn:bigint>")
-        ).alias("nested_ok"),
+        S.fits(F.col("doc"), DECLARED).alias("nested_ok"),
     )
 
 

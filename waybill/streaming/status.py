@@ -121,7 +121,7 @@ class StatusFold(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state = self._load()
         if state["status"] not in FINAL_STATUSES:
-            at = pd.Timestamp(expiredTimerInfo.get_expiry_time_in_ms(), unit="ms")
+            at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
             state |= {"status": "failed", "error": "envelope timed out", "updated_at": at,
                       "progress": 100.0, "version": state["version"] + 1}
             self._save(state)
