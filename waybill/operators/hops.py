@@ -147,13 +147,11 @@ def _dispatch(
     told = "concat('no handler for actor ', __at)"
     refusals.append((unknown, _processing_error(told, "LookupError")))
     cases = " ".join(f"WHEN {test} THEN {value}" for test, value in refusals)
-    return (
-        df.selectExpr(
-            "*",
-            f"CASE WHEN {_ACTIVE} THEN coalesce(get(route.actors, route.current), '') END AS __at",
-        )
-        .selectExpr("*", f"CASE {cases} END AS __refused")
-        .selectExpr("*", "CASE WHEN __refused IS NULL THEN __at END AS __actor")
+    return df.selectExpr(
+        "*",
+        f"CASE WHEN {_ACTIVE} THEN coalesce(get(route.actors, route.current), '') END AS __at",
+        f"CASE {cases} END AS __refused",
+        "CASE WHEN __refused IS NULL THEN __at END AS __actor",
     )
 
 
@@ -187,56 +185,58 @@ class Handlers:
             self.one = self.one.cast(kind).alias("__one")
         if self.many is not None:
             self.many = self.many.cast(f"array<{kind}>").alias("__many")
-        self.python = python_call(registry) if registry.has_python() else None
         self.whole = bool(registry.names(ENVELOPE))
-
-
-def _python_outputs(df: DataFrame, handlers: Handlers) -> DataFrame:
-    """Call Python actors; adds ``__call``, ``__bad`` and the outputs ``__outs``."""
-    registry, kind = handlers.registry, handlers.kind
-    plain, whole = registry.names(PAYLOAD), registry.names(ENVELOPE)
-    payload, actor = F.col("payload"), F.col("__actor")
-    as_text = payload if kind == "string" else F.to_json(payload)
-    body = F.when(actor.isin(*plain), as_text) if plain else None
-    if whole:
-        text = F.to_json(wire_struct(df))
-        test = actor.isin(*whole)
-        body = F.when(test, text) if body is None else body.when(test, text)
-    called = df.withColumn("__call", handlers.python(actor, body))
-    outs = F.col("__call.outs")
-    if not whole:
-        if kind != "string":
-            outs = F.transform(outs, lambda t: _from_text(t, kind))
-        return called.select("*", F.lit(None).cast("string").alias("__bad"), outs.alias("__outs"))
-
-    # envelope actors own route and headers, so every output carries them
-    route, headers = F.col("route"), F.col("headers")
-
-    def frame(value: Column, to: Column, kept: Column) -> Column:
-        return F.struct(
-            value.alias("p"), to.cast(ROUTE).alias("r"), kept.cast(STRING_MAP).alias("h")
+        self.python = python_call(registry) if registry.has_python() else None
+        if self.python is not None:
+            self._python(F.col("__call.outs"))
+
+    def body(self, state: DataFrame) -> Column:
+        """What a Python actor is given: its payload, or its whole envelope."""
+        plain, whole = self.registry.names(PAYLOAD), self.registry.names(ENVELOPE)
+        payload, actor = F.col("payload"), F.col("__actor")
+        text = payload if self.kind == "string" else F.to_json(payload)
+        if not whole:
+            return F.when(actor.isin(*plain), text)
+        body = F.when(actor.isin(*whole), F.to_json(wire_struct(state)))
+        return body.when(actor.isin(*plain), text) if plain else body
+
+    def _python(self, outs: Column) -> None:
+        """Output columns of Python actors; ``__bad`` names a broken envelope output."""
+        kind = self.kind
+        if not self.whole:
+            if kind != "string":
+                outs = F.transform(outs, lambda t: _from_text(t, kind))
+            self.outs = [F.lit(None).cast("string").alias("__bad"), outs.alias("__outs")]
+            return
+
+        # envelope actors own route and headers, so every output carries them
+        route, headers, docs = F.col("route"), F.col("headers"), F.col("__docs")
+        is_whole = F.col("__actor").isin(*self.registry.names(ENVELOPE))
+
+        def frame(value: Column, to: Column, kept: Column) -> Column:
+            return F.struct(
+                value.alias("p"), to.cast(ROUTE).alias("r"), kept.cast(STRING_MAP).alias("h")
+            )
+
+        def envelope_out(doc: Column) -> Column:
+            value = _from_text(F.to_json(part(doc, "$.payload")), kind)
+            return frame(value, route_of(doc), F.coalesce(text_map(doc, "$.headers"), headers))
+
+        plain_out = F.transform(outs, lambda t: frame(_from_text(t, kind), advance(route), headers))
+        bad = (
+            "CASE WHEN exists(__reasons, r -> r IS NOT NULL) THEN format_string("
+            "'Invalid output envelope[%d/%d]: %s', "
+            "cast(array_position(transform(__reasons, r -> r IS NOT NULL), true) as int) - 1, "
+            "size(__reasons), filter(__reasons, r -> r IS NOT NULL)[0]) END AS __bad"
         )
-
-    def envelope_out(text: Column) -> Column:
-        doc = F.try_parse_json(text)
-        kept = F.coalesce(text_map(doc, "$.headers"), headers)
-        return frame(_from_text(F.to_json(part(doc, "$.payload")), kind), route_of(doc), kept)
-
-    is_whole = actor.isin(*whole)
-    reasons = F.transform(outs, lambda t: frame_reason(F.try_parse_json(t), before=route))
-    found = called.withColumn("__reasons", F.when(is_whole, reasons))
-    bad = F.expr(
-        "CASE WHEN exists(__reasons, r -> r IS NOT NULL) THEN format_string("
-        "'Invalid output envelope[%d/%d]: %s', "
-        "cast(array_position(transform(__reasons, r -> r IS NOT NULL), true) as int) - 1, "
-        "size(__reasons), filter(__reasons, r -> r IS NOT NULL)[0]) END"
-    )
-    flagged = found.withColumn("__bad", bad)
-    plain_out = lambda t: frame(_from_text(t, kind), advance(route), headers)
-    chosen = F.when(~is_whole, F.transform(outs, plain_out)).when(
-        F.col("__bad").isNull(), F.transform(outs, envelope_out)
-    )
-    return flagged.withColumn("__outs", chosen).drop("__reasons")
+        self.outs = [
+            F.when(is_whole, F.transform(outs, F.try_parse_json)).alias("__docs"),
+            F.transform(docs, lambda d: frame_reason(d, before=route)).alias("__reasons"),
+            F.expr(bad),
+            F.when(~is_whole, plain_out)
+            .when(F.col("__bad").isNull(), F.transform(docs, envelope_out))
+            .alias("__outs"),
+        ]
 
 
 def hop(
@@ -262,7 +262,7 @@ def hop(
     state = _dispatch(df, registry, only, max_visits)
     failures, timing = ["__refused"], {}
     if python:
-        state = _python_outputs(state, handlers)
+        state = state.withColumn("__call", handlers.python(F.col("__actor"), handlers.body(state)))
         called = _failure("__call.error", "'runtime_error'", "__call.details")
         failures += [
             f"CASE WHEN __call.error IS NOT NULL THEN {called} END",
@@ -271,35 +271,39 @@ def hop(
         timing = {"started_at": "__call.started_at", "duration_s": "__call.duration_s"}
 
     computed = [c for c in (handlers.one, handlers.many) if c is not None]
+    if python:
+        computed += handlers.outs
     if handlers.message is not None:
         computed.append(handlers.message.alias("__message"))
         failures.append(
             f"CASE WHEN __message IS NOT NULL THEN {_processing_error('__message', 'ValueError')} "
             "END"
         )
-    if computed:
-        state = state.select("*", *computed)
-    state = state.selectExpr("*", f"coalesce({', '.join(failures)}) AS __fail")
+    computed.append(F.expr(f"coalesce({', '.join(failures)}) AS __fail"))
 
     if python or handlers.many is not None:
         pos, out = "coalesce(__pos, 0)", "__out"
-        state = _explode(state, handlers)
+        computed.append(F.expr(_outputs(handlers)))
+        state, after = _explode(state.select("*", *computed)), []
     else:
         pos, out = "0", "__one"
-        state = state.selectExpr("*", "int(__fail IS NULL AND __one IS NOT NULL) AS __n")
+        after = [*computed, F.expr("int(__fail IS NULL AND __one IS NOT NULL) AS __n")]
 
     to, headers = _moved("route"), "headers"
     if whole:
         to, headers, out = "__out.r", "__out.h", "__out.p"
     if handlers.turned is not None:
-        state = state.selectExpr("*", f"{out} AS __value").withColumn("__turned", handlers.turned)
+        after += [F.expr(f"{out} AS __value"), handlers.turned.alias("__turned")]
         to = f"CASE WHEN __turned IS NOT NULL THEN {_moved('__turned')} ELSE {to} END"
-    state = state.selectExpr("*", f"CASE WHEN __n > 0 THEN {to} ELSE route END AS __next")
-    state = state.selectExpr(
-        "*",
-        f"CASE WHEN __at IS NULL THEN dest WHEN __fail IS NOT NULL THEN '{ERROR_END}' "
-        f"WHEN __n = 0 THEN '{HAPPY_END}' ELSE {_destination('__next')} END AS __dest",
-    )
+    after += [
+        F.expr(f"CASE WHEN __n > 0 THEN {to} ELSE route END AS __next"),
+        F.expr(
+            f"CASE WHEN __at IS NULL THEN dest WHEN __fail IS NOT NULL THEN '{ERROR_END}' "
+            f"WHEN __n = 0 THEN '{HAPPY_END}' ELSE {_destination('__next')} END AS __dest"
+        ),
+    ]
+    # later columns of the list read earlier ones by name
+    state = state.select("*", *after)
     text = kind == "string"
     entry = _entry(
         hop=str(number),
@@ -343,8 +347,8 @@ def hop(
     )
 
 
-def _explode(state: DataFrame, handlers: Handlers) -> DataFrame:
-    """One row per output (``__pos``, ``__out``); rows without outputs stay."""
+def _outputs(handlers: Handlers) -> str:
+    """All outputs of a row as one list; null when it failed or has none."""
     whole = handlers.whole
     wrap = "named_struct('p', {}, 'r', " + _moved("route") + ", 'h', headers)" if whole else "{}"
     options = []
@@ -354,12 +358,14 @@ def _explode(state: DataFrame, handlers: Handlers) -> DataFrame:
         options.append(f"transform(__many, x -> {wrap.format('x')})" if whole else "__many")
     if handlers.python is not None:
         options.append("__outs")
-    made = [c for c in state.columns if c not in ("__one", "__many", "__outs", "__bad")]
-    listed = state.selectExpr(
-        *made, f"CASE WHEN __fail IS NULL THEN coalesce({', '.join(options)}) END AS __list"
-    )
-    return listed.selectExpr(
-        *made,
+    return f"CASE WHEN __fail IS NULL THEN coalesce({', '.join(options)}) END AS __list"
+
+
+def _explode(state: DataFrame) -> DataFrame:
+    """One row per output (``__pos``, ``__out``); rows without outputs stay."""
+    used = ("__one", "__many", "__outs", "__bad", "__docs", "__reasons", "__list")
+    return state.selectExpr(
+        *[c for c in state.columns if c not in used],
         "greatest(coalesce(size(__list), 0), 0) AS __n",
         "posexplode_outer(__list) AS (__pos, __out)",
     )

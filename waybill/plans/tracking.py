@@ -205,7 +205,7 @@ def fanned_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as parents, their lines as fan-out children numbered from 1."""
     lines = table(spark, sf_dir, "lineitem")
     # parts are spread over their key range, so a hot order is cut along l_partkey
-    chunk = F.floor(F.col("l_partkey") / 1024).cast("bigint")
+    chunk = F.floor(F.col("l_partkey") / 65536).cast("bigint")
     numbered = ordinal(lines, ["l_orderkey"], list(LINE_ORDER), chunk, "n")
     parent = F.concat(F.lit("o-"), F.col("l_orderkey"))
     children = numbered.select(
