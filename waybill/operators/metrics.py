@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from waybill.functions.text import metric_name
 from waybill.operators.scan import exact_quantile
+from waybill.schema import TRACE_ENTRY
 
 # Bucket bounds in seconds, and in bytes for sizes.
 DURATION_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 120.0)
@@ -32,6 +33,28 @@ FAILED = (
 )
 
 
+def from_run(done: DataFrame, transport: str = "table") -> DataFrame:
+    """Hop log of a run in the columns the reports read, terminal steps included.
+
+    Each terminal row adds the row its terminal step would log (``end_consumed``).
+    """
+    kinds = {f.name: f.dataType for f in TRACE_ENTRY.fields}
+    end = {"id": F.col("id"), "actor": F.col("terminal"), "outcome": F.lit("end_consumed"),
+           "pos": F.lit(0)}
+    entry = F.struct(
+        *[end.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in kinds.items()]
+    )
+    log = done.select(F.explode(F.concat("trace", F.array(entry))).alias("t")).select("t.*")
+    ended = F.timestamp_micros(
+        F.unix_micros("started_at") + F.round(F.col("duration_s") * 1e6).cast("bigint")
+    )
+    return (
+        log.withColumnRenamed("actor", "queue")
+        .withColumn("transport", F.lit(transport))
+        .withColumn("ended_at", ended)
+    )
+
+
 def _count(df: DataFrame, *by) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 

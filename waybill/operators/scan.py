@@ -133,41 +133,30 @@ def exact_quantile(
 ) -> DataFrame:
     """Exact interpolated quantile per group.
 
-    Equal values are counted on the map side, values are cut into narrow ranges,
-    and only the ranges that hold the wanted ranks are looked at row by row.
+    Values fall into narrow ranges that are counted on the map side. Only the one
+    or two ranges that hold the wanted ranks are looked at value by value, so the
+    rows themselves are never sorted and only those of the chosen ranges move.
     """
-    v = F.col(value).cast("double")
-    counts = (
-        df.filter(v.isNotNull())
-        .select(*by, v.alias("__v"))
-        .groupBy(*by, "__v")
-        .agg(F.count(F.lit(1)).alias("__n"))
-    )
     v = F.col("__v")
-    counts = counts.withColumn(
-        "__range", (F.signum(v) * F.floor(F.log1p(F.abs(v)) * 4096)).cast("bigint")
+    base = (
+        df.select(*by, F.col(value).cast("double").alias("__v"))
+        .filter(v.isNotNull())
+        .withColumn("__range", (F.signum(v) * F.floor(F.log1p(F.abs(v)) * 4096)).cast("bigint"))
     )
     group = Window.partitionBy(*by)
+    along = group.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranges = (
-        counts.groupBy(*by, "__range")
-        .agg(F.sum("__n").alias("__rows"))
-        .withColumn("__all", F.sum("__rows").over(group))
-        .withColumn(
-            "__upto",
-            F.sum("__rows").over(
-                group.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            ),
-        )
-        .withColumn("__pos", (F.col("__all") - 1) * F.lit(float(q)))
+        base.groupBy(*by, "__range")
+        .agg(F.count(F.lit(1)).alias("__rows"))
+        .withColumn("__pos", (F.sum("__rows").over(group) - 1) * F.lit(float(q)))
+        .withColumn("__start", F.sum("__rows").over(along) - F.col("__rows"))
         .withColumn("__lo", F.floor("__pos"))
         .withColumn("__hi", F.ceil("__pos"))
-        .withColumn("__start", F.col("__upto") - F.col("__rows"))
-        .filter((F.col("__upto") > F.col("__lo")) & (F.col("__start") <= F.col("__hi")))
+        .filter("__start + __rows > __lo AND __start <= __hi")
     )
     keys = [*by, "__range"]
-    renamed = ranges.select(
-        *[F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)], "__start", "__pos", "__lo", "__hi"
-    )
+    rank = ["__start", "__pos", "__lo", "__hi"]
+    wanted = ranges.select(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)], *rank)
     match = [F.col(k).eqNullSafe(F.col(f"__g{i}")) for i, k in enumerate(keys)]
     upto = (
         Window.partitionBy(*keys)
@@ -175,12 +164,13 @@ def exact_quantile(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     ranked = (
-        counts.join(renamed, match)
+        base.join(wanted, match)
+        .groupBy(*keys, "__v", *rank)
+        .agg(F.count(F.lit(1)).alias("__n"))
         .withColumn("__end", F.col("__start") + F.sum("__n").over(upto))
         .withColumn("__begin", F.col("__end") - F.col("__n"))
     )
-    holds = lambda rank: (F.col("__begin") <= rank) & (rank < F.col("__end"))
-    low = F.max(F.when(holds(F.col("__lo")), F.col("__v")))
-    high = F.max(F.when(holds(F.col("__hi")), F.col("__v")))
+    low = F.max(F.expr("CASE WHEN __begin <= __lo AND __lo < __end THEN __v END"))
+    high = F.max(F.expr("CASE WHEN __begin <= __hi AND __hi < __end THEN __v END"))
     share = F.max(F.col("__pos") - F.col("__lo"))
     return ranked.groupBy(*by).agg((low + (high - low) * share).alias(name))

@@ -20,7 +20,7 @@ from waybill.functions.text import (
 from waybill.operators.actors import Registry
 from waybill.operators.hops import hop_log, run, step, terminals
 from waybill.operators.lineage import fanout_width, id_collisions
-from waybill.operators.metrics import error_summary
+from waybill.operators.metrics import counters, error_summary, from_run
 from waybill.operators.terminal import final_message, final_report, terminal_result, to_error
 from waybill.plans.bindings import WORDS, docs, json_docs, names, table, typed_docs, utc
 from waybill.plans.registry import query
@@ -471,6 +471,28 @@ def error_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return error_summary(final_report(terminals(failing_run(spark, sf_dir))))
 
 
+@query("run_counters", f"""WITH {FAILING_SQL}, s AS (
+  SELECT 'prep' AS actor, CASE WHEN lang = 'de' THEN 'runtime_error' ELSE 'success' END AS outcome,
+         CASE WHEN lang = 'de' THEN 'error-end' ELSE 'tag' END AS dest,
+         CASE WHEN lang = 'de' THEN 'error_end' ELSE 'routing' END AS kind FROM f
+  UNION ALL
+  SELECT 'tag', CASE WHEN lang = 'fr' THEN 'runtime_error' ELSE 'success' END,
+         CASE WHEN lang = 'fr' THEN 'error-end' ELSE 'happy-end' END,
+         CASE WHEN lang = 'fr' THEN 'error_end' ELSE 'happy_end' END FROM f WHERE lang <> 'de'
+  UNION ALL
+  SELECT CASE WHEN failed THEN 'error-end' ELSE 'happy-end' END, 'end_consumed', NULL, NULL FROM f
+)
+SELECT 'received' AS metric, actor AS label, 'table' AS detail, count(*) AS n FROM s GROUP BY ALL
+UNION ALL SELECT 'processed', actor, outcome, count(*) FROM s WHERE outcome <> 'runtime_error'
+GROUP BY ALL
+UNION ALL SELECT 'failed', actor, outcome, count(*) FROM s WHERE outcome = 'runtime_error'
+GROUP BY ALL
+UNION ALL SELECT 'sent', dest, kind, count(*) FROM s WHERE kind IS NOT NULL GROUP BY ALL""")
+def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five counters over the hop log of an actual run."""
+    return counters(from_run(failing_run(spark, sf_dir)))
+
+
 @query("final_reports", f"""WITH {FAILING_SQL}
 SELECT id, CASE WHEN failed THEN 'failed' ELSE 'succeeded' END AS status,
        CASE WHEN NOT failed THEN 1.0::DOUBLE END AS progress,

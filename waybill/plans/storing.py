@@ -48,7 +48,7 @@ WHERE failed AND id LIKE 'doc-1%'""")
 def error_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored error envelopes looked up by terminal and id prefix."""
     base = scratch(spark, "errors")
-    write_terminal(failing_run(spark, sf_dir), base)
+    write_terminal(failing_run(spark, sf_dir), base, compact=True)
     rows = read_terminal(spark, base, prefix="doc-1", terminal="error-end")
     return rows.select(
         "id", "last_actor",
@@ -62,7 +62,7 @@ def state_tables_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Update log and snapshot written, read back and folded."""
     log, table = scratch(spark, "updates"), scratch(spark, "snapshot")
     upd = updates(spark, sf_dir)
-    append_updates(upd, log)
+    append_updates(upd, log, compact=True)
     stored = read_updates(spark, log).select(*upd.columns)
     write_snapshot(S.fold_status(tracked(stored), stored), table)
     return flat_fold(read_snapshot(spark, table))

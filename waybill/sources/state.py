@@ -4,17 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
-def append_updates(upd: DataFrame, path: str) -> None:
-    """Append updates, partitioned by day."""
-    upd.withColumn("date", F.to_date("ts")).write.mode("append").partitionBy("date").parquet(path)
+def append_updates(upd: DataFrame, path: str, *, compact: bool = False) -> None:
+    """Append updates, partitioned by day.
+
+    ``compact`` trades one shuffle for fewer and evenly sized files per day.
+    """
+    dated = upd.withColumn("date", F.to_date("ts"))
+    if compact:
+        dated = dated.hint("rebalance", "date")
+    dated.write.mode("append").partitionBy("date").parquet(path)
 
 
 def read_updates(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def stream_updates(
+    spark: SparkSession, path: str, schema: StructType, max_files: int = 64
+) -> DataFrame:
+    """The log as a stream. ``max_files`` bounds a micro-batch, and with it the
+    rows of one envelope that meet in a stateful task."""
+    return (
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", str(max_files)).parquet(path)
+    )
+
+
 def write_snapshot(snap: DataFrame, path: str, by: str | None = None) -> None:
     """Write current state; with ``by`` only the partitions present are replaced."""
     writer = snap.write.mode("overwrite")
