@@ -27,21 +27,25 @@ def part(doc: Column, path: str) -> Column:
     return F.try_variant_get(doc, path, "variant")
 
 
+# JSON type names by the leading word of a variant's schema.
+JSON_TYPES = {
+    "OBJECT": "object",
+    "ARRAY": "array",
+    "STRING": "string",
+    "BOOLEAN": "boolean",
+    "BIGINT": "integer",
+    "DECIMAL": "number",
+    "DOUBLE": "number",
+    "FLOAT": "number",
+    "VOID": "null",
+}
+
+
 def json_type(value: Column) -> Column:
-    """JSON type name of a variant value."""
-    kind = F.schema_of_variant(value)
-    whole = kind == "BIGINT"
-    number = kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")
-    return (
-        F.when(value.isNull(), F.lit(None))
-        .when(F.is_variant_null(value), "null")
-        .when(kind.startswith("OBJECT"), "object")
-        .when(kind.startswith("ARRAY"), "array")
-        .when(kind == "STRING", "string")
-        .when(kind == "BOOLEAN", "boolean")
-        .when(whole, "integer")
-        .when(number, "number")
-    )
+    """JSON type name of a variant value; null when there is no value."""
+    names = F.create_map(*[F.lit(x) for pair in JSON_TYPES.items() for x in pair])
+    word = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    return F.try_element_at(names, word)
 
 
 def byte_size(text: Column) -> Column:

@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waybill.session import stored
+
 SEQ_CHUNK = 1_000_000
 
 
@@ -55,11 +57,12 @@ def running(
 
     ``chunk`` must not decrease along ``order``; keys and order columns must not
     be null. ``backwards`` runs from the last row to the first, which turns
-    ``last``/``before`` into a look ahead.
+    ``last``/``before`` into a look ahead. A ``__chunk`` column that is there
+    already is used and kept, so that several scans share one shuffle.
     """
     parts = [*key, "__chunk"]
     direction = (lambda c: F.col(c).desc()) if backwards else (lambda c: F.col(c).asc())
-    rows = df.withColumn("__chunk", chunk)
+    rows = df if "__chunk" in df.columns else df.withColumn("__chunk", chunk)
     inside = Window.partitionBy(*parts).orderBy(*[direction(c) for c in order])
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     prior = inside.rowsBetween(Window.unboundedPreceding, -1)
@@ -136,6 +139,8 @@ def exact_quantile(
     Values fall into narrow ranges that are counted on the map side. Only the one
     or two ranges that hold the wanted ranks are looked at value by value, so the
     rows themselves are never sorted and only those of the chosen ranges move.
+    The chosen ranges are stored in between: at most two per group, and of known
+    size when the rows are filtered by them.
     """
     v = F.col("__v")
     base = (
@@ -157,6 +162,7 @@ def exact_quantile(
     keys = [*by, "__range"]
     rank = ["__start", "__pos", "__lo", "__hi"]
     wanted = ranges.select(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)], *rank)
+    wanted = stored(wanted, "ranks")
     match = [F.col(k).eqNullSafe(F.col(f"__g{i}")) for i, k in enumerate(keys)]
     upto = (
         Window.partitionBy(*keys)

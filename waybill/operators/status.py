@@ -51,11 +51,12 @@ def apply_order(envs: DataFrame, upd: DataFrame, chunk_rows: int = SEQ_CHUNK) ->
     )
     actors = F.col("actors")
     length = F.coalesce(F.when(actors.isNull(), 0).otherwise(F.size(actors)), F.lit(0))
+    chunk = seq_chunk("seq", chunk_rows)
     rows = running(
-        log,
+        log.withColumn("__chunk", chunk),
         [ID],
         ["seq"],
-        seq_chunk("seq", chunk_rows),
+        chunk,
         __final=Running("max", is_final(F.col("status")).cast("int"), before=True),
         __known=Running("max", F.col("__made").cast("int")),
         __route=Running(
@@ -72,6 +73,7 @@ def apply_order(envs: DataFrame, upd: DataFrame, chunk_rows: int = SEQ_CHUNK) ->
     )
     return rows.select(
         *upd.columns,
+        "__chunk",
         "__made",
         (F.coalesce("__final", F.lit(0)) == 1).alias("late"),
         (F.coalesce("__known", F.lit(0)) == 1).alias("known"),
@@ -84,10 +86,8 @@ def progress(envs: DataFrame, upd: DataFrame, chunk_rows: int = SEQ_CHUNK) -> Da
     """Monotonic progress after every update of a known envelope."""
     ordered = apply_order(envs, upd, chunk_rows).filter(~F.col("__made") & F.col("known"))
     applied = F.when(~F.col("late"), F.col("raw"))
-    rows = running(
-        ordered, [ID], ["seq"], seq_chunk("seq", chunk_rows), progress=Running("max", applied)
-    )
-    return rows.drop("__made", "known", "raw").withColumn(
+    rows = running(ordered, [ID], ["seq"], F.col("__chunk"), progress=Running("max", applied))
+    return rows.drop("__chunk", "__made", "known", "raw").withColumn(
         "progress", F.round(F.coalesce("progress", F.lit(0.0)), 2)
     )
 

@@ -125,20 +125,27 @@ def active_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.active_at(hops(spark, sf_dir), F.lit("2024-01-15 12:00:00").cast("timestamp"))
 
 
-@query("capacity", f"""WITH {HOP_SQL}, depth AS (
-  SELECT queue, count(*) FILTER (enqueued_at <= t AND started_at > t) AS queued,
-         count(*) FILTER (started_at <= t AND ended_at > t) AS processing, t
-  FROM hop, (SELECT unnest(generate_series(TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-11',
-             INTERVAL 1 HOUR)) AS t) GROUP BY ALL
+@query("capacity", f"""WITH {HOP_SQL}, moves AS (
+  SELECT queue, enqueued_at AS t FROM hop UNION ALL SELECT queue, started_at FROM hop
+  UNION ALL SELECT queue, ended_at FROM hop
+), span AS (
+  SELECT queue, ceil(epoch_us(min(t)) / 3600e6)::BIGINT AS lo,
+         ceil(epoch_us(max(t)) / 3600e6)::BIGINT AS hi FROM moves GROUP BY ALL
+), grid AS (
+  SELECT queue, to_timestamp(h * 3600)::TIMESTAMP AS t
+  FROM span CROSS JOIN LATERAL (SELECT unnest(generate_series(lo, hi)) AS h)
+), depth AS (
+  SELECT grid.queue, grid.t,
+         count(*) FILTER (enqueued_at <= t AND started_at > t) AS queued,
+         count(*) FILTER (started_at <= t AND ended_at > t) AS processing
+  FROM grid JOIN hop ON hop.queue = grid.queue GROUP BY ALL
 )
 SELECT queue, t AS "at", queued, processing,
        least(greatest(ceil((queued + processing) / 5.0)::BIGINT, 1), 8)::BIGINT AS workers
 FROM depth""")
 def capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Workers needed per queue and hour of one day."""
-    depth = M.queue_depth(hops(spark, sf_dir)).filter(
-        F.col("at").between("2024-01-10 00:00:00", "2024-01-11 00:00:00")
-    )
+    """Workers needed per queue and hour."""
+    depth = M.queue_depth(hops(spark, sf_dir))
     return M.capacity(depth, target=5, low=1, high=8).withColumn("at", utc("at"))
 
 
