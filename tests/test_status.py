@@ -141,3 +141,16 @@ def test_attempts_redelivery_and_dead_letters(spark):
     targets = [r.target for r in D.redrive(tries).filter("id = 'p'").orderBy("seq").collect()]
     assert targets == ["queue"] * 3 + ["dead-letter"] * 2
     assert [tuple(r) for r in D.redeliverable(tries).collect()] == [("p", 5)]
+
+
+def test_fold_resumes_from_its_own_result(spark):
+    rows = reports(*[(i, s) for i in range(3) for s in STATES], actors=["a", "b", "c"])
+    rows[4]["message"] = "half"
+    rows += [{"status": "succeeded", "result": "r"}, {"current_actor_idx": 0, "message": "late"}]
+    frame = envs(spark, ("e", ["a", "b"], 60), ("quiet", ["z"], 0))
+    upd = log(spark, rows)
+    whole = S.fold_status(frame, upd).orderBy("id").collect()
+    for cut in (0, 3, 5, 9, 10):
+        first = S.fold_status(frame, upd.filter(F.col("seq") < cut))
+        second = S.fold_status(first, upd.filter(F.col("seq") >= cut))
+        assert second.orderBy("id").collect() == whole, cut

@@ -24,18 +24,30 @@ ID = "envelope_id"
 CREATED_SEQ = -1
 
 
+# what a snapshot row knows beyond a stored envelope
+_CARRIED = {"progress_percent": "__base", "current_actor_name": "__name",
+            "completed": "__completed", "n_updates": "__count"}
+
+
 def _created(envs: DataFrame, like: DataFrame) -> DataFrame:
-    """Creation rows: the stored route as the first entry of each log."""
-    known = {
-        ID: F.col("id"),
-        "seq": F.lit(CREATED_SEQ).cast("bigint"),
-        "actors": F.col("actors"),
-        "ts": F.col("created_at"),
-    }
-    cells = [
-        known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema.fields
+    """First row of each log: the stored route, and the state reached so far if any."""
+    born = F.coalesce("updated_at", "created_at") if "updated_at" in envs.columns else "created_at"
+    known = {ID: "id", "seq": F.lit(CREATED_SEQ), "actors": "actors", "ts": born}
+    for name in ("status", "result", "error", "message", "current_actor_idx"):
+        if name in envs.columns:
+            known[name] = name
+    cells = []
+    for field in like.schema.fields:
+        value = known.get(field.name, F.lit(None))
+        value = F.col(value) if isinstance(value, str) else value
+        cells.append(value.cast(field.dataType).alias(field.name))
+    kinds = {"__base": "double", "__name": "string", "__completed": "array<int>",
+             "__count": "bigint"}
+    cells += [
+        (F.col(c) if c in envs.columns else F.lit(None)).cast(kinds[n]).alias(n)
+        for c, n in _CARRIED.items()
     ]
-    return envs.select(*cells)
+    return envs.select(*cells, F.lit(True).alias("__made"))
 
 
 def apply_order(envs: DataFrame, upd: DataFrame, chunk_rows: int = SEQ_CHUNK) -> DataFrame:
@@ -47,7 +59,7 @@ def apply_order(envs: DataFrame, upd: DataFrame, chunk_rows: int = SEQ_CHUNK) ->
     updates together, so the stored route needs no join.
     """
     log = upd.withColumn("__made", F.lit(False)).unionByName(
-        _created(envs, upd).withColumn("__made", F.lit(True))
+        _created(envs, upd), allowMissingColumns=True
     )
     actors = F.col("actors")
     length = F.coalesce(F.when(actors.isNull(), 0).otherwise(F.size(actors)), F.lit(0))
@@ -68,13 +80,16 @@ def apply_order(envs: DataFrame, upd: DataFrame, chunk_rows: int = SEQ_CHUNK) ->
     n = F.coalesce(F.col("__route.n"), F.lit(0))
     idx = F.col("current_actor_idx").cast("double")
     part = F.when(n > 0, (idx * 100 + progress_weight(F.col("envelope_state"))) / n)
-    raw = F.when(is_final(F.col("status")), 100.0).otherwise(
-        F.least(F.coalesce(part, F.lit(0.0)), F.lit(100.0))
+    raw = (
+        F.when(is_final(F.col("status")), 100.0)
+        .when(F.col("__made"), F.coalesce("__base", F.lit(0.0)))
+        .otherwise(F.least(F.coalesce(part, F.lit(0.0)), F.lit(100.0)))
     )
     return rows.select(
         *upd.columns,
         "__chunk",
         "__made",
+        *_CARRIED.values(),
         (F.coalesce("__final", F.lit(0)) == 1).alias("late"),
         (F.coalesce("__known", F.lit(0)) == 1).alias("known"),
         F.col("__route.actors").alias("route_actors"),
@@ -87,7 +102,7 @@ def progress(envs: DataFrame, upd: DataFrame, chunk_rows: int = SEQ_CHUNK) -> Da
     ordered = apply_order(envs, upd, chunk_rows).filter(~F.col("__made") & F.col("known"))
     applied = F.when(~F.col("late"), F.col("raw"))
     rows = running(ordered, [ID], ["seq"], F.col("__chunk"), progress=Running("max", applied))
-    return rows.drop("__chunk", "__made", "known", "raw").withColumn(
+    return rows.drop("__chunk", "__made", "known", "raw", *_CARRIED.values()).withColumn(
         "progress", F.round(F.coalesce("progress", F.lit(0.0)), 2)
     )
 
@@ -109,29 +124,37 @@ def _text(name: str) -> Column:
 def fold_status(envs: DataFrame, upd: DataFrame, chunk_rows: int = SEQ_CHUNK) -> DataFrame:
     """Current state of every known envelope, one row per id.
 
-    The fold is a plain aggregation (combined on the map side), so a hot
-    envelope costs its reducer no more than one row per map task.
+    ``envs`` are stored envelopes, or an earlier result of this fold with new
+    envelopes added: then only the updates since are read. The fold is a plain
+    aggregation (combined on the map side), so a hot envelope costs its reducer
+    no more than one row per map task.
     """
     log = apply_order(envs, upd, chunk_rows).filter(~F.col("late"))
-    real = ~F.col("__made")
-    idx = F.when(F.col("current_actor_idx").isNotNull(), F.col("current_actor_idx"))
+    made = F.col("__made")
+    idx = F.col("current_actor_idx")
+    before = lambda c: F.max(F.when(made, F.col(c)))
+    none = F.array().cast("array<int>")
     state = log.groupBy(ID).agg(
         F.max(F.col("known")).alias("known"),
-        _last(F.when(real, F.col("status"))).alias("status"),
+        _last(F.col("status")).alias("status"),
         _last(F.col("result")).alias("result"),
         _last(_text("error")).alias("error"),
         _last(_text("message")).alias("message"),
         _last(idx).alias("current_actor_idx"),
-        _last(actor_name(F.col("route_actors"), idx)).alias("current_actor_name"),
+        F.coalesce(
+            _last(actor_name(F.col("route_actors"), F.when(~made, idx))), before("__name")
+        ).alias("current_actor_name"),
         _last(F.col("route_actors")).alias("route_actors"),
         F.max("raw").alias("progress"),
         F.max("ts").alias("updated_at"),
-        F.count(F.when(real, 1)).alias("n_updates"),
-        F.size(
-            F.collect_set(
-                F.when(F.col("envelope_state") == "completed", F.col("current_actor_idx"))
+        (F.coalesce(before("__count"), F.lit(0)) + F.count(F.when(~made, 1))).alias("n_updates"),
+        F.array_sort(
+            F.array_union(
+                F.coalesce(before("__completed"), none),
+                # actor positions: no more than the route is long
+                F.collect_set(F.when(F.col("envelope_state") == "completed", idx)),
             )
-        ).alias("actors_completed"),
+        ).alias("completed"),
     )
     folded = state.filter("known").drop("known")
     frame = envs.select(
@@ -148,15 +171,31 @@ def fold_status(envs: DataFrame, upd: DataFrame, chunk_rows: int = SEQ_CHUNK) ->
         "message",
         F.col("route_actors").alias("actors"),
         F.round(F.coalesce("progress", F.lit(0.0)), 2).alias("progress_percent"),
-        F.col("current_actor_idx"),
+        "current_actor_idx",
         "current_actor_name",
-        F.col("actors_completed"),
+        F.size("completed").alias("actors_completed"),
         total.alias("total_actors"),
         "updated_at",
         "n_updates",
+        "completed",
     )
 
 
+def expire(snap: DataFrame, now: Column) -> DataFrame:
+    """Snapshot whose open envelopes past their deadline have failed."""
+    over = ~is_final(F.col("status")) & F.coalesce(F.col("deadline") < now, F.lit(False))
+    changed = {
+        "error": F.lit("envelope timed out"),
+        "progress_percent": F.lit(100.0),
+        "updated_at": F.col("deadline"),
+        "status": F.lit("failed"),
+    }
+    marked = snap.withColumn("__over", over)
+    for name, value in changed.items():
+        marked = marked.withColumn(name, F.when(F.col("__over"), value).otherwise(F.col(name)))
+    return marked.drop("__over")
+
+
 def is_active(status: Column, due: Column, now: Column) -> Column:
     """Not final and not past its deadline."""
     return ~is_final(status) & (due.isNull() | (now <= due))

@@ -25,6 +25,8 @@ from waybill.streaming.status import (
     fold_status_stream,
     latest,
     rate_stream,
+    read_status,
+    run_status_stream,
     tail,
 )
 
@@ -138,6 +140,28 @@ def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("stream_status_table", f"""WITH {UPD_SQL}, closing AS (
+  SELECT fold.*, status = 'running' AND deadline < (SELECT max(ts) FROM upd) AS expired
+  FROM fold JOIN env ON env.envelope_id = fold.id)
+SELECT id, CASE WHEN expired THEN 'failed' ELSE status END AS status, result,
+       CASE WHEN expired THEN 'envelope timed out' ELSE error END AS error, message, actors,
+       CASE WHEN expired THEN 100.0::DOUBLE ELSE progress_percent END AS progress,
+       current_actor_idx, current_actor_name, actors_completed FROM closing""")
+def stream_status_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Micro-batches folded into a state table, deadlines included."""
+    path, checkpoint = scratch(spark, "status-table"), scratch(spark, "status-table-checkpoint")
+    run_status_stream(
+        B.update_columns(stream_table(spark, sf_dir, "events")), path, checkpoint,
+        stored=B.tracked(B.updates(spark, sf_dir)),
+    ).awaitTermination()
+    return read_status(spark, path).select(
+        "id", "status", "result", "error", "message",
+        F.array_join("actors", ",").alias("actors"),
+        F.col("progress_percent").alias("progress"),
+        "current_actor_idx", "current_actor_name", "actors_completed",
+    )
+
+
 @query("stream_attempts", """
 SELECT 'u' || user_id AS id, event_id AS seq,
        row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS attempt,

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from waybill.functions.text import is_final
+from waybill.operators.status import CREATED_SEQ, expire, fold_status
 from waybill.schema import FINAL_STATUSES
 
 STATE = T.StructType(
@@ -154,6 +155,67 @@ def latest(changes: DataFrame) -> DataFrame:
     return changes.groupBy("id").agg(F.max_by(row, "version").alias("s")).select("id", "s.*")
 
 
+def run_status_stream(
+    updates: DataFrame,
+    path: str,
+    checkpoint: str,
+    *,
+    stored: DataFrame | None = None,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Fold each micro-batch into a state table, without per-row Python.
+
+    A hot envelope is spread over tasks as in the batch fold. Only open envelopes
+    are read and written again; a final state cannot change, so closed ones are
+    written once. Creation rows in the stream have ``seq = -1``; ``stored`` are
+    envelopes known beforehand. The newest ``ts`` of a batch is its clock for
+    deadlines. A repeated batch replaces its own version.
+    """
+
+    def each(batch: DataFrame, version: int) -> None:
+        spark = batch.sparkSession
+        row = F.col("seq") == CREATED_SEQ
+        fresh = batch.filter(row).select(
+            F.col("envelope_id").alias("id"), "actors", F.col("ts").alias("created_at"),
+            *(["deadline"] if "deadline" in batch.columns else []),
+        )
+        upd = batch.filter(~row).drop("deadline")
+        known = stored if version == 0 else _open_rows(spark, path, version - 1)
+        if known is not None:
+            fresh = known.unionByName(
+                fresh.join(known.select("id"), "id", "left_anti"), allowMissingColumns=True
+            )
+        clock = batch.agg(F.max("ts").alias("now")).first()["now"]
+        snap = fold_status(fresh, upd)
+        if clock is not None and "deadline" in snap.columns:
+            snap = expire(snap, F.lit(clock))
+        (
+            snap.withColumn("version", F.lit(version))
+            .withColumn("open", ~is_final(F.col("status")))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("version", "open")
+            .parquet(path)
+        )
+
+    writer = updates.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def _open_rows(spark: SparkSession, path: str, version: int) -> DataFrame:
+    rows = spark.read.parquet(path)
+    return rows.filter((F.col("version") == version) & F.col("open")).drop("version", "open")
+
+
+def read_status(spark: SparkSession, path: str) -> DataFrame:
+    """Current state from the table of ``run_status_stream``."""
+    rows = spark.read.parquet(path)
+    newest = rows.agg(F.max("version")).first()[0]
+    return rows.filter(~F.col("open") | (F.col("version") == newest)).drop("version", "open")
+
+
 class AttemptCount(StatefulProcessor):
     """Counts deliveries per key."""
 
