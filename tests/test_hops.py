@@ -259,3 +259,8 @@ def test_hops_need_no_shuffle(spark):
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert plan.count("ArrowEvalPython") == 3
+
+
+def test_no_actor_at_all(spark):
+    row = run(envelopes(spark, [("a", ["echo"], {})]), Registry(), 1).first()
+    assert (row.terminal, row.details.type) == ("error-end", "LookupError")

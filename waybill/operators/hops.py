@@ -189,6 +189,8 @@ class Handlers:
         self.python = python_call(registry) if registry.has_python() else None
         if self.python is not None:
             self._python(F.col("__call.outs"))
+        if not registry.actors:
+            self.one = F.lit(None).cast(kind).alias("__one")
 
     def body(self, state: DataFrame) -> Column:
         """What a Python actor is given: its payload, or its whole envelope."""
