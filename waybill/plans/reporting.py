@@ -91,6 +91,14 @@ def receive_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hist.withColumn("sum", F.round("sum", 3))
 
 
+@query("send_histogram",
+       _histogram_sql("duration_s", M.SEND_BUCKETS, "round(sum(duration_s), 3)"))
+def send_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the send buckets."""
+    hist = M.histogram(hops(spark, sf_dir), "duration_s", ["queue"], M.SEND_BUCKETS)
+    return hist.withColumn("sum", F.round("sum", 3))
+
+
 @query("size_histogram",
        _histogram_sql("size", M.SIZE_BUCKETS, "sum(size)::BIGINT").replace("::DOUBLE", ""))
 def size_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waybill.functions import route as R
 from waybill.functions.checks import frame_reason
-from waybill.functions.payload import enrich, enrich_json
+from waybill.functions.payload import byte_size, enrich, enrich_json
 from waybill.functions.text import (
     duration_message,
     error_text,
@@ -21,9 +21,18 @@ from waybill.operators.actors import Registry
 from waybill.operators.hops import hop_log, run, step, terminals
 from waybill.operators.lineage import fanout_width, id_collisions
 from waybill.operators.metrics import counters, error_summary, from_run
-from waybill.operators.terminal import final_message, final_report, terminal_result, to_error
+from waybill.operators.status import fold_status
+from waybill.operators.terminal import (
+    as_updates,
+    final_message,
+    final_report,
+    terminal_result,
+    terminal_union,
+    to_error,
+)
 from waybill.plans.bindings import WORDS, docs, json_docs, names, table, typed_docs, utc
 from waybill.plans.registry import query
+from waybill.session import stored
 from waybill.sources.wire import parse_envelopes, to_wire, wire_struct
 
 # ---------------------------------------------------------------- actors
@@ -536,6 +545,48 @@ def final_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("payload_sizes", "SELECT doc_id, strlen(text) AS size FROM documents")
+def payload_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payload sizes in bytes."""
+    return docs(spark, sf_dir).select("doc_id", byte_size(F.col("text")).alias("size"))
+
+
+@query("terminal_union", f"""WITH {FAILING_SQL}
+SELECT id, CASE WHEN failed THEN 'error-end' ELSE 'happy-end' END AS terminal,
+       CASE WHEN failed THEN 'processing_error' END AS error FROM f""")
+def terminals_of_both_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Success and error tables as one; both come from one stored run."""
+    done = stored(terminals(failing_run(spark, sf_dir)), "run")
+    happy = done.filter("terminal = 'happy-end'").select("id", "payload")
+    failed = done.filter("terminal = 'error-end'").select("id", "payload", "error")
+    return terminal_union(happy, failed).select("id", "terminal", "error")
+
+
+@query("final_updates", f"""WITH {FAILING_SQL}
+SELECT id, CASE WHEN failed THEN 'failed' ELSE 'succeeded' END AS status,
+       CASE WHEN failed THEN 'Envelope failed at actor ''' || failed_actor || ''': processing_error'
+            ELSE 'Envelope completed successfully' END AS message,
+       CASE WHEN failed THEN 'processing_error' END AS error,
+       100.0::DOUBLE AS progress_percent, failed_actor AS current_actor_name,
+       CASE WHEN failed THEN error_type END AS stored_type FROM f""")
+def final_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final reports appended to the update log and folded into state."""
+    at = F.lit("2024-03-01 12:30:00").cast("timestamp")
+    done = terminals(failing_run(spark, sf_dir))
+    number = F.regexp_extract("id", r"(\d+)", 1)
+    upd = as_updates(final_report(done), number, at)
+    # the log is read twice by the fold, so it is stored like any update log
+    upd = stored(upd, "final-updates")
+    envs = docs(spark, sf_dir).select(
+        F.concat(F.lit("doc-"), F.col("doc_id")).alias("id"),
+        names("prep", "tag").alias("actors"), at.alias("created_at"),
+    )
+    return fold_status(envs, upd).select(
+        "id", "status", "message", "error", "progress_percent", "current_actor_name",
+        F.get_json_object("result", "$.details.type").alias("stored_type"),
+    )
+
+
 @query("routes_abort", r"""
 SELECT 'doc-' || doc_id AS id, 'happy-end' AS terminal,
        CASE WHEN n_chars < 100 THEN 0 ELSE 2 END AS cursor,

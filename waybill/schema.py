@@ -7,10 +7,9 @@ from pyspark.sql import types as T
 HAPPY_END = "happy-end"
 ERROR_END = "error-end"
 
-# Status and state domains of the tracking tables.
+# Status domain of the tracking tables.
 STATUSES = ("pending", "running", "succeeded", "failed", "unknown")
 FINAL_STATUSES = ("succeeded", "failed")
-ENVELOPE_STATES = ("received", "processing", "completed")
 
 STRING_MAP = T.MapType(T.StringType(), T.StringType())
 
@@ -30,15 +29,6 @@ DETAILS = T.StructType(
     ]
 )
 
-# error: what the error row says; code: short reason of the failure
-FAILURE = T.StructType(
-    [
-        T.StructField("error", T.StringType()),
-        T.StructField("reason", T.StringType()),
-        T.StructField("details", DETAILS),
-    ]
-)
-
 # The frame is fixed. The payload is JSON text here; a pipeline with a known
 # payload may put a struct in its place.
 ENVELOPE = T.StructType(
@@ -85,14 +75,3 @@ UPDATE = T.StructType(
         T.StructField("ts", T.TimestampType()),
     ]
 )
-
-TRACKED = T.StructType(
-    [
-        T.StructField("id", T.StringType()),
-        T.StructField("parent_id", T.StringType()),
-        T.StructField("actors", T.ArrayType(T.StringType())),
-        T.StructField("timeout_sec", T.IntegerType()),
-        T.StructField("deadline", T.TimestampType()),
-        T.StructField("created_at", T.TimestampType()),
-    ]
-)

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from datetime import datetime
+from itertools import islice
 
-import pandas as pd
 from pyspark import cloudpickle
+from pyspark.sql import Row
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -39,11 +41,13 @@ SNAPSHOT = T.StructType(
 WEIGHTS = {"received": 10.0, "processing": 50.0, "completed": 100.0}
 
 
-def _value(x):
-    """Cell of a pandas row with missing values as None."""
-    if x is None or isinstance(x, (list, tuple)) or hasattr(x, "tolist") and getattr(x, "ndim", 0):
-        return x
-    return None if pd.isna(x) else x
+SLICE = 10_000
+
+
+def in_order(rows: Iterator[Row]) -> Iterator[Row]:
+    """Rows by sequence number, sorted slice by slice so that memory stays bounded."""
+    while part := list(islice(rows, SLICE)):
+        yield from sorted(part, key=lambda r: r.seq)
 
 
 def apply_update(state: dict, row: dict) -> dict:
@@ -98,32 +102,30 @@ class StatusFold(StatefulProcessor):
         self._state.update(tuple(state[f.name] for f in STATE.fields))
 
     @staticmethod
-    def _row(key, state: dict) -> pd.DataFrame:
-        return pd.DataFrame([{"id": key[0]} | {f.name: state[f.name] for f in SNAPSHOT.fields[1:]}])
+    def _row(key, state: dict) -> Row:
+        return Row(**({"id": key[0]} | {f.name: state[f.name] for f in SNAPSHOT.fields[1:]}))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         state, had = self._load(), False
-        for frame in rows:
-            for row in frame.sort_values("seq").to_dict("records"):
-                row = {k: _value(v) for k, v in row.items()}
-                had = True
-                if row.get("deadline") is not None and state["deadline_ms"] is None:
-                    state["deadline_ms"] = int(row["deadline"].timestamp() * 1000)
-                    self._handle.registerTimer(state["deadline_ms"])
-                was = state["status"]
-                state = apply_update(state, row)
-                ended = was not in FINAL and state["status"] in FINAL
-                if ended and state["deadline_ms"] is not None:
-                    self._handle.deleteTimer(state["deadline_ms"])
+        for row in in_order(rows):
+            row, had = row.asDict(), True
+            if row.get("deadline") is not None and state["deadline_ms"] is None:
+                state["deadline_ms"] = int(row["deadline"].timestamp() * 1000)
+                self._handle.registerTimer(state["deadline_ms"])
+            was = state["status"]
+            state = apply_update(state, row)
+            ended = was not in FINAL and state["status"] in FINAL
+            if ended and state["deadline_ms"] is not None:
+                self._handle.deleteTimer(state["deadline_ms"])
         if had:
             state["version"] += 1
             self._save(state)
             yield self._row(key, state)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         state = self._load()
         if state["status"] not in FINAL:
-            at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
+            at = datetime.fromtimestamp(expiredTimerInfo.getExpiryTimeInMs() / 1000)
             state |= {"status": "failed", "error": "envelope timed out", "updated_at": at,
                       "progress": 100.0, "version": state["version"] + 1}
             self._save(state)
@@ -139,14 +141,12 @@ class AttemptCount(StatefulProcessor):
     def init(self, handle) -> None:
         self._count = handle.getValueState("n", T.StructType([T.StructField("n", T.LongType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         value = self._count.get()
         n = 0 if value is None else value[0]
-        for frame in rows:
-            out = frame.sort_values("seq")
-            out["attempt"] = range(n + 1, n + 1 + len(out))
-            n += len(out)
-            yield out
+        for row in in_order(rows):
+            n += 1
+            yield Row(**row.asDict(), attempt=n)
         self._count.update((n,))
 
     def close(self) -> None:

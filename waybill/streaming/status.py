@@ -23,7 +23,7 @@ def fold_status_stream(updates: DataFrame, watermark: str = "10 minutes") -> Dat
     rows of one envelope meet in a task.
     """
     keyed = updates.withWatermark("ts", watermark).groupBy("envelope_id")
-    return keyed.transformWithStateInPandas(
+    return keyed.transformWithState(
         statefulProcessor=StatusFold(),
         outputStructType=SNAPSHOT,
         outputMode="Update",
@@ -101,7 +101,7 @@ def read_status(spark: SparkSession, path: str) -> DataFrame:
 def attempts_stream(deliveries: DataFrame, key: str = "id") -> DataFrame:
     """Deliveries with their attempt number; ``redrive`` then picks the target."""
     out = T.StructType(deliveries.schema.fields + [T.StructField("attempt", T.LongType())])
-    return deliveries.groupBy(key).transformWithStateInPandas(
+    return deliveries.groupBy(key).transformWithState(
         statefulProcessor=AttemptCount(), outputStructType=out, outputMode="Append",
         timeMode="None",
     )
