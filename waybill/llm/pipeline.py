@@ -1,0 +1,23 @@
+"""Stages of the corpus pipeline."""
+from waybill.llm.quality import quality_filter
+from waybill.session import configure, stored
+
+
+def quality(spark, docs, sf_dir):
+    """Documents that break no quality rule."""
+    configure(spark)
+    return quality_filter(docs)
+
+
+STAGES = [("quality", quality)]
+ORACLE_SQL = None
+
+
+def run(spark, sf_dir):
+    """The stages in order over all documents; each one's rows are stored in between."""
+    docs = configure(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs, f"stage-{name}")
+    return docs
