@@ -12,10 +12,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+# rows of an Arrow batch: texts may be long, so batches stay small
+BATCH_ROWS = "1000"
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the settings that the operators of this folder rely on."""
+    configure(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return spark
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         def call(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(configure(spark), sf_dir)
+            return fn(prepared(spark), sf_dir)
 
         call.__doc__ = fn.__doc__
         QUERIES[name] = call
