@@ -29,9 +29,9 @@ def create(uri: str):
     """A new file for writing; makes its folder."""
     system, path = opened(uri)
     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)
 
 
 def read(uri: str):
     system, path = opened(uri)
-    return system.open_input_stream(path)
+    return system.open_input_stream(path, compression=None)
