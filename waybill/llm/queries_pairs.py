@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from waybill.llm.near_dup import near_copies
 from waybill.llm.registry import query, table
+from waybill.llm.substring import without_repeats
 from waybill.llm.vectors import near_vectors
 
 
+@query("op3_substring")
+def op3_substring(spark, sf_dir):
+    """Documents without the passages of 13 words and more that smaller ones have."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return without_repeats(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query("op4_minhash")
 def op4_minhash(spark, sf_dir):
     """Near-duplicate class of every document."""
