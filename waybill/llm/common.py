@@ -15,8 +15,20 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def columns(df: DataFrame) -> list[Column]:
-    return [column(c) for c in df.columns]
+def sealed(df: DataFrame) -> DataFrame:
+    """The rows with columns c0, c1, ...: no name of the input can clash with an operator's."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def place(df: DataFrame, name: str) -> str:
+    """Name in ``sealed(df)`` of a column of df."""
+    names = [c.lower() for c in df.columns]
+    return f"c{df.columns.index(name) if name in df.columns else names.index(name.lower())}"
+
+
+def unsealed(df: DataFrame) -> list[Column]:
+    """Columns of ``sealed(df)`` under their own names."""
+    return [F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)]
 
 
 def word_count(text: Column) -> Column:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waybill.llm.common import column, columns, word_count
+from waybill.llm.common import column, place, sealed, unsealed, word_count
 from waybill.session import stored
 
 BINS = 4096  # three hexadecimal digits of the hash
@@ -143,16 +143,17 @@ def with_copies(
 ) -> DataFrame:
     """The documents with ``__plan`` (their source's row) and ``__copies`` (times taken)."""
     plan = stored(plan, "mixing").select(F.struct("*").alias("__plan"))
-    kept = columns(docs)
-    rows = docs.join(plan, column(source).eqNullSafe(F.col("__plan.source")), "left")
-    extra = (hash_bin(column(key), seed) <= F.col("__plan.threshold")).cast("int")
-    return rows.select(*kept, "__plan", (F.col("__plan.epochs") + extra).alias("__copies"))
+    of = F.col(place(docs, source))
+    rows = sealed(docs).join(plan, of.eqNullSafe(F.col("__plan.source")), "left")
+    extra = (hash_bin(F.col(place(docs, key)), seed) <= F.col("__plan.threshold")).cast("int")
+    return rows.select(*unsealed(docs), "__plan", (F.col("__plan.epochs") + extra).alias("__copies"))
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, **options) -> DataFrame:
     """The mixed documents: each row as often as the mix takes it, columns unchanged."""
     plan = mixing_plan(docs, weights, **options)
-    shared = {k: v for k, v in options.items() if k in ("key", "source", "seed")}
-    rows = with_copies(docs, plan, **shared)
+    key = place(docs, options.get("key", "doc_id"))
+    source = place(docs, options.get("source", "source"))
+    rows = with_copies(sealed(docs), plan, key=key, source=source, seed=options.get("seed", "mix"))
     times = F.explode(F.array_repeat(F.lit(0), F.coalesce(F.col("__copies"), F.lit(0))))
-    return rows.select(*columns(docs), times.alias("__time")).select(*columns(docs))
+    return rows.select(*sealed(docs).columns, times.alias("__time")).select(*unsealed(docs))

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waybill.llm.common import column, columns
+from waybill.llm.common import column, place, sealed, unsealed
 from waybill.llm.components import components
 from waybill.llm.words import factors, mix, shingles
 from waybill.session import stored
@@ -399,18 +399,16 @@ def without_near_copies(docs: DataFrame, **options) -> DataFrame:
     gone = stored(
         classes.filter("NOT kept").select(F.col(key).alias("__gone")).distinct(), "dropped"
     )
-    rest = docs.join(gone, column(key) == F.col("__gone"), "left_anti")
+    match = F.col(place(docs, key)) == F.col("__gone")
+    rest = sealed(docs).join(gone, match, "left_anti")
     repeated = (
         classes.filter(F.col(key).isNotNull())
         .groupBy(F.col(key).alias("__gone")).count().filter("count > 1").drop("count")
     )
     repeated = stored(repeated, "repeated")
     if repeated.isEmpty():
-        return rest
-    match = column(key) == F.col("__gone")
-    once = Window.partitionBy(column(key)).orderBy(column(text).asc_nulls_first())
-    again = rest.join(repeated, match, "left_semi").select(
-        *columns(docs), F.row_number().over(once).alias("__place")
-    )
-    first = again.filter("__place = 1").select(*columns(docs))
-    return rest.join(repeated, match, "left_anti").unionByName(first)
+        return rest.select(*unsealed(docs))
+    once = Window.partitionBy(place(docs, key)).orderBy(F.asc_nulls_first(place(docs, text)))
+    again = rest.join(repeated, match, "left_semi").withColumn("__place", F.row_number().over(once))
+    first = again.filter("__place = 1").drop("__place")
+    return rest.join(repeated, match, "left_anti").unionByName(first).select(*unsealed(docs))

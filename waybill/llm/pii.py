@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.common import column, columns
+from waybill.llm.common import place, sealed, unsealed
 
 KEY = "waybill"  # for tests and queries; production passes its own secret
 ROUNDS = 8
@@ -285,7 +285,7 @@ def pseudonyms(text: Column, key: str = KEY) -> Column:
 
 def without_pii(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """The documents with pseudonyms in their text."""
-    rows = docs.select(*columns(docs), pseudonyms(column(text), key).alias("__pii"))
-    return rows.select(
-        *[F.col("__pii.text").alias(c) if c == text else column(c) for c in docs.columns]
-    )
+    at = place(docs, text)
+    rows = sealed(docs)
+    rows = rows.select(*rows.columns, pseudonyms(F.col(at), key).alias("__pii"))
+    return rows.withColumn(at, F.col("__pii.text")).select(*unsealed(docs))

@@ -6,8 +6,8 @@ proportion to its own text only.
 
 Defined results: a null text counts as an empty one; separators-only texts have no
 words; rows are judged one by one, so repeated rows get equal verdicts; an empty
-table gives an empty result; columns of the input are never overwritten because
-``measured`` returns one struct and ``quality_filter`` returns the input columns alone.
+table gives an empty result; ``measured`` adds one struct, of a name to choose, and
+``quality_filter`` returns the input columns alone.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waybill.llm.common import SEPARATORS, column, columns
+from waybill.llm.common import SEPARATORS, place, sealed, unsealed
 
 # fixed values: frequent function words of English, German, French and Spanish
 STOP_WORDS = tuple(
@@ -71,8 +71,9 @@ def measured(docs: DataFrame, text: str = "text", name: str = "quality") -> Data
     ``n_repeat_words`` counts the words inside three-word windows that occur twice or
     more in the text. Windows are compared by a 64-bit hash within one document.
     """
-    kept = columns(docs)
-    spaced = docs.select(*kept, F.coalesce(column(text), F.lit("")).alias("__text"))
+    rows = sealed(docs)
+    kept = rows.columns
+    spaced = rows.select(*kept, F.coalesce(place(docs, text), F.lit("")).alias("__text"))
     split = spaced.select(
         *kept,
         "__text",
@@ -118,7 +119,7 @@ def measured(docs: DataFrame, text: str = "text", name: str = "quality") -> Data
         "n_ellipsis_lines": like(r"(\.\.\.|…)[\x20\x09-\x0D]*$"),
     }
     return placed.select(
-        *kept, F.struct(*[v.cast("bigint").alias(k) for k, v in counts.items()]).alias(name)
+        *unsealed(docs), F.struct(*[v.cast("bigint").alias(k) for k, v in counts.items()]).alias(name)
     )
 
 
@@ -158,5 +159,5 @@ def quality_filter(
     docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + RULES, text: str = "text"
 ) -> DataFrame:
     """The documents that break no rule, with their own columns."""
-    rows = measured(docs, text, "__quality")
-    return rows.filter(~any_fails(F.col("__quality"), rules)).select(*columns(docs))
+    rows = measured(sealed(docs), place(docs, text), "quality")
+    return rows.filter(~any_fails(F.col("quality"), rules)).select(*unsealed(docs))
