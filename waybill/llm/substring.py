@@ -13,9 +13,10 @@ starts in a document with a smaller key is removed; windows are judged on the in
    ascending key order, are one shard. They stream through the suffix automaton of those
    before them; where the matching statistic reaches ``WINDOW`` words, a window is found,
    and maximal runs of such windows are removed. Then the segment is added to the automaton.
-3. Hot anchors. A shard holds at most ``HOT`` documents, which bounds its automaton. Windows
-   of more frequent anchors (a line that a third of all documents share) are matched as
-   grouped minima over the window's own 128-bit hash, combined on the map side, joined back.
+3. Hot anchors. A shard holds at most ``HOT`` documents, which bounds its automaton. Segments
+   of more frequent anchors (a line that a third of all documents share) are first reduced,
+   on the map side, to the distinct ones and their smallest keys; the windows of those take
+   grouped minima, and the documents' segments look theirs up.
 
 The automata travel to the data, not the reverse: here the reference is the corpus itself,
 so automata of all of it, broadcast, would grow with the corpus, and every document would
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waybill.llm.common import column
-from waybill.llm.words import factors, mix, runs, word_hashes
+from waybill.llm.words import runs, word_hashes
 from waybill.session import stored
 
 WINDOW = 13
@@ -250,15 +251,17 @@ def _words(raw: bytes) -> list[int]:
     return wide.reshape(-1).view("<u8").tolist()
 
 
-def _segments(docs: DataFrame, window: int) -> DataFrame:
+def _segments(docs: DataFrame, which: str, window: int) -> DataFrame:
+    """Segments around the document's anchors in column ``which``."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {c: [] for c in ("anchor", "id", "text_hash", "start", "words")}
-            names = ("id", "text", "copy", "text_hash", "light")
-            for key, text, copy, text_hash, light in zip(
+            names = ("id", "text", "copy", "text_hash", which)
+            for key, text, copy, text_hash, shared in zip(
                 *(batch.column(c).to_pylist() for c in names)
             ):
-                if key is None or copy or not text or not light:
+                if key is None or copy or not text or not shared:
                     continue
                 hashes = word_hashes(text.encode())
                 anchors, place = anchored(hashes, window)
@@ -266,7 +269,7 @@ def _segments(docs: DataFrame, window: int) -> DataFrame:
                     continue
                 begins = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
                 ends = np.append(begins[1:], len(place))
-                some = np.isin(anchors[begins], np.array(light, np.int64).view(_U))
+                some = np.isin(anchors[begins], np.array(shared, np.int64).view(_U))
                 raw = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_CUT].tobytes()
                 for s, e in zip(begins[some].tolist(), ends[some].tolist()):
                     out["start"].append(s)
@@ -320,49 +323,30 @@ def _matched(segments: DataFrame, window: int) -> DataFrame:
     return dealt.mapInArrow(stream, SPANS)
 
 
-def _hot_windows(docs: DataFrame, window: int) -> DataFrame:
-    """Windows with hot anchors: (w1, w2, id, text_hash, start)."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = factors(window, salt=991)
-        for batch in batches:
-            parts = []
-            names = ("id", "text", "copy", "text_hash", "heavy")
-            for key, text, copy, text_hash, heavy in zip(
-                *(batch.column(c).to_pylist() for c in names)
-            ):
-                if key is None or copy or not text or not heavy:
-                    continue
-                hashes = word_hashes(text.encode())
-                anchors, _ = anchored(hashes, window)
-                at = np.flatnonzero(np.isin(anchors, np.array(heavy, np.int64).view(_U)))
-                if not len(at):
-                    continue
-                other = hashes[: len(anchors)] * by[0]
-                for j in range(1, window):
-                    other += hashes[j : j + len(anchors)] * by[j]
-                parts.append((
-                    runs(hashes, window)[at], mix(other)[at], np.full(len(at), key, np.int64),
-                    np.full(len(at), text_hash, np.int64), at,
-                ))
-            cols = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c.astype(np.int64) if c.dtype != _U else c.view(np.int64))
-                 for c in cols[:4]] + [pa.array(cols[4].astype(np.int32))],
-                names=["w1", "w2", "id", "text_hash", "start"],
-            )
-
-    return docs.mapInArrow(
-        cut, "w1 bigint, w2 bigint, id bigint, text_hash bigint, start int"
+def _hot_matched(segments: DataFrame, window: int) -> DataFrame:
+    """(id, spans) per segment: its windows that a smaller key has too."""
+    named = segments.withColumn("segment", F.md5("words"))
+    distinct = named.groupBy("segment").agg(F.min("id").alias("low"), F.min("words").alias("words"))
+    n = (F.octet_length("words") / _CUT).cast("int") - window + 1
+    windows = distinct.select(
+        "segment", "low", "words", F.explode(F.sequence(F.lit(0), n - 1)).alias("at")
+    ).select(
+        "segment",
+        "low",
+        "at",
+        F.md5(F.substring("words", F.col("at") * _CUT + 1, F.lit(window * _CUT))).alias("window"),
     )
-
-
-def _hot_matched(windows: DataFrame) -> DataFrame:
-    lowest = windows.groupBy(F.col("w1").alias("__w1"), F.col("w2").alias("__w2")).agg(
-        F.min("id").alias("__low"), F.max("id").alias("__high")
-    ).filter("__low < __high")
-    met = windows.join(lowest, (F.col("w1") == F.col("__w1")) & (F.col("w2") == F.col("__w2")))
-    return met.filter("__low < id").select("id", "text_hash", "start", F.lit(1).alias("n"))
+    lowest = windows.groupBy(F.col("window").alias("__window")).agg(F.min("low").alias("__low"))
+    found = windows.join(lowest, F.col("window") == F.col("__window"))
+    found = found.groupBy(F.col("segment").alias("__segment")).agg(
+        F.collect_list(F.struct("at", "__low")).alias("found")
+    )
+    met = named.join(found, F.col("segment") == F.col("__segment"))
+    span = lambda x: F.struct(
+        "text_hash", (F.col("start") + x["at"]).alias("start"), F.lit(1).alias("n")
+    )
+    spans = F.transform(F.filter("found", lambda x: x["__low"] < F.col("id")), span)
+    return met.select("id", spans.alias("spans")).filter(F.size("spans") > 0)
 
 
 def without_repeats(
@@ -383,20 +367,23 @@ def without_repeats(
         F.min("id").alias("__first"), F.count(F.lit(1)).alias("__rows")
     ).filter("__rows > 1")
     copies = named.join(first, F.col("digest") == F.col("__digest")).filter("__first < id")
-    copies = copies.select(F.col("id").alias("__of"), F.col("digest").alias("__copy_of")).distinct()
-    copies = stored(copies, "copies")
-    same = (F.col("id") == F.col("__of")) & (F.sha2("text", 256) == F.col("__copy_of"))
-    base = rows.join(copies, same, "left").select(
-        "id", "text", F.xxhash64("text").alias("text_hash"), F.col("__of").isNotNull().alias("copy")
+    copies = copies.groupBy(F.col("id").alias("__of")).agg(F.collect_set("digest").alias("__copies"))
+    # by the key alone and always as a shuffle, like the joins below: the texts are dealt
+    # out once, and that exchange serves all three uses
+    copies = stored(copies, "copies").hint("merge")
+    same = F.array_contains("__copies", F.sha2("text", 256))
+    base = rows.join(copies, F.col("id") == F.col("__of"), "left").select(
+        "id", "text", F.xxhash64("text").alias("text_hash"),
+        F.coalesce(same, F.lit(False)).alias("copy"),
     )
     buckets = max(64, docs.count() // BUCKET_DOCS)
     anchors = shared_anchors(base.select("id", "text", "copy"), buckets, window, hot)
-    # left joins keep the dealt-out texts one and the same exchange for all three uses
     with_anchors = base.join(anchors, F.col("id") == F.col("__id"), "left").drop("__id")
-    light = _matched(_segments(with_anchors, window), window)
-    heavy = _hot_matched(_hot_windows(with_anchors, window))
+    light = _matched(_segments(with_anchors, "light", window), window)
+    light = light.select("id", F.array(F.struct("text_hash", "start", "n")).alias("spans"))
+    heavy = _hot_matched(_segments(with_anchors, "heavy", window), window)
     spans = light.unionByName(heavy).groupBy(F.col("id").alias("__id")).agg(
-        F.collect_list(F.struct("text_hash", "start", "n")).alias("spans")
+        F.flatten(F.collect_list("spans")).alias("spans")
     )
     final = base.join(spans, F.col("id") == F.col("__id"), "left").drop("__id")
 
