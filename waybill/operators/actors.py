@@ -141,8 +141,11 @@ def check_defaults(cls: type) -> None:
         raise TypeError(f"{cls.__name__}() needs defaults for: {', '.join(needed)}")
 
 
-class RowTimeout(Exception):
-    """A handler ran longer than its per-row limit."""
+class RowTimeout(BaseException):
+    """A handler ran longer than its per-row limit.
+
+    Not an ``Exception``: handlers that catch those must not swallow it.
+    """
 
 
 @contextmanager
@@ -196,6 +199,8 @@ def call_actor(token: str, actor: Actor, body: str) -> dict:
         handler = _handler(token, actor)
         with time_limit(actor.timeout):
             value = handler(json.loads(body))
+        if actor.timeout and perf_counter() - clock > actor.timeout:
+            raise RowTimeout  # the alarm was lost in native code or caught
         outs = [json.dumps(o, ensure_ascii=False, allow_nan=False) for o in outputs_of(value)]
     except RowTimeout:
         error = f"Runtime timeout exceeded after {actor.timeout:g}s"

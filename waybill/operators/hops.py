@@ -12,6 +12,8 @@ planning a long route cheap. Handlers are given as columns.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -389,10 +391,13 @@ def step(df: DataFrame, registry: Registry, actor: str, number: int = 1, **optio
     return hop(start(df), registry, number, only=actor, **options)
 
 
+UNROLL = 6  # hops in one plan
+
+
 def run(
     df: DataFrame,
     registry: Registry,
-    max_hops: int = 16,
+    max_hops: int | None = None,
     *,
     unroll: int | None = None,
     on_collision: str = "keep",
@@ -404,23 +409,30 @@ def run(
     ``details``, ``reason``, ``last_actor`` and ``trace``. Write or checkpoint
     it once when both terminals and hop log are wanted.
 
-    ``max_hops`` bounds the plan. With ``unroll`` the plan covers that many
-    hops at a time and is cut by a reliable checkpoint in between, which suits
-    long or growing routes; finished rows are then not carried along.
+    Without ``max_hops`` hops go on until no row is active. The plan covers
+    ``unroll`` hops at a time (``UNROLL`` by default) and is cut by a reliable
+    checkpoint in between; finished rows are then not carried along. A route
+    that rewrites itself for ever needs ``max_visits``.
+
+    With ``max_hops`` and no ``unroll`` the run is one lazy plan of that many
+    hops; rows that are still active after them end as errors.
     """
+    if max_hops is None and unroll is None:
+        unroll = UNROLL
     state = start(df)
     handlers = Handlers(registry, dict(state.dtypes)["payload"])
     options = {"on_collision": on_collision, "max_visits": max_visits, "handlers": handlers}
     done: list[DataFrame] = []
-    for number in range(1, max_hops + 1):
+    for number in count(1) if max_hops is None else range(1, max_hops + 1):
         state = hop(state, registry, number, **options)
-        if unroll and number % unroll == 0 and number < max_hops:
+        if unroll and number % unroll == 0 and number != max_hops:
             state = cut_lineage(state)
             done.append(state.filter(f"NOT ({_ACTIVE})"))
             state = state.filter(_ACTIVE)
             if state.isEmpty():
                 break
-    state = _overrun(state, max_hops)
+    if max_hops is not None:
+        state = _overrun(state, max_hops)
     for finished in done:
         state = finished.unionByName(state)
     return finish(state)

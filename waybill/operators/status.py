@@ -99,9 +99,11 @@ def apply_order(envs: DataFrame, upd: DataFrame, chunk_rows: int = SEQ_CHUNK) ->
 
 def progress(envs: DataFrame, upd: DataFrame, chunk_rows: int = SEQ_CHUNK) -> DataFrame:
     """Monotonic progress after every update of a known envelope."""
-    ordered = apply_order(envs, upd, chunk_rows).filter(~F.col("__made") & F.col("known"))
+    # creation rows take part: on resume they hold the progress reached before
+    ordered = apply_order(envs, upd, chunk_rows).filter("known")
     applied = F.when(~F.col("late"), F.col("raw"))
     rows = running(ordered, [ID], ["seq"], F.col("__chunk"), progress=Running("max", applied))
+    rows = rows.filter(~F.col("__made"))
     return rows.drop("__chunk", "__made", "known", "raw", *_CARRIED.values()).withColumn(
         "progress", F.round(F.coalesce("progress", F.lit(0.0)), 2)
     )

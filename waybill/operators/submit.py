@@ -163,7 +163,7 @@ def submit(
         "__missing", missing_params(arguments, F.col("specs"))
     )
     rejected = (
-        F.when(F.col("__known").isNull(), F.concat(F.lit("unknown tool: "), F.col("tool")))
+        F.when(F.col("__known").isNull(), F.concat(F.lit("unknown tool: "), F.coalesce("tool", F.lit(""))))
         .when(F.col("route_error").isNotNull(),
               F.concat(F.lit("route error: "), F.col("route_error")))
         .when(F.size("__missing") > 0,

@@ -217,6 +217,8 @@ def stream_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = ended.agg(F.min("envelope_id")).first()[0]
     path = scratch(spark, "tail")
     stream = B.update_columns(stream_table(spark, sf_dir, "events"))
-    tail(stream, [chosen], lambda b: b.write.mode("append").parquet(path),
-         scratch(spark, "tail-checkpoint")).wait()
+    ended = tail(stream, [chosen], lambda b: b.write.mode("append").parquet(path),
+                 scratch(spark, "tail-checkpoint")).wait()
+    if not ended:
+        raise RuntimeError(f"the tail of {chosen} stopped before its final status")
     return spark.read.parquet(path).select("envelope_id", "seq", "message")

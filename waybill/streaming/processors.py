@@ -9,7 +9,6 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from datetime import datetime
-from itertools import islice
 
 from pyspark import cloudpickle
 from pyspark.sql import Row
@@ -41,13 +40,12 @@ SNAPSHOT = T.StructType(
 WEIGHTS = {"received": 10.0, "processing": 50.0, "completed": 100.0}
 
 
-SLICE = 10_000
-
-
 def in_order(rows: Iterator[Row]) -> Iterator[Row]:
-    """Rows by sequence number, sorted slice by slice so that memory stays bounded."""
-    while part := list(islice(rows, SLICE)):
-        yield from sorted(part, key=lambda r: r.seq)
+    """One key's rows of a micro-batch by sequence number.
+
+    They are held together for that; ``stream_updates(max_files=...)`` bounds them.
+    """
+    return iter(sorted(rows, key=lambda r: r.seq))
 
 
 def apply_update(state: dict, row: dict) -> dict:

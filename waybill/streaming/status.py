@@ -144,12 +144,12 @@ class Tail:
         ended = batch.filter(is_final(F.col("status"))).select("envelope_id").distinct()
         self._open -= {r[0] for r in ended.collect()}
 
-    def wait(self, timeout: float = 60.0, pause: float = 0.2) -> bool:
-        """Run until every id is final or the time is over; True when all ended."""
+    def wait(self, timeout: float | None = None, pause: float = 0.2) -> bool:
+        """Run until every id is final, or for ``timeout`` seconds; True when all ended."""
         left = timeout
-        while self._open and self.query.isActive and left > 0:
+        while self._open and self.query.isActive and (left is None or left > 0):
             self.query.awaitTermination(pause)
-            left -= pause
+            left = None if left is None else left - pause
         self.query.stop()
         return not self._open
 
