@@ -104,6 +104,21 @@ def test_classes_equal_all_pairs(spark):
     assert got == brute(rows)
 
 
+def test_links_within_a_template_of_unlinked_texts(spark):
+    """Every text has many partners just below the limit and one above it."""
+    rng = random.Random(11)
+    words = lambda n: ["".join(rng.choices("abcdefgh", k=5)) for _ in range(n)]
+    template, rows = words(100), []
+    for _ in range(60):
+        shared = words(3)
+        rows += [(len(rows) + i, " ".join(template + shared + words(8))) for i in range(2)]
+    want = brute(rows)
+    assert len(set(want.values())) == 60
+    got = {r.doc_id: r.class_id for r in near_copies(
+        spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want
+
+
 def test_op4_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in

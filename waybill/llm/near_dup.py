@@ -15,8 +15,10 @@
    ``SIMILARITY`` or more are links, and classes are the links' connected components.
 5. The rest. Documents of a key that are not in the class of its smallest one are held
    against the others of the key by their samples, in blocks of about ``BLOCK`` by
-   ``BLOCK``. Of each block the ``CLOSEST`` that agree in ``AGREE`` samples or more, and did
-   not meet in an earlier band, are verified as in 4. (At a similarity of 0.8 fewer samples agree once in 5,000 pairs.)
+   ``BLOCK``. Pairs that agree in ``AGREE`` samples or more are verified as in 4, in rounds:
+   of two classes in a block first the ``ROUNDS[0]`` that agree most, then more of those
+   still apart, at last all, so that no such pair between two final classes is left
+   unverified. (At a similarity of 0.8 fewer samples agree once in 5,000 pairs.)
 
 The idf is smoothed to 1 .. 1 + IDF_SHARE: a group of near copies raises the frequency of its
 own shingles, and with a plain logarithm a group holding a third of the corpus would count
@@ -50,7 +52,8 @@ COUNTERS = 1 << 20
 CHUNK = 1 << 12  # counters per row of the frequency table
 BANDS, ROWS = 10, 3
 IDF_SHARE = 0.25
-BLOCK, CLOSEST, AGREE = 128, 4, 16
+BLOCK, AGREE = 128, 16
+ROUNDS = (1, 32, None)  # pairs of two classes and a block that a round verifies; the last all
 
 _U = np.uint64
 _BLOCK = 2048  # shingles sampled at a time
@@ -245,31 +248,32 @@ def candidate_pairs(members: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, name: str) -> DataFrame:
-    """Rows of (band, key, n, rep, class, drawn), gathered into blocks of about BLOCK."""
+    """Rows of (band, key, n, rep, class, apart, keys, drawn), in blocks of about BLOCK."""
     block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK))
-    row = F.struct("rep", "class", "drawn")
+    row = F.struct("rep", "class", "apart", "keys", "drawn")
     return (
         rows.groupBy("band", "key", block.alias(f"{name}_block"))
         .agg(F.collect_list(row).alias(name))
     )
 
 
-def remaining_pairs(members: DataFrame, reps: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of documents that share a key but, so far, no class, and agree in most samples."""
+def remaining_pairs(
+    members: DataFrame, reps: DataFrame, classes: DataFrame, most: int | None
+) -> DataFrame:
+    """Pairs (a, b) of documents that share a key but, so far, no class, and agree in most
+    samples: the first ``most`` of every two classes in a block. cut: whether there are more."""
     of = classes.select(F.col("node").alias("__node"), F.col("component").alias("__of"))
     low = of.select(F.col("__node").alias("__low"), F.col("__of").alias("__low_of"))
     named = (
         members.select("rep", "band", "key", "low", "n")
         .join(of, F.col("rep") == F.col("__node"), "left")
         .join(low, F.col("low") == F.col("__low"), "left")
-        .select(
-            "rep", "band", "key", "n",
-            F.coalesce("__of", "rep").alias("class"),
-            F.coalesce("__low_of", "low").alias("main"),
-        )
+        .select("rep", "band", "key", "n", F.coalesce("__of", "rep").alias("class"),
+                F.coalesce("__low_of", "low").alias("main"))
+        .select("rep", "band", "key", "n", "class", (F.col("class") != F.col("main")).alias("apart"))
     )
-    drawn = reps.select(F.col("rep").alias("__rep"), "drawn")
-    apart = stored(named.filter("class <> main"), "apart")
+    drawn = reps.select(F.col("rep").alias("__rep"), "keys", "drawn")
+    apart = stored(named.filter("apart"), "apart")
     keys = apart.select("band", "key").distinct()
     around = named.join(keys, ["band", "key"], "left_semi")
     with_drawn = lambda rows: rows.join(drawn, F.col("rep") == F.col("__rep"))
@@ -278,35 +282,45 @@ def remaining_pairs(members: DataFrame, reps: DataFrame, classes: DataFrame) ->
     def closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts(rows):
             return (
-                np.array([r["rep"] for r in rows]),
-                np.array([r["class"] for r in rows]),
+                *(np.array([r[c] for r in rows]) for c in ("rep", "class", "apart", "keys")),
                 np.frombuffer(b"".join(r["drawn"] for r in rows), "<u2").reshape(len(rows), -1),
             )
 
         for batch in batches:
-            a, b = [], []
+            a, b, cut = [], [], []
             for row in batch.to_pylist():
-                (x, xc, xs), (y, yc, ys) = parts(row["asked"]), parts(row["others"])
+                (x, xc, _, xk, xs), (y, yc, ya, yk, ys) = parts(row["asked"]), parts(row["others"])
                 agree = np.zeros((len(x), len(y)), np.int8)
-                earlier = np.zeros(agree.shape, bool)  # pairs that met in a band before
-                for band in range(BANDS):
-                    same = [xs[:, i, None] == ys[None, :, i]
-                            for i in range(band * ROWS, (band + 1) * ROWS)]
-                    agree += sum(s.astype(np.int8) for s in same)
-                    if band < row["band"]:
-                        earlier |= np.logical_and.reduce(same)
-                agree[earlier | (xc[:, None] == yc[None, :])] = 0
-                best = np.argsort(-agree, axis=1, kind="stable")[:, :CLOSEST]
-                for i, j in zip(*np.nonzero(np.take_along_axis(agree, best, 1) >= AGREE)):
-                    pair = int(x[i]), int(y[best[i, j]])
-                    a.append(min(pair))
-                    b.append(max(pair))
-            yield pa.RecordBatch.from_pydict(
-                {"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}
-            )
+                for i in range(BANDS * ROWS):
+                    agree += xs[:, i, None] == ys[None, :, i]
+                fine = (agree >= AGREE) & (xc[:, None] != yc[None, :])
+                # of two that both ask the smaller one does
+                fine &= ~ya[None, :] | (x[:, None] < y[None, :])
+                # those that share an earlier band's key meet there, in this round too
+                for band in range(row["band"]):
+                    fine &= xk[:, band, None] != yk[None, :, band]
+                i, j = np.nonzero(fine)
+                if not len(i):
+                    continue
+                low, high = np.minimum(xc[i], yc[j]), np.maximum(xc[i], yc[j])
+                order = np.lexsort((-agree[i, j], high, low))
+                i, j, low, high = i[order], j[order], low[order], high[order]
+                new = np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])]
+                first = np.flatnonzero(new)
+                rank = np.arange(len(i)) - first[np.cumsum(new) - 1]
+                size = np.diff(np.r_[first, len(i)])[np.cumsum(new) - 1]
+                take = rank < (len(i) if most is None else most)
+                a += np.minimum(x[i], y[j])[take].tolist()
+                b += np.maximum(x[i], y[j])[take].tolist()
+                cut += ((most or len(i)) < size)[take].tolist()
+            yield pa.RecordBatch.from_pydict({
+                "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()),
+                "cut": pa.array(cut, pa.bool_()),
+            })
 
     both = asked.join(others, ["band", "key"]).select("band", "asked", "others")
-    return both.mapInArrow(closest, "a bigint, b bigint").distinct()
+    found = both.mapInArrow(closest, "a bigint, b bigint, cut boolean")
+    return found.groupBy("a", "b").agg(F.max("cut").alias("cut"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, idf, similarity: float) -> DataFrame:
@@ -368,17 +382,25 @@ def near_copies(
     firsts = named.groupBy("id").agg(F.min("text").alias("text")) if _repeats(drawn) else named
 
     def linked(pairs: DataFrame) -> DataFrame:
-        found = verified(stored(pairs, "pairs"), firsts, idf, similarity)
+        found = verified(pairs, firsts, idf, similarity)
         return stored(found.select("a", "b"), "verified")
 
-    links = linked(candidate_pairs(members))
+    met = stored(candidate_pairs(members), "candidates")
+    links = linked(met)
     if firsts is not named:  # an id's texts belong together
         same = drawn.select("id", "copy").join(reps.select("copy", "rep"), "copy")
         links = links.unionByName(same.select(F.col("id").alias("a"), F.col("rep").alias("b")))
     classes = components(links)
-    more = linked(remaining_pairs(members, reps, classes))
-    if not more.isEmpty():
-        classes = components(links.unionByName(more))
+    for most in ROUNDS:
+        found = stored(remaining_pairs(members, reps, classes, most), "remaining")
+        pairs = stored(found.select("a", "b").join(met, ["a", "b"], "left_anti"), "pairs")
+        more = linked(pairs)
+        if not more.isEmpty():
+            joined = classes.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            classes = components(joined.unionByName(more))
+        if found.filter("cut").isEmpty():
+            break
+        met = met.unionByName(pairs)
     by_copy = reps.select(F.col("copy").alias("__copy"), "rep").join(
         classes, F.col("rep") == F.col("node"), "left"
     ).select("__copy", F.coalesce("component", "rep").alias("class_id"))
