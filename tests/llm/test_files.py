@@ -129,6 +129,25 @@ def test_invalid_values_stay(text):
     assert pseudonymize(text) == (text, 0)
 
 
+@pytest.mark.parametrize(
+    ("value", "behind"),
+    [("4111 1111 1111 1111", " 05/27"), ("4111111111111111", " 123"), ("4111-1111-1111-1111", " 7"),
+     ("GB82 WEST 1234 5698 7654 32", " PAID"), ("GB82WEST12345698765432", " NOW"),
+     ("2024-03-05", "T12:00:00Z"), ("1-800-555-1234", " 20"), ("1 (415) 555-2671", " 3"),
+     ("415-555-2671", " 12"), ("+1 415-555-2671", " 22"), ("+1 (415) 555-2671", " 3333"),
+     ("152.143.123.131", " 8080"), ("123-45-6789", " 12"), ("31/12/2001", " 10")],
+)
+def test_a_number_or_word_behind_a_value(value, behind):
+    alone, n = pseudonymize(value)
+    assert n == 1 and alone != value
+    assert pseudonymize(f"x {value}{behind} y") == (f"x {alone}{behind} y", 1)
+
+
+def test_no_number_behind_keeps_a_phone_in_the_clear():
+    text, n = pseudonymize("x +44 20 7946 0958 2024 y")
+    assert n == 1 and "7946 0958" not in text and text.endswith(" 2024 y")
+
+
 def test_without_pii_keeps_rows_and_columns(spark):
     rows = [(1, None, "a"), (2, "", "b"), (3, "ip 10.0.0.1", None), (3, "ip 10.0.0.1", None)]
     docs = spark.createDataFrame(rows, "doc_id int, text string, `__pii.text` string")

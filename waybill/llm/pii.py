@@ -136,6 +136,8 @@ def _phone(key: str, text: str) -> str | None:
     # the country code of an international number stays
     code = len(re.match(r"\+?(\d*)", text)[1]) if text[0] == "+" else 0
     code = code if 0 < code <= 3 else (1 if text[0] == "+" else 0)
+    if text[0] != "+" and len(digits) == 11:
+        code = 1  # the trunk 1
     body = digits[code:]
     new = _digits(key, "phone", (10,) * len(body), tuple(map(int, body)))
     return _put(text, digits[:code] + "".join(map(str, new)))
@@ -222,14 +224,39 @@ _NUMBERS = (
              r"|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4}", _date),
     ("social", r"\d{3}-\d{2}-\d{4}", _social),
     ("card", r"\d(?:[ -]?\d){12,18}", _card),
-    ("phone", r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}"
-              r"|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}", _phone),
+    ("phone", r"\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}"
+              r"|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}"
+              r"|(?:1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}", _phone),
 )
 _KINDS = {kind: fn for kind, _, fn in _NUMBERS}
+_PATTERNS = {kind: pattern for kind, pattern, _ in _NUMBERS}
+_END = r"(?![\w]|[.-]\w)"
+_ENDS = {"date": rf"(?:{_END}|(?=T\d))"}  # the time of day may follow
 _EACH = {
-    kind: re.compile(rf"(?<![\w.+-])(?:{pattern})(?![\w]|[.-]\w)", re.ASCII)
+    kind: re.compile(rf"(?<![\w.+-])(?:{pattern}){_ENDS.get(kind, _END)}", re.ASCII)
     for kind, pattern, _ in _NUMBERS
 }
+_SHORTER = {"iban", "card", "phone"}  # check digits or the greatest length tell where these end
+
+
+def _match(kind: str, text: str, place: int, key: str) -> tuple[int, str] | None:
+    """End and pseudonym of the longest value of the kind that begins at the place. What
+    follows may look like a part of it, so shorter ends at its spaces are tried too."""
+    m = _EACH[kind].match(text, place)
+    if not m:
+        return None
+    ends = [m.end()]
+    if kind in _SHORTER:
+        ends += [place + i for i, c in enumerate(m[0]) if c == " "][::-1]
+    for end in ends:
+        some = text[place:end]
+        if end == m.end() or re.fullmatch(_PATTERNS[kind], some, re.ASCII):
+            new = _KINDS[kind](key, some)
+            if new is not None:
+                return end, new
+    return None
+
+
 # where any of them may begin
 _START = re.compile(r"(?<![\w.+-])(?:[+(]?\d|[A-Fa-f]{1,31}\d|[A-Z]{2}\d|AKIA|ASIA|gh[pousr]_|sk-|xox)",
                     re.ASCII)
@@ -254,12 +281,11 @@ def pseudonymize(text: str, key: str = KEY) -> tuple[str, int]:
         place, end = at.start(), at.end()
         if text[place] == "(":  # a bracket around a value, or a phone number's own
             end = place + 1
-        for kind, pattern in _EACH.items():
-            m = pattern.match(text, place)
-            new = m and _KINDS[kind](key, m[0])
-            if new is not None:
-                out += (text[done:place], new)
-                done = end = m.end()
+        for kind in _KINDS:
+            found = _match(kind, text, place, key)
+            if found:
+                out += (text[done:place], found[1])
+                done = end = found[0]
                 n += 1
                 break
         at = _START.search(text, end)
