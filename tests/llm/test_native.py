@@ -1,6 +1,7 @@
 """Quality rules and mixing: plain versions and odd rows."""
 
 import math
+import time
 from collections import Counter
 
 import pytest
@@ -52,6 +53,18 @@ def test_quality_filter_rows_and_columns(spark):
     assert sorted(r.doc_id for r in only.collect()) == [2, 4]
 
 
+def test_long_text_is_filtered_in_linear_time(spark):
+    """Counts under a filter are computed once: not again for every window."""
+    rows = [(n, " ".join(f"the w{i}" for i in range(n))) for n in (200, 20_000)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    began = time.perf_counter()
+    assert sorted(r.doc_id for r in quality_filter(docs).collect()) == [200, 20_000]
+    assert measured(docs).filter("quality.n_words > 1000").count() == 1
+    assert time.perf_counter() - began < 20
+    plan = quality_filter(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64") == 1
+
+
 def filled(sizes, weights, cap=3):
     """Targets by repeated clamping and resharing."""
     total, target, full = sum(sizes), [0.0] * len(sizes), set()

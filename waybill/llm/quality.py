@@ -80,7 +80,9 @@ def measured(docs: DataFrame, text: str = "text", name: str = "quality") -> Data
         F.array_remove(F.split("__text", SEPARATORS), "").alias("__words"),
         F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__lines"),
     )
-    # windows as (hash, position), sorted: equal ones become neighbours
+    # windows as (hash, position), sorted: equal ones become neighbours. Arrays are shifted and
+    # zipped, so no lambda refers to another array: what the optimizer inlines is evaluated
+    # once a row, never once an element
     n = F.size("__words")
     w = F.col("__words")
     window = lambda i: F.struct(
@@ -91,19 +93,15 @@ def measured(docs: DataFrame, text: str = "text", name: str = "quality") -> Data
     )
     hashed = split.withColumn("__win", F.sort_array(F.transform(starts(n - 2), window)))
     s = F.col("__win")
-    same = lambda a, b: F.coalesce(F.get(s, a)["h"] == F.get(s, b)["h"], F.lit(False))
-    twice = F.filter(starts(F.size(s)), lambda k: same(k, k - 1) | same(k, k + 1))
-    placed = hashed.select(
-        *kept,
-        "__text",
-        "__words",
-        "__lines",
-        F.sort_array(F.transform(twice, lambda k: F.get(s, k)["i"])).alias("__at"),
+    beside = F.zip_with(s, _later(s), lambda x, y: F.struct(x.alias("x"), (x["h"] == y["h"]).alias("e")))
+    paired = hashed.select(*kept, "__text", "__words", "__lines", beside.alias("__beside"))
+    e = F.col("__beside")
+    twice = F.zip_with(e, _earlier(e), lambda x, y: F.when(x["e"] | y["e"], x["x"]["i"]))
+    placed = paired.select(
+        *kept, "__text", "__words", "__lines", F.sort_array(F.array_compact(twice)).alias("__at")
     )
     at = F.col("__at")
-    covered = F.transform(
-        at, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(at, j + 1) - x, F.lit(3)))
-    )
+    covered = F.zip_with(at, _later(at), lambda x, y: F.least(F.lit(3), F.coalesce(y - x, F.lit(3))))
     lines = F.col("__lines")
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
     like = lambda pattern: F.size(F.filter(lines, lambda x: x.rlike(pattern)))
@@ -118,9 +116,21 @@ def measured(docs: DataFrame, text: str = "text", name: str = "quality") -> Data
         "n_bullet_lines": like(r"^[\x20\x09-\x0D]*[-*•‣·]"),
         "n_ellipsis_lines": like(r"(\.\.\.|…)[\x20\x09-\x0D]*$"),
     }
-    return placed.select(
-        *unsealed(docs), F.struct(*[v.cast("bigint").alias(k) for k, v in counts.items()]).alias(name)
-    )
+    found = F.struct(*[v.cast("bigint").alias(k) for k, v in counts.items()])
+    # a generator: a filter on the counts stays above it, so they are computed once
+    return placed.select(*unsealed(docs), F.explode(F.array(found)).alias(name))
+
+
+def _later(xs: Column) -> Column:
+    """The array without its first element: each place holds the next one, the last null."""
+    return F.slice(xs, F.lit(2), F.greatest(F.size(xs), F.lit(0)))
+
+
+def _earlier(xs: Column) -> Column:
+    """The array one place on: each place holds the one before, the first null."""
+    return F.when(F.size(xs) > 0, F.concat(
+        F.array(F.get(F.slice(xs, 1, 0), F.lit(0))), F.slice(xs, F.lit(1), F.size(xs) - 1)
+    )).otherwise(xs)
 
 
 def measure(counts: Column, name: str) -> Column:
