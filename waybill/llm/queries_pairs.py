@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from waybill.llm.near_dup import near_copies
 from waybill.llm.registry import query, table
 from waybill.llm.substring import without_repeats
+from waybill.llm.variants import spelling_variants
 from waybill.llm.vectors import near_vectors
 
 
@@ -49,3 +50,12 @@ FROM embeddings JOIN part ON part.v = vec_id
 def op9_vectors(spark, sf_dir):
     """Links and components of all vectors."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_variants")
+def op13_variants(spark, sf_dir):
+    """Words of all documents, their near words and the forms they stand for."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling_variants(docs).select(
+        "word", "form", "root", "n", "n_near", F.col("form_n").cast("bigint").alias("form_n")
+    )
