@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from waybill.llm.alignment import aligned
 from waybill.llm.html_text import extract
 from waybill.llm.packing import pack
 from waybill.llm.pii import pseudonyms
@@ -13,10 +14,10 @@ from waybill.llm.warc import read_archives, records, write_archives
 from waybill.session import scratch
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
+    return str(public_tokenizers.path(name))
 
 
 @query("op2_token_ids")
@@ -90,3 +91,10 @@ def op10_pii(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = docs.select("doc_id", pseudonyms(F.col("text")).alias("pii"))
     return done.select("doc_id", F.col("pii.text").alias("text"), "pii.n_replaced")
+
+
+@query("op11_alignment")
+def op11_alignment(spark, sf_dir):
+    """Overlap links and groups of two tokenizations of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return aligned(docs, tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
