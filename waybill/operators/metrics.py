@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waybill.functions.text import metric_name
-from waybill.operators.scan import exact_quantile
+from waybill.operators.scan import Running, exact_quantile, running
 from waybill.schema import TRACE_ENTRY
 
 # Bucket bounds in seconds, and in bytes for sizes.
@@ -151,16 +151,16 @@ def _grid(ts: Column, seconds: int) -> Column:
     return F.ceil(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("bigint")
 
 
-def gauge_over_time(
-    df: DataFrame, by: list[str], seconds: int, **gauges: tuple[Column, Column]
+def _gauge_steps(
+    df: DataFrame, by: list[str], seconds: int, gauges: dict[str, tuple[Column, Column]]
 ) -> DataFrame:
-    """Rows open at each grid point: ``start <= t`` and (``end`` null or ``end > t``).
+    """Values from each grid step with moves (``__at``) to the next one (``__next``).
 
-    Starts and ends are counted per grid step on the map side and summed along
-    the grid, so no row is ever compared with every point in time.
+    Starts and ends are counted per grid step on the map side and summed along the steps that
+    have some, so no row is ever compared with every point in time, and a stray time costs a row.
     """
     names, row = list(gauges), []
-    for i, (name, (begin, end)) in enumerate(gauges.items()):
+    for i, (begin, end) in enumerate(gauges.values()):
         for at, sign in ((begin, 1), (end, -1)):
             row.append(
                 F.when(
@@ -170,25 +170,42 @@ def gauge_over_time(
                 )
             )
     moves = df.select(*by, F.explode(F.array_compact(F.array(*row))).alias("s"))
-    delta = moves.groupBy(*by, F.col("s.at").alias("at")).agg(
+    delta = moves.groupBy(*by, F.col("s.at").alias("__at")).agg(
         *[F.sum(F.when(F.col("s.g") == i, F.col("s.d")).otherwise(0)).alias(n)
           for i, n in enumerate(names)]
     )
-    span = delta.groupBy(*by).agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
-    points = span.select(*by, F.explode(F.sequence("lo", "hi")).alias("at"))
-    zero = points.select(*by, "at", *[F.lit(0).cast("bigint").alias(n) for n in names])
-    filled = delta.unionByName(zero).groupBy(*by, "at").agg(*[F.sum(n).alias(n) for n in names])
-    along = (
-        Window.partitionBy(*by).orderBy("at")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return filled.select(
-        *by,
-        F.timestamp_seconds(F.col("at") * F.lit(seconds)).alias("at"),
+    order = Window.partitionBy(*by).orderBy("__at")
+    along = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return delta.select(
+        *by, "__at", F.lead("__at").over(order).alias("__next"),
         *[F.sum(n).over(along).alias(n) for n in names],
     )
 
 
+def gauge_runs(
+    df: DataFrame, by: list[str], seconds: int, **gauges: tuple[Column, Column]
+) -> DataFrame:
+    """Rows open at the grid points from ``start`` up to before ``end`` (null: to no end)."""
+    found = _gauge_steps(df, by, seconds, gauges)
+    when = lambda c: F.timestamp_seconds(F.col(c) * F.lit(seconds))
+    return found.select(*by, when("__at").alias("start"), when("__next").alias("end"), *gauges)
+
+
+def gauge_over_time(
+    df: DataFrame, by: list[str], seconds: int, **gauges: tuple[Column, Column]
+) -> DataFrame:
+    """Rows open at each grid point: ``start <= t`` and (``end`` null or ``end > t``).
+
+    Every point from the first move to the last; ``gauge_runs`` has the same without repeats.
+    """
+    found = _gauge_steps(df, by, seconds, gauges)
+    points = F.sequence("__at", F.coalesce(F.col("__next") - 1, F.col("__at")))
+    dense = found.select(*by, F.explode(points).alias("__point"), *gauges)
+    return dense.select(
+        *by, F.timestamp_seconds(F.col("__point") * F.lit(seconds)).alias("at"), *gauges
+    )
+
+
 def active(hops: DataFrame, seconds: int = 3600, by: tuple[str, ...] = ("queue",)) -> DataFrame:
     """In-flight rows at every grid point."""
     return gauge_over_time(
@@ -213,6 +230,19 @@ def queue_depth(hops: DataFrame, seconds: int = 3600, by: tuple[str, ...] = ("qu
     )
 
 
+def queue_depth_runs(
+    hops: DataFrame, seconds: int = 3600, by: tuple[str, ...] = ("queue",)
+) -> DataFrame:
+    """Rows waiting and rows in work, as runs of grid points with equal numbers."""
+    return gauge_runs(
+        hops,
+        list(by),
+        seconds,
+        queued=(F.col("enqueued_at"), F.col("started_at")),
+        processing=(F.col("started_at"), F.col("ended_at")),
+    )
+
+
 def capacity(depth: DataFrame, target: int, low: int = 0, high: int = 50) -> DataFrame:
     """Workers needed for a depth: ceil(depth / target) within [low, high]."""
     need = F.ceil((F.col("queued") + F.col("processing")) / F.lit(target)).cast("bigint")
@@ -344,49 +374,125 @@ class Thresholds:
 
 
 def alerts(
-    hops: DataFrame, depth: DataFrame | None = None, limits: Thresholds = Thresholds(),
-    window: int = 300, slide: int = 60,
+    hops: DataFrame, limits: Thresholds = Thresholds(), window: int = 300, slide: int = 60,
+    *, depth: bool = True,
 ) -> DataFrame:
     """Alerts as (alert, queue, at, value).
 
-    ``depth`` is a ``queue_depth`` series on a grid of ``slide`` seconds.
+    The log is read twice: once down to counts and queue moves per queue and step, from which
+    three alerts follow along the steps, and once for the processing times above their limit.
+    ``depth`` needs the column ``enqueued_at``.
     """
-    first = F.col("pos") == 0
-    failed_row = first & F.col("outcome").isin(*FAILED)
-    broken = first & (F.col("error_type") == "execution_error")
-    per_step = steps(
-        hops, "started_at", ["queue"], slide,
-        n=F.count_if(first), bad=F.count_if(failed_row), broken=F.count_if(broken),
-    )
-    series = sliding(per_step, ["queue"], window, slide, n="n", bad="bad", broken="broken")
-    shown = lambda df, alert, value: df.select(
-        F.lit(alert).alias("alert"), "queue",
-        F.timestamp_seconds("start").alias("at"), value.cast("double").alias("value"),
-    )
+    series = _alert_steps(hops, window, slide, depth)
+    order = Window.partitionBy("queue").orderBy("start")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    behind = Window.partitionBy("queue").orderBy(F.desc("start"))
+    counted, moved = F.col("c") > 0, F.col("m") > 0
     share = F.col("bad") / F.nullif(F.col("n"), F.lit(0))
-    ratio = series.withColumn("share", share).withColumn(
-        "hit", F.coalesce(F.col("share") > limits.error_ratio, F.lit(False))
+    hit = counted & F.coalesce(share > limits.error_ratio, F.lit(False))
+    back = order.rangeBetween(-(limits.error_for - slide), 0)
+    deep = moved & (F.col("queued") > limits.depth)
+    rows = (
+        series.withColumn("queued", F.sum("d").over(upto))
+        .withColumn("hits", F.sum(hit.cast("int")).over(back))
+        # a deep stretch ends where the queue is not deep any more
+        .withColumn("shallow", F.sum((moved & ~deep).cast("int")).over(upto))
+        .withColumn("next", F.last(F.when(moved, F.col("start")), ignorenulls=True).over(
+            behind.rowsBetween(Window.unboundedPreceding, -1)))
     )
-    out = shown(held_for(ratio, ["queue"], "hit", slide, limits.error_for),
-                "high_error_ratio", F.col("share"))
+    stretch = Window.partitionBy("queue", "shallow")
+    rows = rows.withColumn("since", F.min(F.when(deep, F.col("start"))).over(stretch))
+    begin = F.greatest(F.col("start"), F.col("since") + F.lit(limits.depth_for - slide))
+    end = F.coalesce(F.col("next"), F.col("start") + slide) - slide
     speed = F.col("broken") / F.lit(float(window))
-    out = out.unionByName(
-        shown(series.filter(speed > limits.runtime_error_rate), "runtime_errors", speed)
-    )
-    start = (F.floor(F.unix_micros("started_at") / F.lit(window * 1_000_000)) * window)
-    timed = hops.filter(first & F.col("duration_s").isNotNull()).withColumn(
-        "start", start.cast("bigint")
+    found = lambda name, at, value: F.struct(
+        F.lit(name).alias("alert"), at.alias("at"), value.cast("double").alias("value"))
+    one = lambda on, entry: F.when(on, F.array(entry))
+    entries = [
+        one(F.col("hits") * slide >= limits.error_for, found("high_error_ratio", F.col("start"), share)),
+        one(counted & (speed > limits.runtime_error_rate),
+            found("runtime_errors", F.col("start"), speed)),
+        F.when(deep & (begin <= end), F.transform(
+            F.sequence(begin, end, F.lit(slide).cast("bigint")),
+            lambda t: found("queue_depth", t, F.col("queued")))),
+    ]
+    # only steps with rows of the log have an error ratio
+    entries[0] = F.when(counted, entries[0])
+    spread = rows.select("queue", F.explode(F.flatten(F.array_compact(F.array(*entries)))).alias("e"))
+    out = spread.select("e.alert", "queue", F.timestamp_seconds("e.at").alias("at"), "e.value")
+    return out.unionByName(_slow(hops, limits.p95_seconds, window))
+
+
+def _alert_steps(hops: DataFrame, window: int, slide: int, depth: bool) -> DataFrame:
+    """(queue, start, n, bad, broken, c, d, m): sums of the window from ``start`` on, with the
+    number of rows (c); moves of the queue (d) and their number (m) at the step itself."""
+    first = F.col("pos") == 0
+    failed_row = first & F.col("outcome").isin(*FAILED)
+    broken = first & (F.col("error_type") == "execution_error")
+    step = (F.floor(F.unix_micros("started_at") / F.lit(slide * 1_000_000)) * slide).cast("bigint")
+    number = lambda c: F.coalesce(c, F.lit(False)).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+
+    def entry(at, c, n, bad, ended, d, m):
+        names = ("at", "c", "n", "bad", "broken", "d", "m")
+        values = (at, c, n, bad, ended, d, m)
+        return F.struct(*[v.cast("bigint").alias(k) for k, v in zip(names, values)])
+
+    row = [F.when(F.col("started_at").isNotNull(), entry(
+        step, F.lit(1), number(first), number(failed_row), number(broken), zero, zero))]
+    if depth:
+        grid = lambda c: _grid(F.col(c), slide) * slide
+        known = F.col("enqueued_at").isNotNull()
+        for name, on, d in (("enqueued_at", known, 1), ("started_at", known, -1),
+                            ("ended_at", F.col("started_at").isNotNull(), 0)):
+            row.append(F.when(on & F.col(name).isNotNull(),
+                              entry(grid(name), zero, zero, zero, zero, F.lit(d), F.lit(1))))
+    sums = ("c", "n", "bad", "broken", "d", "m")
+    moves = hops.select("queue", F.explode(F.array_compact(F.array(*row))).alias("s"))
+    per_step = moves.groupBy("queue", F.col("s.at").alias("at")).agg(
+        *[F.sum(f"s.{c}").alias(c) for c in sums])
+    # a step's counts feed every window it lies in, its moves only the step itself
+    starts = F.when(F.col("c") > 0, F.sequence(
+        F.col("at") - F.lit(window - slide), F.col("at"), F.lit(slide).cast("bigint")
+    )).otherwise(F.array("at"))
+    spread = per_step.select("queue", "at", *sums, F.explode(starts).alias("start"))
+    own = F.col("at") == F.col("start")
+    return spread.groupBy("queue", "start").agg(
+        *[F.sum(c).alias(c) for c in sums[:4]],
+        *[F.sum(F.when(own, F.col(c)).otherwise(0)).alias(c) for c in sums[4:]],
     )
-    slow = exact_quantile(timed, ["queue", "start"], "duration_s", 0.95, "p95")
-    out = out.unionByName(
-        shown(slow.filter(F.col("p95") > limits.p95_seconds), "slow_processing", F.col("p95"))
+
+
+def _slow(hops: DataFrame, limit: float, window: int) -> DataFrame:
+    """Windows whose exact P95 of the processing time is above the limit.
+
+    Times up to the limit are counted where they are read, with the largest of them; only those
+    above it move, and they are ranked in parts of a sixteenth of a doubling.
+    """
+    v, c = F.col("duration_s"), F.col("__c")
+    start = (F.floor(F.unix_micros("started_at") / F.lit(window * 1_000_000)) * window).cast("bigint")
+    timed = hops.filter((F.col("pos") == 0) & v.isNotNull() & F.col("started_at").isNotNull())
+    counted = timed.groupBy(
+        "queue", start.alias("start"), F.when(v > limit, v).alias("__over")
+    ).agg(F.count(F.lit(1)).alias("__c"), F.max(v).alias("__v"))
+    whole = Window.partitionBy("queue", "start")
+    pos = (F.col("__n") - 1) * F.lit(0.95)
+    ranked = counted.withColumn("__n", F.sum(c).over(whole)).select(
+        "queue", "start", "__over", "__c", "__v",
+        F.floor(pos).alias("__lo"), F.ceil(pos).alias("__hi"), (pos - F.floor(pos)).alias("__share"),
+        F.sum(F.when(F.col("__over").isNull(), c).otherwise(0)).over(whole).alias("__under"),
+    ).filter(F.col("__under") <= F.col("__hi"))
+    part = F.when(F.col("__over").isNull(), F.lit(-(1 << 62))).otherwise(
+        F.floor(F.log2(F.col("__over")) * 16))
+    ends = running(ranked, ["queue", "start"], ["__v"], part.cast("bigint"), __end=Running("sum", c))
+    holds = lambda r: (F.col(r) >= F.col("__end") - c) & (F.col(r) < F.col("__end"))
+    # of the times up to the limit the largest is the last, and no other can be needed
+    last = F.col("__over").isNotNull() | (F.col("__lo") == F.col("__end") - 1)
+    low = F.max(F.when(holds("__lo") & last, F.col("__v")))
+    high = F.max(F.when(holds("__hi"), F.col("__v")))
+    p95 = F.when(low == high, low).otherwise(low + (high - low) * F.max("__share"))
+    found = ends.groupBy("queue", "start").agg(p95.alias("value")).filter(F.col("value") > limit)
+    return found.select(
+        F.lit("slow_processing").alias("alert"), "queue",
+        F.timestamp_seconds("start").alias("at"), "value",
     )
-    if depth is not None:
-        deep = depth.withColumn("start", F.unix_seconds("at")).withColumn(
-            "hit", F.col("queued") > limits.depth
-        )
-        out = out.unionByName(
-            shown(held_for(deep, ["queue"], "hit", slide, limits.depth_for),
-                  "queue_depth", F.col("queued"))
-        )
-    return out

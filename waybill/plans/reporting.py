@@ -125,6 +125,22 @@ def inflight_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.queue_depth(hops(spark, sf_dir)).withColumn("at", utc("at"))
 
 
+@query("depth_runs", f"""WITH {HOP_SQL}, moves AS (
+  SELECT queue, ceil(epoch_us(enqueued_at) / 600e6)::BIGINT AS h, 1 AS q, 0 AS p FROM hop
+  UNION ALL SELECT queue, ceil(epoch_us(started_at) / 600e6)::BIGINT, -1, 1 FROM hop
+  UNION ALL SELECT queue, ceil(epoch_us(ended_at) / 600e6)::BIGINT, 0, -1 FROM hop
+), steps AS (SELECT queue, h, sum(q) AS q, sum(p) AS p FROM moves GROUP BY ALL)
+SELECT queue, to_timestamp(h * 600)::TIMESTAMP AS start,
+       to_timestamp(lead(h) OVER w * 600)::TIMESTAMP AS "end",
+       (sum(q) OVER w)::BIGINT AS queued, (sum(p) OVER w)::BIGINT AS processing
+FROM steps WINDOW w AS (PARTITION BY queue ORDER BY h)""")
+def depth_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waiting and in-flight rows per queue, as runs of ten-minute points."""
+    out = M.queue_depth_runs(hops(spark, sf_dir), seconds=600)
+    return out.select("queue", utc("start").alias("start"), utc("end").alias("end"),
+                      "queued", "processing")
+
+
 @query("active_now", f"""WITH {HOP_SQL}
 SELECT queue, count(*) FILTER (started_at <= TIMESTAMP '2024-01-15 12:00:00'
        AND ended_at > TIMESTAMP '2024-01-15 12:00:00') AS active FROM hop GROUP BY ALL""")
@@ -231,6 +247,16 @@ def latency_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("queue", F.round("p95", 6).alias("p95"))
 
 
+@query("latency_p95_tiny", f"""WITH {HOP_SQL}
+SELECT queue, round(quantile_cont(value / 1e7::DOUBLE, 0.95) * 1e7::DOUBLE, 6) AS p95
+FROM hop GROUP BY ALL""")
+def latency_p95_tiny(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact P95 of times far below a millisecond."""
+    rows = hops(spark, sf_dir).withColumn("tiny", F.col("value") / F.lit(1e7))
+    out = M.latency_quantile(rows, "tiny", ["queue"], 0.95, "p95")
+    return out.select("queue", F.round(F.col("p95") * 1e7, 6).alias("p95"))
+
+
 @query("latency_p95_daily", f"""WITH {HOP_SQL}
 SELECT queue, date_trunc('day', started_at)::TIMESTAMP AS day,
        round(quantile_cont(duration_s, 0.95), 6) AS p95 FROM hop GROUP BY ALL""")
@@ -307,7 +333,5 @@ ALERT_LIMITS = M.Thresholds(error_ratio=0.1, error_for=180, depth=2, depth_for=3
 SELECT alert, queue, to_timestamp(start)::TIMESTAMP AS "at", round(value, 6) AS value FROM found""")
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threshold alerts on error ratio, runtime errors, P95 and queue depth."""
-    rows = hops(spark, sf_dir)
-    depth = M.queue_depth(rows, seconds=60)
-    out = M.alerts(rows, depth, ALERT_LIMITS)
+    out = M.alerts(hops(spark, sf_dir), ALERT_LIMITS)
     return out.select("alert", "queue", utc("at").alias("at"), F.round("value", 6).alias("value"))
