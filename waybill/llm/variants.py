@@ -41,12 +41,11 @@ from waybill.session import stored
 LEAST_CHARS, LEAST_COUNT, FACTOR = 6, 5, 5
 DELETE_ONE_IN = 199
 HELD = 200_000  # distinct words that a task holds before it hands their counts on
-SUBTREE, LEAF = 4096, 24
+SUBTREE, LEAF = 16_384, 256
 LISTED = 200_000  # nodes of the top that are broadcast at most; a node takes about 50 bytes
 
-# fixed values: a run of letters, and the letters that are lower-cased
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+# fixed value: a run of letters, of those that may be long enough
+RUN = re.compile("[A-Za-zÀ-ÿ]{%d,}" % LEAST_CHARS)
 # letter groups, in the order of the levels; the last level counts all other letters
 GROUPS = ("e", "n", "i", "r", "a", "t", "s", "o", "u", "d", "h", "l", "c", "g", "m",
           "b", "f", "p", "k", "wv", "yz", "jxq", "àáâãäå", "èéêë", "ìíîïòóôõö", "ùúûüýÿ")
@@ -59,18 +58,19 @@ LEVELS = len(GROUPS) + 1
 
 def words_of(key: object, text: str | None) -> Iterator[tuple[str, int]]:
     """The text's words and how often each occurs: lower-cased runs, some with a letter deleted."""
-    runs = Counter(RUN.findall(text or ""))
-    lowered: Counter = Counter()
-    for run, n in runs.items():
-        lowered[run.translate(LOWER)] += n
-    name = b"%s:" % ("" if key is None else str(key)).encode()
-    for run, n in lowered.items():
-        h = zlib.crc32(name + run.encode())
+    if not text:
+        return
+    # bytes have A-Z alone in lower case
+    lowered = text.lower() if text.isascii() else text.encode("utf-8", "replace").lower().decode()
+    start = zlib.crc32(b"%s:" % ("" if key is None else str(key)).encode())
+    for run, n in Counter(RUN.findall(lowered)).items():
+        h = zlib.crc32(run.encode(), start)
         if h % DELETE_ONE_IN == 0:
             at = h % len(run)
             run = run[:at] + run[at + 1 :]
-        if len(run) >= LEAST_CHARS:
-            yield run, n
+            if len(run) < LEAST_CHARS:
+                continue
+        yield run, n
 
 
 def word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text",
@@ -99,10 +99,32 @@ def word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return parts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
-def vector(word: str) -> np.ndarray:
-    """Count of each letter group."""
-    codes = np.frombuffer(word.encode("utf-32-le"), "<u4")
-    return np.bincount(_LEVEL[np.minimum(codes, 0xFF)], minlength=LEVELS)
+def vectors(words: list[str]) -> np.ndarray:
+    """Counts of the letter groups, a row per word."""
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+    row = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+    at = row * LEVELS + _LEVEL[np.minimum(codes, 0xFF)]
+    return np.bincount(at, minlength=len(words) * LEVELS).reshape(-1, LEVELS).astype(np.int32)
+
+
+def marks_of(counts: np.ndarray) -> np.ndarray:
+    """Two bits per level: one letter or more, two or more."""
+    bits = np.uint64(1) << np.arange(2 * LEVELS, dtype=np.uint64)
+    some = np.concatenate([counts > 0, counts > 1], axis=1)
+    return (some * bits[None, :]).sum(axis=1, dtype=np.uint64)
+
+
+def ends_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last three letters, as numbers. A single edit leaves the first or the
+    last half of a word as it is."""
+    half = LEAST_CHARS // 2
+    code = lambda parts: np.frombuffer(
+        "".join(parts).encode("utf-32-le"), "<u4").reshape(-1, half).astype(np.int64) @ (
+            np.int64(1) << np.arange(0, 8 * half, 8))
+    empty = np.zeros(0, np.int64)
+    if not words:
+        return empty, empty
+    return code([w[:half] for w in words]), code([w[-half:] for w in words])
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -160,12 +182,12 @@ def _spell(path) -> str:
 def top_of(words: DataFrame, subtree: int = SUBTREE, listed: int = LISTED) -> Top:
     """The nodes with more than ``subtree`` words and their children."""
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [vector(w).tolist() for w in batch.column("word").to_pylist()]
+            found = vectors(batch.column("word").to_pylist()).tolist()
             yield pa.RecordBatch.from_pydict({"v": pa.array(found, pa.list_(pa.int32()))})
 
-    distinct = words.select("word").mapInArrow(vectors, "v array<int>").groupBy("v").count()
+    distinct = words.select("word").mapInArrow(counted, "v array<int>").groupBy("v").count()
     depths = F.sequence(F.lit(0), F.lit(LEVELS))
     prefixes = distinct.select(
         F.explode(F.transform(depths, lambda d: F.slice("v", F.lit(1), d))).alias("path"), "count"
@@ -187,19 +209,20 @@ class Subtree:
 
     def __init__(self, words: list[str], n: list[int]):
         self.words, self.n = words, n
-        self.vectors = np.stack([vector(w) for w in words]) if words else np.zeros((0, LEVELS), int)
+        self.vectors = vectors(words)
+        self.marks, self.ends = marks_of(self.vectors), ends_of(words)
 
-    def search(self, asking: list[str], depth: int, budget: np.ndarray):
-        """(place in asking, place in words) of words one edit apart. budget: unspent surplus
-        and deficit of each asking word, of which ``depth`` levels are dealt with."""
-        own = np.stack([vector(w) for w in asking])
+    def search(self, asking: list[str], own: np.ndarray, depth: int, budget: np.ndarray):
+        """(place in asking, place in words) of words one edit apart. own: vectors of the asking
+        words; budget: their unspent surplus and deficit after ``depth`` levels."""
         out: list[tuple[int, int]] = []
+        marks, ends = marks_of(own), ends_of(asking)
 
         def descend(level, held, rows, plus, minus):
             if not len(held) or not len(rows):
                 return
             if level == LEVELS or len(held) <= LEAF:
-                self._leaf(level, held, rows, plus, minus, own, asking, out)
+                self._leaf(held, rows, own, marks, ends, asking, out)
                 return
             counts = self.vectors[held, level]
             wants = own[rows, level]
@@ -215,17 +238,21 @@ class Subtree:
                 budget[:, 0].astype(bool), budget[:, 1].astype(bool))
         return out
 
-    def _leaf(self, level, held, rows, plus, minus, own, asking, out):
-        """The rest of the vectors at once, then the letters."""
+    def _leaf(self, held, rows, own, marks, ends, asking, out):
+        """Marks first: a surplus and a deficit change one each. Then the words' ends, the
+        vectors, and the letters."""
         for at in range(0, len(rows), 4096):
-            part = slice(at, at + 4096)
-            rest = self.vectors[held, level:][None, :, :] - own[rows[part], level:][:, None, :]
-            up, down = np.maximum(rest, 0).sum(axis=2), np.maximum(-rest, 0).sum(axis=2)
-            fine = (up <= plus[part, None]) & (down <= minus[part, None])
-            for i, j in zip(*np.nonzero(fine)):
-                i, j = int(rows[part][i]), int(held[j])
-                if one_edit(asking[i], self.words[j]):
-                    out.append((i, j))
+            part = rows[at : at + 4096]
+            apart = np.bitwise_count(marks[part][:, None] ^ self.marks[held][None, :])
+            i, j = np.nonzero(apart <= 2)
+            i, j = part[i], held[j]
+            alike = (ends[0][i] == self.ends[0][j]) | (ends[1][i] == self.ends[1][j])
+            i, j = i[alike], j[alike]
+            rest = self.vectors[j] - own[i]
+            fine = (np.maximum(rest, 0).sum(axis=1) <= 1) & (np.maximum(-rest, 0).sum(axis=1) <= 1)
+            for a, b in zip(i[fine].tolist(), j[fine].tolist()):
+                if one_edit(asking[a], self.words[b]):
+                    out.append((a, b))
 
 
 def near_words(words: DataFrame, subtree: int = SUBTREE) -> DataFrame:
@@ -240,8 +267,9 @@ def near_words(words: DataFrame, subtree: int = SUBTREE) -> DataFrame:
         top = Top(*nodes.value)
         for batch in batches:
             out: list[tuple] = []
-            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
-                counts = tuple(vector(word).tolist())
+            names = batch.column("word").to_pylist()
+            found = map(tuple, vectors(names).tolist())
+            for word, n, counts in zip(names, batch.column("n").to_pylist(), found):
                 home = top.home(counts)
                 part = zlib.crc32(word.encode()) % top.parts(home)
                 out.append((_spell(home), part, False, word, n))
@@ -264,12 +292,12 @@ def near_words(words: DataFrame, subtree: int = SUBTREE) -> DataFrame:
             if held and asking:
                 tree = tree or Subtree(held, ns)
                 path = tuple(map(int, of[0].split(","))) if of[0] else ()
-                head = np.stack([vector(w) for w in asking])[:, : len(path)]
-                spent = np.array(path, np.int64)[None, :] - head
+                own = vectors(asking)
+                spent = np.array(path, np.int32)[None, :] - own[:, : len(path)]
                 budget = 1 - np.stack([np.maximum(spent, 0).sum(axis=1),
                                        np.maximum(-spent, 0).sum(axis=1)], axis=1)
                 best: dict[int, tuple] = {}
-                for i, j in tree.search(asking, len(path), budget):
+                for i, j in tree.search(asking, own, len(path), budget):
                     count, n, name = best.get(i, (0, -1, ""))
                     if (-ns[j], held[j]) < (-n, name):
                         n, name = ns[j], held[j]
