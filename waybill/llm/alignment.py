@@ -30,6 +30,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -114,15 +115,29 @@ def group_links(of_a: np.ndarray, of_b: np.ndarray) -> tuple[np.ndarray, np.ndar
     return found[0], found[1]
 
 
-def spelled(a_ids, b_ids, of_a, of_b) -> str:
-    """Groups as text: ids joined by commas, A from B by a bar, groups by semicolons."""
-    a_by: dict[int, list[str]] = {}
-    b_by: dict[int, list[str]] = {}
-    for ids, of, by in ((a_ids, of_a, a_by), (b_ids, of_b, b_by)):
-        for i, g in zip(ids, of.tolist()):
-            by.setdefault(g, []).append(str(i))
-    return ";".join(f"{','.join(a_by.get(g, ()))}|{','.join(b_by.get(g, ()))}"
-                    for g in range(max(len(a_by), len(b_by))))
+class Vocabulary:
+    """Bytes of the ids of both tokenizers, and the ids as text with what may follow them."""
+
+    def __init__(self, a: list[bytes], b: list[bytes]):
+        self.a, self.b = a, b
+        self.a_len = np.fromiter(map(len, a), np.int64, len(a))
+        self.b_len = np.fromiter(map(len, b), np.int64, len(b))
+        self.shift = max(len(a), len(b))
+        names = [str(i) for i in range(self.shift)]
+        # more ids of the group, its other side, another group, the end of the piece
+        self.written = [n + mark for mark in ",|;\n" for n in names]
+
+    def spelled(self, a_ids, b_ids, of_a, of_b, piece_ends: np.ndarray) -> list[str]:
+        """Groups as text, a piece each: ids joined by commas, A from B by a bar, groups by
+        semicolons. Groups are numbered through; piece_ends: the last group of each piece."""
+        more_a, more_b = (np.append(of[1:] == of[:-1], False) for of in (of_a, of_b))
+        ends = np.zeros(int(of_b[-1]) + 1 if len(of_b) else 0, bool)
+        ends[piece_ends] = True
+        marks = np.concatenate([np.where(more_a, 0, 1), np.where(more_b, 0, np.where(ends[of_b], 3, 2))])
+        order = np.argsort(np.concatenate([2 * of_a, 2 * of_b + 1]), kind="stable")
+        codes = (np.concatenate([a_ids, b_ids]) + marks * self.shift)[order]
+        written = self.written
+        return "".join([written[c] for c in codes.tolist()]).split("\n")[:-1]
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -145,40 +160,43 @@ class Pieces:
         return len(self.spelled)
 
     def add(self, texts: list[str], a_ids: list[list[int]], b_ids: list[list[int]],
-            a_bytes: dict[int, bytes], b_bytes: list[bytes]) -> None:
+            words: Vocabulary) -> None:
         """Align texts with their tokens: one block-diagonal product for all of them."""
-        fine = np.zeros(len(texts), bool)
-        a_len, b_len = [], []
-        for k, (text, a, b) in enumerate(zip(texts, a_ids, b_ids)):
-            whole, own, other = text.encode(), [a_bytes[i] for i in a], [b_bytes[i] for i in b]
-            if b"".join(own) == whole and b"".join(other) == whole:
-                fine[k] = True
-                a_len += map(len, own)
-                b_len += map(len, other)
-        some = np.flatnonzero(fine).tolist()
-        a_len, b_len = np.array(a_len, np.int64), np.array(b_len, np.int64)
-        n_a, n_b, n_groups = (np.zeros(len(texts), np.int64) for _ in range(3))
-        n_a[some] = [len(a_ids[k]) for k in some]
-        n_b[some] = [len(b_ids[k]) for k in some]
-        flat_a = np.array([i for k in some for i in a_ids[k]], np.int64)
-        flat_b = np.array([i for k in some for i in b_ids[k]], np.int64)
+        raw = [t.encode() for t in texts]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        sides = []
+        for ids, lengths in ((a_ids, words.a_len), (b_ids, words.b_len)):
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+            of = np.repeat(np.arange(len(ids)), n)
+            sides.append((n, flat, of, lengths[flat]))
+        # the bytes are those of the text where their number is and all of them agree
+        fine = size > 0
+        for _, _, of, lengths in sides:
+            fine &= np.bincount(of, lengths, minlength=len(raw)) == size
+        some = np.flatnonzero(fine)
+        whole = np.frombuffer(b"".join([raw[k] for k in some.tolist()]), np.uint8)
+        place = np.repeat(some, size[some])
+        for (_, flat, of, _), table in zip(sides, (words.a, words.b)):
+            own = np.frombuffer(b"".join([table[i] for i in flat[fine[of]].tolist()]), np.uint8)
+            fine[place[own != whole]] = False
+        (n_a, flat_a, a_len), (n_b, flat_b, b_len) = (
+            (np.where(fine, n, 0), flat[fine[of]], lengths[fine[of]]) for n, flat, of, lengths in sides)
         i, j, _ = overlaps(a_len, b_len)
         of = np.repeat(np.arange(len(texts)), n_a)[i]
-        order = np.lexsort((flat_b[j], flat_a[i], of))
-        of, keys = of[order], ((flat_a[i] << 32) | flat_b[j])[order]
+        keys = (flat_a[i] << 32) | flat_b[j]
+        order = np.lexsort((keys, of))
+        of, keys = of[order], keys[order]
         new = np.ones(len(of), bool)
         new[1:] = (of[1:] != of[:-1]) | (keys[1:] != keys[:-1])
         first = np.flatnonzero(new)
         of_a, of_b = groups(a_len, b_len)
-        at_a = np.concatenate([[0], np.cumsum(n_a)])
-        at_b = np.concatenate([[0], np.cumsum(n_b)])
-        for k in range(len(texts)):
-            if not fine[k] or not n_a[k]:
-                self.spelled.append("")
-                continue
-            own, other = of_a[at_a[k] : at_a[k + 1]], of_b[at_b[k] : at_b[k + 1]]
-            n_groups[k] = own[-1] - own[0] + 1
-            self.spelled.append(spelled(a_ids[k], b_ids[k], own - own[0], other - own[0]))
+        some = np.flatnonzero(fine)
+        last = of_a[np.cumsum(n_a[some]) - 1]
+        n_groups = np.zeros(len(texts), np.int64)
+        n_groups[some] = np.diff(last, prepend=-1)
+        written = iter(words.spelled(flat_a, flat_b, of_a, of_b, last))
+        self.spelled += [next(written) if ok else "" for ok in fine.tolist()]
         held = int(self.ends[-1]) if len(self.ends) else 0
         ends = held + np.cumsum(np.bincount(of[first], minlength=len(texts)))
         for name, found in (("n_a", n_a), ("n_b", n_b), ("n_groups", n_groups), ("ends", ends),
@@ -199,13 +217,14 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         alphabet = _byte_alphabet()
         special = set(self.a.get_added_tokens_decoder())
-        self.a_bytes = {
-            i: entry.encode() if i in special else bytes(alphabet[c] for c in entry)
-            for entry, i in self.a.get_vocab().items()
-        }
+        vocab = self.a.get_vocab()
+        a_bytes = [b""] * (max(vocab.values()) + 1)
+        for entry, i in vocab.items():
+            a_bytes[i] = entry.encode() if i in special else bytes(alphabet[c] for c in entry)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i)
-                        else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
+        b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i)
+                   else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
+        self.words = Vocabulary(a_bytes, b_bytes)
         shape = json.loads(self.a.to_str())["pre_tokenizer"]
         # no token of B may hold a space that follows something else, nor its normalizer join any
         self.cuttable = (
@@ -227,13 +246,13 @@ class Aligner:
         a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts],
                                                       add_special_tokens=False)]
         b = self.b.encode(texts, num_threads=1)
-        self.pieces.add([" " + t for t in texts], a, b, self.a_bytes, self.b_bytes)
+        self.pieces.add([" " + t for t in texts], a, b, self.words)
 
     def tokens(self, text: str | None) -> tuple[list[int], list[int], np.ndarray, np.ndarray]:
         """Ids of both and their numbers of bytes; empty where the bytes are not given back."""
         a = self.a.encode(" " + text, add_special_tokens=False).ids if text else []
         b = self.b.encode(text) if text else []
-        own, other = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
+        own, other = [self.words.a[i] for i in a], [self.words.b[i] for i in b]
         if not text or not b"".join(own) == b"".join(other) == (" " + text).encode():
             a, b, own, other = [], [], [], []
         return a, b, np.array([*map(len, own)], np.int64), np.array([*map(len, other)], np.int64)
