@@ -14,11 +14,11 @@
 4. Verification. The exact weighted Jaccard similarity of each pair's whole texts; pairs of
    ``SIMILARITY`` or more are links, and classes are the links' connected components.
 5. The rest. Documents of a key that are not in the class of its smallest one are held
-   against the others of the key by their samples, in blocks of about ``BLOCK`` by
-   ``BLOCK``. Pairs that agree in ``AGREE`` samples or more are verified as in 4, in rounds:
-   of two classes in a block first the ``ROUNDS[0]`` that agree most, then more of those
-   still apart, at last all, so that no such pair between two final classes is left
-   unverified. (At a similarity of 0.8 fewer samples agree once in 5,000 pairs.)
+   against the others of the key by their samples, in blocks of about ``BLOCK`` by ``BLOCK``.
+   Pairs that agree in ``AGREE`` samples or more are compared where the blocks meet, by their
+   weighted shingles, unless their classes have been joined there already. A task hands on
+   only pairs that join two classes, so what leaves it grows with its documents and not with
+   its pairs. (At a similarity of 0.8 fewer samples agree once in 5,000 pairs.)
 
 The idf is smoothed to 1 .. 1 + IDF_SHARE: a group of near copies raises the frequency of its
 own shingles, and with a plain logarithm a group holding a third of the corpus would count
@@ -52,8 +52,7 @@ COUNTERS = 1 << 20
 CHUNK = 1 << 12  # counters per row of the frequency table
 BANDS, ROWS = 10, 3
 IDF_SHARE = 0.25
-BLOCK, AGREE = 128, 16
-ROUNDS = (1, 32, None)  # pairs of two classes and a block that a round verifies; the last all
+BLOCK, AGREE = 256, 16
 
 _U = np.uint64
 _BLOCK = 2048  # shingles sampled at a time
@@ -247,21 +246,90 @@ def candidate_pairs(members: DataFrame) -> DataFrame:
     return star.unionByName(chained).filter("a < b").distinct()
 
 
-def _blocks(rows: DataFrame, name: str) -> DataFrame:
-    """Rows of (band, key, n, rep, class, apart, keys, drawn), in blocks of about BLOCK."""
-    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK))
-    row = F.struct("rep", "class", "apart", "keys", "drawn")
-    return (
-        rows.groupBy("band", "key", block.alias(f"{name}_block"))
-        .agg(F.collect_list(row).alias(name))
+def _weights(docs: DataFrame, ids: DataFrame, idf) -> DataFrame:
+    """(id, found, weight) of the documents: their shingles' hashes, cut to 32 bits, and weights."""
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(idf.value, np.float32)
+        for batch in batches:
+            cut, weights = [], []
+            for text in batch.column("text").to_pylist():
+                found, weight = weighted(text, table)
+                found, at = np.unique((found >> _U(32)).astype("<u4"), return_inverse=True)
+                cut.append(found.tobytes())
+                weights.append(np.bincount(at, weight, len(found)).astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(cut, pa.binary()), pa.array(weights, pa.binary())],
+                names=["id", "found", "weight"],
+            )
+
+    wanted = ids.select(F.col("rep").alias("__rep")).distinct()
+    rows = docs.join(wanted, F.col("id") == F.col("__rep")).select("id", "text")
+    return rows.mapInArrow(weigh, "id bigint, found binary, weight binary")
+
+
+class _Classes:
+    """Classes joined so far."""
+
+    def __init__(self):
+        self.root: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        root = self.root
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        self.root[self.find(a)] = self.find(b)
+
+
+def joining_pairs(asked: list[dict], others: list[dict], band: int, similarity: float):
+    """Pairs (a, b) of two blocks that are similar and join two classes."""
+    parts = lambda rows: (
+        *(np.array([r[c] for r in rows]) for c in ("rep", "class", "apart", "keys")),
+        np.frombuffer(b"".join(r["drawn"] for r in rows), "<u2").reshape(len(rows), -1),
+        [np.frombuffer(r["found"], "<u4") for r in rows],
+        [np.frombuffer(r["weight"], "<f4") for r in rows],
     )
+    (x, xc, _, xk, xs, xf, xw), (y, yc, ya, yk, ys, yf, yw) = parts(asked), parts(others)
+    agree = np.zeros((len(x), len(y)), np.int8)
+    for i in range(BANDS * ROWS):
+        agree += xs[:, i, None] == ys[None, :, i]
+    fine = (agree >= AGREE) & (xc[:, None] != yc[None, :])
+    # of two that both ask the smaller one does
+    fine &= ~ya[None, :] | (x[:, None] < y[None, :])
+    # those that share an earlier band's key meet there
+    for earlier in range(band):
+        fine &= xk[:, earlier, None] != yk[None, :, earlier]
+    # the smaller total is at least that share of the larger; a little less, for rounding
+    wx, wy = (np.array([w.sum(dtype=np.float64) for w in ws]) for ws in (xw, yw))
+    low = similarity - 1e-4
+    fine &= np.minimum(wx[:, None], wy[None, :]) >= low * np.maximum(wx[:, None], wy[None, :])
+    i, j = np.nonzero(fine)
+    order = np.argsort(-agree[i, j], kind="stable")
+    classes, out = _Classes(), []
+    for i, j in zip(i[order].tolist(), j[order].tolist()):
+        a, b = int(xc[i]), int(yc[j])
+        if classes.find(a) == classes.find(b):
+            continue
+        at = np.searchsorted(yf[j], xf[i])
+        at[at == len(yf[j])] = 0
+        same = yf[j][at] == xf[i]
+        shared = float(np.minimum(xw[i][same], yw[j][at[same]]).sum(dtype=np.float64))
+        if shared >= low * (wx[i] + wy[j] - shared):
+            classes.join(a, b)
+            out.append((int(min(x[i], y[j])), int(max(x[i], y[j]))))
+    return out
 
 
 def remaining_pairs(
-    members: DataFrame, reps: DataFrame, classes: DataFrame, most: int | None
+    members: DataFrame, reps: DataFrame, classes: DataFrame, docs: DataFrame, idf,
+    similarity: float,
 ) -> DataFrame:
-    """Pairs (a, b) of documents that share a key but, so far, no class, and agree in most
-    samples: the first ``most`` of every two classes in a block. cut: whether there are more."""
+    """Pairs (a, b) of documents that share a key but, so far, no class, and are similar:
+    of every two blocks of a key those that join two classes."""
     of = classes.select(F.col("node").alias("__node"), F.col("component").alias("__of"))
     low = of.select(F.col("__node").alias("__low"), F.col("__of").alias("__low_of"))
     named = (
@@ -272,55 +340,39 @@ def remaining_pairs(
                 F.coalesce("__low_of", "low").alias("main"))
         .select("rep", "band", "key", "n", "class", (F.col("class") != F.col("main")).alias("apart"))
     )
+    keys = named.filter("apart").select("band", "key").distinct()
+    around = stored(named.join(keys, ["band", "key"], "left_semi"), "around")
     drawn = reps.select(F.col("rep").alias("__rep"), "keys", "drawn")
-    apart = stored(named.filter("apart"), "apart")
-    keys = apart.select("band", "key").distinct()
-    around = named.join(keys, ["band", "key"], "left_semi")
-    with_drawn = lambda rows: rows.join(drawn, F.col("rep") == F.col("__rep"))
-    asked, others = _blocks(with_drawn(apart), "asked"), _blocks(with_drawn(around), "others")
+    weights = stored(_weights(docs, around, idf), "weights").withColumnRenamed("id", "__id")
+    whole = around.join(drawn, F.col("rep") == F.col("__rep")).join(
+        weights, F.col("rep") == F.col("__id"))
+    parts = F.ceil(F.col("n") / BLOCK)
+    row = F.struct("rep", "class", "apart", "keys", "drawn", "found", "weight")
+    blocked = whole.withColumns({"parts": parts, "block": F.pmod(F.xxhash64("rep"), parts)})
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("band", "key", "block", "parts").agg(F.collect_list(row).alias(name))
+
+    # every asked block is sent to each block of its key, so no key meets in one task
+    asked = blocks(blocked.filter("apart"), "asked").select(
+        "band", "key", "asked", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("to"))
+    others = blocks(blocked, "others").select(
+        F.col("band").alias("__band"), F.col("key").alias("__key"), "block", "others")
 
     def closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts(rows):
-            return (
-                *(np.array([r[c] for r in rows]) for c in ("rep", "class", "apart", "keys")),
-                np.frombuffer(b"".join(r["drawn"] for r in rows), "<u2").reshape(len(rows), -1),
-            )
-
         for batch in batches:
-            a, b, cut = [], [], []
-            for row in batch.to_pylist():
-                (x, xc, _, xk, xs), (y, yc, ya, yk, ys) = parts(row["asked"]), parts(row["others"])
-                agree = np.zeros((len(x), len(y)), np.int8)
-                for i in range(BANDS * ROWS):
-                    agree += xs[:, i, None] == ys[None, :, i]
-                fine = (agree >= AGREE) & (xc[:, None] != yc[None, :])
-                # of two that both ask the smaller one does
-                fine &= ~ya[None, :] | (x[:, None] < y[None, :])
-                # those that share an earlier band's key meet there, in this round too
-                for band in range(row["band"]):
-                    fine &= xk[:, band, None] != yk[None, :, band]
-                i, j = np.nonzero(fine)
-                if not len(i):
-                    continue
-                low, high = np.minimum(xc[i], yc[j]), np.maximum(xc[i], yc[j])
-                order = np.lexsort((-agree[i, j], high, low))
-                i, j, low, high = i[order], j[order], low[order], high[order]
-                new = np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])]
-                first = np.flatnonzero(new)
-                rank = np.arange(len(i)) - first[np.cumsum(new) - 1]
-                size = np.diff(np.r_[first, len(i)])[np.cumsum(new) - 1]
-                take = rank < (len(i) if most is None else most)
-                a += np.minimum(x[i], y[j])[take].tolist()
-                b += np.maximum(x[i], y[j])[take].tolist()
-                cut += ((most or len(i)) < size)[take].tolist()
-            yield pa.RecordBatch.from_pydict({
-                "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()),
-                "cut": pa.array(cut, pa.bool_()),
-            })
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                found = joining_pairs(r["asked"], r["others"], r["band"], similarity)
+                yield pa.RecordBatch.from_pydict({
+                    "a": pa.array([p[0] for p in found], pa.int64()),
+                    "b": pa.array([p[1] for p in found], pa.int64()),
+                })
 
-    both = asked.join(others, ["band", "key"]).select("band", "asked", "others")
-    found = both.mapInArrow(closest, "a bigint, b bigint, cut boolean")
-    return found.groupBy("a", "b").agg(F.max("cut").alias("cut"))
+    match = (F.col("band") == F.col("__band")) & (F.col("key") == F.col("__key")) & (
+        F.col("to") == F.col("block"))
+    both = asked.join(others, match).select("band", "asked", "others")
+    return both.mapInArrow(closest, "a bigint, b bigint").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, idf, similarity: float) -> DataFrame:
@@ -385,22 +437,15 @@ def near_copies(
         found = verified(pairs, firsts, idf, similarity)
         return stored(found.select("a", "b"), "verified")
 
-    met = stored(candidate_pairs(members), "candidates")
-    links = linked(met)
+    links = linked(stored(candidate_pairs(members), "candidates"))
     if firsts is not named:  # an id's texts belong together
         same = drawn.select("id", "copy").join(reps.select("copy", "rep"), "copy")
         links = links.unionByName(same.select(F.col("id").alias("a"), F.col("rep").alias("b")))
     classes = components(links)
-    for most in ROUNDS:
-        found = stored(remaining_pairs(members, reps, classes, most), "remaining")
-        pairs = stored(found.select("a", "b").join(met, ["a", "b"], "left_anti"), "pairs")
-        more = linked(pairs)
-        if not more.isEmpty():
-            joined = classes.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            classes = components(joined.unionByName(more))
-        if found.filter("cut").isEmpty():
-            break
-        met = met.unionByName(pairs)
+    more = linked(stored(remaining_pairs(members, reps, classes, firsts, idf, similarity), "pairs"))
+    if not more.isEmpty():
+        joined = classes.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        classes = components(joined.unionByName(more))
     by_copy = reps.select(F.col("copy").alias("__copy"), "rep").join(
         classes, F.col("rep") == F.col("node"), "left"
     ).select("__copy", F.coalesce("component", "rep").alias("class_id"))
