@@ -264,3 +264,22 @@ def test_hops_need_no_shuffle(spark):
 def test_no_actor_at_all(spark):
     row = run(envelopes(spark, [("a", ["echo"], {})]), Registry(), 1).first()
     assert (row.terminal, row.details.type) == ("error-end", "LookupError")
+
+
+def test_run_without_a_hop_limit(spark):
+    """Hops go on until no row is active; a route that rewrites itself ends by max_visits."""
+    reg = Registry()
+    for k in range(14):
+        reg.column_actor(f"c{k}", lambda p: p.withField("n", p["n"] + 1))
+    reg.column_actor("loop", lambda p: p.withField("n", p["n"] + 1),
+                     reroute=lambda value, route: route.withField(
+                         "actors", F.array_append(route["actors"], F.lit("loop"))))
+    long = spark.createDataFrame([(f"e{i}", [f"c{k}" for k in range(i)]) for i in (1, 3, 9, 14)],
+                                 "id string, actors array<string>")
+    env = long.unionByName(spark.createDataFrame([("x", ["loop"])], long.schema)).select(
+        "id", make_route(F.col("actors")).alias("route"), F.struct(F.lit(0).alias("n")).alias("payload"))
+    done = {r.id: r for r in run(env, reg, unroll=4, max_visits=7).collect()}
+    assert {i: done[f"e{i}"].payload.n for i in (1, 3, 9, 14)} == {1: 1, 3: 3, 9: 9, 14: 14}
+    assert all(done[f"e{i}"].terminal == "happy-end" for i in (1, 3, 9, 14))
+    assert (done["x"].terminal, done["x"].payload.n) == ("error-end", 7)
+    assert len(done["e14"].trace) == 14

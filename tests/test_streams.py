@@ -1,13 +1,22 @@
+import random
+from contextlib import contextmanager
 from datetime import datetime, timedelta
+from pathlib import Path
+from unittest.mock import patch
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from waybill.functions.route import make_route
 from waybill.operators import status as S
-from waybill.schema import UPDATE
+from waybill.schema import DETAILS, UPDATE
 from waybill.session import scratch
+from waybill.sources import results
+from waybill.sources.results import read_terminal, write_terminal
+from waybill.sources.slots import StateTable
 from waybill.sources.state import stream_updates
-from waybill.streaming.status import read_status, run_status_stream
+from waybill.streaming.status import (STATUS, read_status, run_attempts_stream, run_dedup_stream,
+                                      run_status_stream)
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = T.StructType([*UPDATE.fields, T.StructField("deadline", T.TimestampType())])
@@ -44,6 +53,122 @@ def test_status_table_over_many_batches(spark):
     assert (got["y"].status, got["y"].result, got["y"].progress_percent) == ("succeeded", "ok", 100)
     assert (got["z"].status, got["z"].total_actors) == ("pending", 2)
     assert got["x"].n_updates == 2 and got["x"].completed == [0]
-    versions = spark.read.parquet(table).filter("version = 3").select("id").collect()
-    assert [r.id for r in versions] == ["z"]
-    assert S.status_counts(read_status(spark, table)).agg(F.sum("n")).first()[0] == 3
+    table = StateTable(spark, table, STATUS)
+    assert [r.id for r in table.open().collect()] == ["z"] and table.closed().count() == 2
+    assert S.status_counts(table.read()).agg(F.sum("n")).first()[0] == 3
+
+
+def test_created_again(spark):
+    """The first creation counts: in one batch, of an open envelope, and of a closed one."""
+    path, table = scratch(spark, "log"), scratch(spark, "table")
+    at = lambda s: T0 + timedelta(seconds=s)
+    made = lambda i, t, n: {"envelope_id": i, "seq": -1, "actors": ["a"] * n, "ts": at(t)}
+    done = lambda i, s, t, r: {"envelope_id": i, "seq": s, "status": "succeeded", "result": r,
+                               "ts": at(t)}
+    files(spark, path, [made("x", 5, 3), made("x", 1, 2), made("y", 2, 1)])
+    files(spark, path, [made("y", 6, 4), done("x", 1, 7, "first")])
+    files(spark, path, [made("x", 8, 5), done("x", 2, 9, "second"), made("w", 9, 1)])
+    files(spark, path, [made("x", 10, 6)])
+    stream = stream_updates(spark, path, SCHEMA, max_files=1)
+    run_status_stream(stream, table, scratch(spark, "checkpoint"), compact=2).awaitTermination()
+    got = {r.id: r for r in read_status(spark, table).collect()}
+    assert len(got) == read_status(spark, table).count() == 3
+    assert (got["x"].result, got["x"].total_actors, got["x"].created_at) == ("first", 2, at(1))
+    assert (got["y"].status, got["y"].total_actors) == ("pending", 1)
+
+
+SMALL = T.StructType([T.StructField("id", T.StringType()), T.StructField("v", T.LongType())])
+
+
+def folder_bytes(path):
+    return sum(f.stat().st_size for f in Path(path).rglob("*.parquet"))
+
+
+def test_state_table_against_a_dictionary(spark):
+    """Random changes, closings and repeated versions; the folder does not grow with versions."""
+    rng, path = random.Random(2), scratch(spark, "state")
+    table = StateTable(spark, path, SMALL, compact=3)
+    frame = lambda d: spark.createDataFrame(sorted(d.items()), SMALL).coalesce(1)
+    state, ended, sizes = {}, {}, []
+    for version in range(14):
+        changed = {f"k{rng.randrange(8)}": version for _ in range(4)}
+        changed = {k: v for k, v in changed.items() if k not in ended}
+        gone = {k: v for k, v in state.items() if k not in changed and rng.random() < 0.1}
+        if version in (4, 9):  # an attempt that fails before its line is written
+            with monkeypatched(table, "line", lambda before=None: line_of(path, spark, version)):
+                frame({"wrong": -1}).select("*", F.lit(False).alias("__gone"), F.lit(version).cast(
+                    "bigint").alias("__version")).write.mode("overwrite").parquet(
+                    f"{path}/open{table.line().slot}/part={version}")
+            assert {r.id: r.v for r in table.open().collect()} == state
+        for _ in range(2 if version in (3, 6, 7) else 1):  # a repeat replaces its own files
+            table.commit(version, frame(changed), frame(gone), frame(gone).select("id"))
+        state = {k: v for k, v in {**state, **changed}.items() if k not in gone}
+        ended.update(gone)
+        assert {r.id: r.v for r in table.open().collect()} == state
+        assert {r.id: r.v for r in table.read().collect()} == {**state, **ended}
+        sizes.append(folder_bytes(f"{path}/open0") + folder_bytes(f"{path}/open1"))
+    assert max(sizes[7:]) <= 1.5 * max(sizes[:7]) and table.line().version == 13
+
+
+def line_of(path, spark, version):
+    return StateTable(spark, path, SMALL, compact=3).line(version)
+
+
+@contextmanager
+def monkeypatched(thing, name, value):
+    setattr(thing, name, value)
+    try:
+        yield
+    finally:
+        delattr(thing, name)
+
+
+def test_attempts_and_dedup_over_batches(spark):
+    path = scratch(spark, "deliveries")
+    rng, order, batches = random.Random(3), [], []
+    for k in (2, 0, 1, 3):
+        rows = [(rng.choice(["hot", "hot", "hot", "a", None]), 1000 * k + i) for i in range(40)]
+        rng.shuffle(rows)
+        batches.append(rows)
+        spark.createDataFrame(rows, "id string, seq long").coalesce(1).write.mode("append").parquet(path)
+    stream = lambda: spark.readStream.schema("id string, seq long").option(
+        "maxFilesPerTrigger", "1").parquet(path)
+    out, want, n = scratch(spark, "attempts"), {}, {}
+    keyed = stream().filter("id IS NOT NULL")
+    run_attempts_stream(keyed, out, scratch(spark, "check"), compact=1).awaitTermination()
+    for rows in batches:
+        for key, seq in sorted((r for r in rows if r[0]), key=lambda r: r[1]):
+            n[key] = n.get(key, 0) + 1
+            want[key, seq] = n[key]
+    got = spark.read.parquet(f"{out}/rows").collect()
+    assert {(r.id, r.seq): r.attempt for r in got} == want and len(got) == len(want)
+    kept = scratch(spark, "dedup")
+    run_dedup_stream(stream(), kept, scratch(spark, "check"), keys=("id",)).awaitTermination()
+    rows = spark.read.parquet(kept).collect()
+    assert sorted((r.id or "") for r in rows) == ["", "a", "hot"] and {r.batch for r in rows} == {0}
+
+
+def test_repeated_writes_and_lookups(spark):
+    base, at = scratch(spark, "terminals"), datetime(2024, 5, 1, 10)
+    rows = [(f"e{i}", at + timedelta(hours=i % 5), "happy-end", "tag") for i in range(50)]
+    done = spark.createDataFrame(rows, "id string, finished_at timestamp, terminal string, last_actor string")
+    done = done.withColumns({
+        "parent_id": F.lit(None).cast("string"), "headers": F.lit(None).cast("map<string,string>"),
+        "route": make_route(F.array(F.lit("tag"))), "payload": F.lit("{}"),
+        "error": F.lit(None).cast("string"), "details": F.lit(None).cast(DETAILS)})
+    for shift in (0, 24):
+        later = done.withColumn("finished_at", F.col("finished_at") + F.expr(f"INTERVAL {shift} HOURS"))
+        write_terminal(later, base, batch="1", index=True)
+    write_terminal(done.filter("id < 'e2'").withColumn("id", F.concat(F.lit("f"), "id")), base,
+                   batch="2", index=True)
+    assert read_terminal(spark, base).count() == 50 + done.filter("id < 'e2'").count()
+    one = read_terminal(spark, base, id="e7", index=True)
+    assert [(r.id, r.hour) for r in one.collect()] == [("e7", 12)]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1].split("],")[0]
+    assert "hour" in filters and "date" in filters and "batch" in filters
+    assert read_terminal(spark, base, prefix="e1", index=True).count() == 11
+    assert read_terminal(spark, base, id="nobody", index=True).count() == 0
+    assert read_terminal(spark, base, prefix="fe", terminal="happy-end", index=True).count() == 12
+    with patch.object(results, "FOLDERS", 1):  # more folders than are named one by one
+        assert read_terminal(spark, base, prefix="e1", index=True).count() == 11

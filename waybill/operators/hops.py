@@ -26,10 +26,12 @@ from waybill.session import cut_lineage
 from waybill.sources.wire import wire_struct
 
 FRAME = ("id", "parent_id", "route", "headers", "payload")
-RUN_STATE = ("dest", "failure", "trace")
+RUN_STATE = ("dest", "failure", "since", "trace")
 
 _ENDS = f"('{HAPPY_END}', '{ERROR_END}')"
 _ACTIVE = f"dest NOT IN {_ENDS}"
+# when a row of this plan is taken on: no earlier than the run itself
+_TAKEN = "greatest(since, current_timestamp())"
 _TRACE = f"array<{TRACE_ENTRY.simpleString()}>"
 _DETAILS = DETAILS.simpleString()
 
@@ -80,7 +82,9 @@ def _destination(route: str) -> str:
 def start(df: DataFrame) -> DataFrame:
     """Add run state to envelopes; frames that break a rule fail before the first hop.
 
-    Rows of ``parse_envelopes`` keep the failure found while parsing.
+    Rows of ``parse_envelopes`` keep the failure found while parsing. ``since`` is when a row
+    was put on the queue it is on: a column ``enqueued_at`` of the input, else the time of the
+    run; every hop moves it on to the end of its call.
     """
     if "parent_id" not in df.columns:
         df = df.withColumn("parent_id", F.lit(None).cast("string"))
@@ -89,7 +93,10 @@ def start(df: DataFrame) -> DataFrame:
     reason = typed_reason(F.col("id"), F.col("route"))
     if "outcome" in df.columns and "reason" in df.columns:
         reason = F.coalesce(F.col("reason"), reason)
-    extra = [c for c in df.columns if c not in (*FRAME, "outcome", "reason")]
+    extra = [c for c in df.columns if c not in (*FRAME, "outcome", "reason", "enqueued_at")]
+    since = "current_timestamp()"
+    if "enqueued_at" in df.columns:
+        since = f"coalesce(cast(enqueued_at as timestamp), {since})"
     outcome = (
         "CASE WHEN __code = 'invalid_json' THEN 'parse_error' "
         "WHEN __code = 'missing_id' THEN 'validation_error' "
@@ -111,6 +118,7 @@ def start(df: DataFrame) -> DataFrame:
         dest=f"'{ERROR_END}'",
         pos="0",
         n_outputs="0",
+        enqueued_at=since,
     )
     lost = _route(f"array('{ERROR_END}')", "0", "null")
     own = _route("route.actors", "route.current", "route.metadata")
@@ -124,6 +132,7 @@ def start(df: DataFrame) -> DataFrame:
         "payload",
         f"CASE WHEN __code IS NOT NULL THEN '{ERROR_END}' ELSE {_destination('route')} END AS dest",
         f"CASE WHEN __code IS NOT NULL THEN {failure} END AS failure",
+        f"{since} AS since",
         f"CASE WHEN __code IS NOT NULL THEN array({entry}) ELSE cast(array() AS {_TRACE}) END "
         "AS trace",
     )
@@ -246,17 +255,20 @@ class Handlers:
 def hop(
     df: DataFrame,
     registry: Registry,
-    number: int,
+    number: int | str,
     *,
     only: str | None = None,
     on_collision: str = "keep",
     max_visits: int | None = None,
     handlers: Handlers | None = None,
+    sizes: bool = False,
 ) -> DataFrame:
     """One hop for every row that is not terminal yet.
 
     ``only`` names the actor that is consuming: active rows whose route points
-    elsewhere become ``route_mismatch`` errors.
+    elsewhere become ``route_mismatch`` errors. ``number`` may be an SQL text, where rows
+    have different numbers of hops behind them. ``sizes`` logs the JSON size of typed
+    payloads too; that of JSON payloads is always logged.
     """
     kind = dict(df.dtypes)["payload"]
     extra = [c for c in df.columns if c not in (*FRAME, *RUN_STATE)]
@@ -264,7 +276,8 @@ def hop(
     python, whole = handlers.python is not None, handlers.whole
 
     state = _dispatch(df, registry, only, max_visits)
-    failures, timing = ["__refused"], {}
+    failures, timing = ["__refused"], {"started_at": f"CASE WHEN __refused IS NULL THEN {_TAKEN} END"}
+    ended = _TAKEN
     if python:
         state = state.withColumn("__call", handlers.python(F.col("__actor"), handlers.body(state)))
         called = _failure("__call.error", "'runtime_error'", "__call.details")
@@ -272,7 +285,13 @@ def hop(
             f"CASE WHEN __call.error IS NOT NULL THEN {called} END",
             f"CASE WHEN __bad IS NOT NULL THEN {_processing_error('__bad', 'ValueError')} END",
         ]
-        timing = {"started_at": "__call.started_at", "duration_s": "__call.duration_s"}
+        # a column actor has no call of its own: its rows are taken on with the plan
+        timing = {
+            "started_at": f"coalesce(__call.started_at, CASE WHEN __refused IS NULL THEN {_TAKEN} END)",
+            "duration_s": "__call.duration_s",
+        }
+        ended = ("coalesce(timestamp_micros(unix_micros(__call.started_at) "
+                 f"+ bigint(round(__call.duration_s * 1e6))), {_TAKEN})")
 
     computed = [c for c in (handlers.one, handlers.many) if c is not None]
     if python:
@@ -308,7 +327,9 @@ def hop(
     ]
     # later columns of the list read earlier ones by name
     state = state.select("*", *after)
-    text = kind == "string"
+    measured = {True: "octet_length({})", False: "octet_length(to_json({}))"}[kind == "string"]
+    measure = measured.format if kind == "string" or (sizes and kind.startswith("struct")) else (
+        lambda _: "null")
     entry = _entry(
         hop=str(number),
         id="id",
@@ -325,15 +346,16 @@ def hop(
         dest="__dest",
         pos=pos,
         n_outputs="__n",
-        size_in="octet_length(payload)" if text else "null",
-        size_out=f"CASE WHEN __n > 0 THEN octet_length({out}) END" if text else "null",
+        size_in=measure("payload"),
+        size_out=f"CASE WHEN __n > 0 THEN {measure(out)} END",
+        enqueued_at="since",
         **timing,
     )
     ids, past = ["id", "parent_id"], "trace"
     if pos != "0":
-        infix = f"-h{number}-" if on_collision == "hop" else "-"
+        infix = f"concat('-h', {number}, '-')" if on_collision == "hop" else "'-'"
         ids = [
-            f"CASE WHEN __pos > 0 THEN concat(id, '{infix}', __pos) ELSE id END AS id",
+            f"CASE WHEN __pos > 0 THEN concat(id, {infix}, __pos) ELSE id END AS id",
             "CASE WHEN __pos > 0 THEN id ELSE parent_id END AS parent_id",
         ]
         # a child starts its own trace; the parent's earlier hops stay with output 0
@@ -347,6 +369,7 @@ def hop(
         f"CASE WHEN __n > 0 THEN {out} ELSE payload END AS payload",
         "__dest AS dest",
         "coalesce(failure, __fail) AS failure",
+        f"CASE WHEN __at IS NOT NULL THEN {ended} ELSE since END AS since",
         f"CASE WHEN __at IS NOT NULL THEN concat({past}, array({entry})) ELSE trace END AS trace",
     )
 
@@ -386,7 +409,9 @@ def _overrun(df: DataFrame, max_hops: int) -> DataFrame:
     )
 
 
-def step(df: DataFrame, registry: Registry, actor: str, number: int = 1, **options) -> DataFrame:
+def step(
+    df: DataFrame, registry: Registry, actor: str, number: int | str = 1, **options
+) -> DataFrame:
     """One hop of one actor over the rows of its queue; rows go on, not to an end."""
     return hop(start(df), registry, number, only=actor, **options)
 
@@ -402,6 +427,7 @@ def run(
     unroll: int | None = None,
     on_collision: str = "keep",
     max_visits: int | None = None,
+    sizes: bool = False,
 ) -> DataFrame:
     """Run every envelope to a terminal; one row per terminal envelope.
 
@@ -421,7 +447,8 @@ def run(
         unroll = UNROLL
     state = start(df)
     handlers = Handlers(registry, dict(state.dtypes)["payload"])
-    options = {"on_collision": on_collision, "max_visits": max_visits, "handlers": handlers}
+    options = {"on_collision": on_collision, "max_visits": max_visits, "handlers": handlers,
+               "sizes": sizes}
     done: list[DataFrame] = []
     for number in count(1) if max_hops is None else range(1, max_hops + 1):
         state = hop(state, registry, number, **options)

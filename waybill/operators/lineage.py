@@ -15,12 +15,13 @@ def children(df: DataFrame) -> DataFrame:
     return df.filter(F.col("parent_id").isNotNull()).join(parent, "parent_id")
 
 
-def family(df: DataFrame, max_rounds: int = 32) -> DataFrame:
+def family(df: DataFrame) -> DataFrame:
     """Root and depth of every envelope, over any number of fan-outs.
 
     Pointer jumping: each round joins every open row to where its pointer leads
     and so doubles the distance; depth d takes log2(d) rounds. Every round is
-    checkpointed, and finished rows leave the loop. Rows of a cycle have no root.
+    checkpointed, and finished rows leave the loop. A row that has come further than there
+    are rows goes round in a cycle; such rows have no root, and there is no other limit.
     """
     chained = F.col("up").isNotNull()
     links = df.select(
@@ -30,7 +31,8 @@ def family(df: DataFrame, max_rounds: int = 32) -> DataFrame:
     )
     settled = links.filter(~chained).select("id", F.col("id").alias("root"), "steps")
     open_ = links.filter(chained)
-    for _ in range(max_rounds):
+    rows, distance = None, 1
+    while True:
         target = links.select(
             F.col("id").alias("up"), F.col("up").alias("further"), F.col("steps").alias("more")
         )
@@ -44,6 +46,10 @@ def family(df: DataFrame, max_rounds: int = 32) -> DataFrame:
         )
         if open_.isEmpty():
             break
+        distance *= 2
+        rows = df.count() if rows is None else rows
+        if distance > rows:
+            break
         done = settled.select(
             "id", F.when(F.col("id") != F.col("root"), F.col("root")).alias("up"), "steps"
         )

@@ -36,7 +36,9 @@ FAILED = (
 def from_run(done: DataFrame, transport: str = "table") -> DataFrame:
     """Hop log of a run in the columns the reports read, terminal steps included.
 
-    Each terminal row adds the row its terminal step would log (``end_consumed``).
+    Each terminal row adds the row its terminal step would log (``end_consumed``). A row waits
+    from the end of the hop before (``enqueued_at``) to its call; where a step has no call of
+    its own (column actors), it takes no time. Times stand with the first output of a hop.
     """
     kinds = {f.name: f.dataType for f in TRACE_ENTRY.fields}
     end = {"id": F.col("id"), "actor": F.col("terminal"), "outcome": F.lit("end_consumed"),
@@ -46,13 +48,19 @@ def from_run(done: DataFrame, transport: str = "table") -> DataFrame:
     )
     log = done.select(F.explode(F.concat("trace", F.array(entry))).alias("t")).select("t.*")
     ended = F.timestamp_micros(
-        F.unix_micros("started_at") + F.round(F.col("duration_s") * 1e6).cast("bigint")
+        F.unix_micros("started_at")
+        + F.coalesce(F.round(F.col("duration_s") * 1e6).cast("bigint"), F.lit(0))
     )
-    return (
+    waited = (F.unix_micros("started_at") - F.unix_micros("enqueued_at")) / F.lit(1e6)
+    timed = (
         log.withColumnRenamed("actor", "queue")
         .withColumn("transport", F.lit(transport))
         .withColumn("ended_at", ended)
+        .withColumn("receive_s", F.greatest(F.lit(0.0), waited))
     )
+    first = F.col("pos") == 0
+    times = ("enqueued_at", "started_at", "ended_at", "duration_s", "receive_s")
+    return timed.withColumns({c: F.when(first, F.col(c)) for c in times})
 
 
 def _count(df: DataFrame, *by) -> DataFrame:
@@ -128,6 +136,42 @@ def size_histogram(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return histogram(df, value, by, SIZE_BUCKETS)
 
 
+def sizes(hops: DataFrame) -> DataFrame:
+    """(queue, direction, size): what an actor received, once per row it took, and each that it
+    sent."""
+    row = F.array(
+        F.when((F.col("pos") == 0) & F.col("size_in").isNotNull(), F.struct(
+            F.lit("received").alias("direction"), F.col("size_in").cast("bigint").alias("size"))),
+        F.when(F.col("size_out").isNotNull(), F.struct(
+            F.lit("sent").alias("direction"), F.col("size_out").cast("bigint").alias("size"))),
+    )
+    return hops.select("queue", F.explode(F.array_compact(row)).alias("s")).select("queue", "s.*")
+
+
+def size_histograms(hops: DataFrame) -> DataFrame:
+    """Cumulative size buckets per queue and direction of a hop log."""
+    return size_histogram(sizes(hops), "size", ["queue", "direction"])
+
+
+def time_histograms(hops: DataFrame) -> DataFrame:
+    """Cumulative buckets of every time the log has: (queue, time, le, n, sum, count).
+
+    ``runtime`` is the handler's own call, ``receive`` the time from the queue to the actor,
+    ``processing`` from there to the next queues and ``send`` the writing to those.
+    """
+    kinds = {"runtime": ("duration_s", DURATION_BUCKETS), "receive": ("receive_s", RECEIVE_BUCKETS),
+             "processing": ("processing_s", DURATION_BUCKETS), "send": ("send_s", SEND_BUCKETS)}
+    first = hops.filter(F.col("pos") == 0)
+    found = [
+        histogram(first, c, ["queue"], buckets).withColumn("time", F.lit(kind))
+        for kind, (c, buckets) in kinds.items() if c in hops.columns
+    ]
+    out = found[0]
+    for other in found[1:]:
+        out = out.unionByName(other)
+    return out.select("queue", "time", "le", "n", "sum", "count")
+
+
 def histogram_quantile(hist: DataFrame, by: list[str], q: float) -> DataFrame:
     """Quantile from cumulative buckets by linear interpolation inside the bucket."""
     order = Window.partitionBy(*by).orderBy("__le")

@@ -19,6 +19,7 @@ from waybill.operators.scan import (
     seq_chunk,
     time_chunk,
 )
+from waybill.schema import UPDATE
 
 ID = "envelope_id"
 CREATED_SEQ = -1
@@ -26,7 +27,7 @@ CREATED_SEQ = -1
 
 # what a snapshot row knows beyond a stored envelope
 _CARRIED = {"progress_percent": "__base", "current_actor_name": "__name",
-            "completed": "__completed", "n_updates": "__count"}
+            "completed": "__completed", "n_updates": "__count", "last_seq": "__seq"}
 
 
 def _created(envs: DataFrame, like: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def _created(envs: DataFrame, like: DataFrame) -> DataFrame:
         value = F.col(value) if isinstance(value, str) else value
         cells.append(value.cast(field.dataType).alias(field.name))
     kinds = {"__base": "double", "__name": "string", "__completed": "array<int>",
-             "__count": "bigint"}
+             "__count": "bigint", "__seq": "bigint"}
     cells += [
         (F.col(c) if c in envs.columns else F.lit(None)).cast(kinds[n]).alias(n)
         for c, n in _CARRIED.items()
@@ -150,6 +151,7 @@ def fold_status(envs: DataFrame, upd: DataFrame, chunk_rows: int = SEQ_CHUNK) ->
         F.max("raw").alias("progress"),
         F.max("ts").alias("updated_at"),
         (F.coalesce(before("__count"), F.lit(0)) + F.count(F.when(~made, 1))).alias("n_updates"),
+        F.greatest(before("__seq"), F.max(F.when(~made, F.col("seq")))).alias("last_seq"),
         F.array_sort(
             F.array_union(
                 F.coalesce(before("__completed"), none),
@@ -180,16 +182,26 @@ def fold_status(envs: DataFrame, upd: DataFrame, chunk_rows: int = SEQ_CHUNK) ->
         "updated_at",
         "n_updates",
         "completed",
+        "last_seq",
     )
 
 
+# fixed value: the error of an envelope that passed its deadline
+TIMED_OUT = "envelope timed out"
+
+
+def is_due(status: Column, due: Column, now: Column) -> Column:
+    """Open and past its deadline."""
+    return ~is_final(status) & F.coalesce(due < now, F.lit(False))
+
+
 def expire(snap: DataFrame, now: Column) -> DataFrame:
     """Snapshot whose open envelopes past their deadline have failed."""
-    over = ~is_final(F.col("status")) & F.coalesce(F.col("deadline") < now, F.lit(False))
+    over = is_due(F.col("status"), F.col("deadline"), now)
     changed = {
-        "error": F.lit("envelope timed out"),
+        "error": F.lit(TIMED_OUT),
         "progress_percent": F.lit(100.0),
-        "updated_at": F.col("deadline"),
+        "updated_at": F.greatest("deadline", "updated_at"),
         "status": F.lit("failed"),
     }
     marked = snap.withColumn("__over", over)
@@ -204,14 +216,21 @@ def is_active(status: Column, due: Column, now: Column) -> Column:
 
 
 def timeouts(snap: DataFrame, now: Column) -> DataFrame:
-    """Updates that fail every open envelope past its deadline."""
-    due = snap.filter(~is_final(F.col("status")) & (F.col("deadline") < now))
-    return due.select(
-        F.col("id").alias(ID),
-        F.lit("failed").alias("status"),
-        F.lit("envelope timed out").alias("error"),
-        F.col("deadline").alias("ts"),
-    )
+    """Updates that fail every open envelope past its deadline, to be appended to the log.
+
+    Each follows the last update of its envelope: the fold of the log with these rows is the
+    expired fold of the log. The message stays, as a timeout has none of its own.
+    """
+    due = snap.filter(is_due(F.col("status"), F.col("deadline"), now))
+    values = {
+        ID: F.col("id"),
+        "seq": F.greatest(F.coalesce("last_seq", F.lit(CREATED_SEQ)), F.lit(CREATED_SEQ)) + 1,
+        "status": F.lit("failed"),
+        "error": F.lit(TIMED_OUT),
+        "ts": F.greatest("deadline", "updated_at"),
+    }
+    return due.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+                        for f in UPDATE.fields])
 
 
 def with_deadline(envs: DataFrame) -> DataFrame:

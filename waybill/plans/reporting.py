@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waybill.functions.text import metric_name
+from waybill.functions.route import make_route
 from waybill.operators import metrics as M
-from waybill.plans.bindings import HOP_SQL, hops, table, utc
+from waybill.operators.actors import Registry
+from waybill.operators.hops import run
+from waybill.plans.bindings import HOP_SQL, docs, hops, names, table, typed_docs, utc
 from waybill.plans.registry import query
+from waybill.plans.routing import ROUTES_SQL, native_registry
 
 FAILED_SQL = "(" + ", ".join(f"'{f}'" for f in M.FAILED) + ")"
 
@@ -106,6 +110,54 @@ def size_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.size_histogram(hops(spark, sf_dir), "size", ["queue"])
 
 
+def _counted_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small run of two column actors that logs the sizes of its typed payloads."""
+    reg = Registry()
+    reg.column_actor("prep", lambda p: p.withField("n_chars", p["n_chars"] * 1000))
+    reg.column_actor("tag", lambda p: p.withField("lang", F.upper(p["lang"])))
+    env = docs(spark, sf_dir).select(
+        F.concat(F.lit("doc-"), F.col("doc_id")).alias("id"),
+        make_route(names("prep", "tag")).alias("route"),
+        F.struct("n_chars", "lang").alias("payload"),
+    )
+    return run(env, reg, max_hops=2, sizes=True)
+
+
+@query("run_size_histogram", """WITH p AS (
+  SELECT strlen('{"n_chars":' || n_chars || ',"lang":"' || lang || '"}') AS raw,
+         strlen('{"n_chars":' || n_chars * 1000 || ',"lang":"' || lang || '"}') AS done FROM documents
+), s AS (
+  SELECT 'prep' AS queue, 'received' AS direction, raw AS size FROM p
+  UNION ALL SELECT 'prep', 'sent', done FROM p UNION ALL SELECT 'tag', 'received', done FROM p
+  UNION ALL SELECT 'tag', 'sent', done FROM p
+)""" + " UNION ALL ".join(
+    f"\nSELECT queue, direction, '{le}' AS le, count(*) FILTER ({test}) AS n, sum(size)::BIGINT AS sum, "
+    "count(*) AS count FROM s GROUP BY queue, direction"
+    for le, test in [*[(f"{b:g}", f"size <= {b!r}") for b in M.SIZE_BUCKETS], ("+Inf", "true")]))
+def run_size_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payload sizes of a run, by queue and direction."""
+    return M.size_histograms(M.from_run(_counted_run(spark, sf_dir)))
+
+
+@query("run_queue_depth", f"""WITH {ROUTES_SQL}
+SELECT 'prep' AS queue, count(*) AS peak, 0::BIGINT AS waiting, 0::BIGINT AS working FROM d
+UNION ALL SELECT DISTINCT 'chunk', 0, 0, 0 FROM d WHERE m = 0
+UNION ALL SELECT DISTINCT 'tag', 0, 0, 0 FROM d WHERE m < 2""")
+def run_queue_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth of a run's queues: the documents wait since 2024 for the first actor, then for none."""
+    base = docs(spark, sf_dir)
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") * 60)
+    waiting = base.select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("__id"),
+                          at.alias("enqueued_at"))
+    env = typed_docs(base).join(waiting, F.col("id") == F.col("__id")).drop("__id")
+    runs = M.queue_depth_runs(M.from_run(run(env, native_registry(), max_hops=3)), seconds=60)
+    last = lambda c: F.max_by(c, "start")
+    return runs.groupBy("queue").agg(
+        F.max("queued").alias("peak"), last("queued").alias("waiting"),
+        last("processing").alias("working"),
+    )
+
+
 @query("inflight_depth", f"""WITH {HOP_SQL}, moves AS (
   SELECT queue, enqueued_at AS t FROM hop UNION ALL SELECT queue, started_at FROM hop
   UNION ALL SELECT queue, ended_at FROM hop

@@ -110,3 +110,44 @@ def long_route(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("payload.processed_by").alias("processed_by"),
         (F.col("payload.processed_by") == names(*steps)).alias("in_order"),
     )
+
+
+@query("sink_repeat", f"""WITH {ROUTES_SQL}, {UPD_SQL.strip()}
+SELECT 'terminal' AS sink, terminal AS kind, count(*) AS n FROM finished GROUP BY ALL
+UNION ALL SELECT 'update', status, count(*) FROM upd GROUP BY ALL""")
+def sink_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches, each written twice, read once: the repeat replaces the first attempt."""
+    base, log = scratch(spark, "terminals"), scratch(spark, "updates")
+    env, upd = typed_docs(docs(spark, sf_dir)), updates(spark, sf_dir)
+    half = F.pmod(F.xxhash64("id"), F.lit(2))
+    for attempt in range(2):
+        for k in range(2):
+            done = run(env.filter(half == k), native_registry(), max_hops=3)
+            # another hour, as after a crash
+            at = F.timestamp_seconds(F.lit(1_700_000_000 + 7200 * attempt))
+            write_terminal(done.withColumn("finished_at", at), base, batch=str(k))
+            append_updates(upd.filter(F.col("seq") % 2 == k), log, batch=str(k))
+    one = read_terminal(spark, base).groupBy(F.col("terminal").alias("kind"))
+    two = read_updates(spark, log).groupBy(F.col("status").alias("kind"))
+    count = lambda rows, sink: rows.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(sink).alias("sink"), "kind", "n")
+    return count(one, "terminal").unionByName(count(two, "update"))
+
+
+@query("terminal_lookup", f"""WITH {ROUTES_SQL}
+SELECT id, last_actor, cursor, text_md5 FROM finished
+WHERE id = 'doc-7' OR id LIKE 'doc-11%'""")
+def terminal_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terminals of one id, and of the ids with a prefix, by way of the index."""
+    base = scratch(spark, "terminals")
+    done = run(typed_docs(docs(spark, sf_dir)), native_registry(), max_hops=3)
+    # ends in many hours
+    number = F.regexp_extract("id", r"(\d+)", 1).cast("bigint")
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + number * 600)
+    write_terminal(done.withColumn("finished_at", at), base, batch="all", index=True)
+    one = read_terminal(spark, base, id="doc-7", index=True)
+    more = read_terminal(spark, base, prefix="doc-11", terminal="happy-end", index=True)
+    return one.unionByName(more).select(
+        "id", "last_actor", F.col("route.current").alias("cursor"),
+        F.md5(F.get_json_object("payload", "$.text")).alias("text_md5"),
+    )

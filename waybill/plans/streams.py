@@ -18,6 +18,7 @@ from waybill.plans.bindings import HOP_SQL, UPD_SQL, utc
 from waybill.plans.registry import query
 from waybill.plans.routing import ROUTES_SQL, flat_typed, native_registry, python_registry
 from waybill.session import scratch
+from waybill.sources.hoplog import read_log
 from waybill.sources.queues import read_queue, write_routed
 from waybill.streaming.hops import run_actor_stream, run_stream
 from waybill.streaming.status import (
@@ -26,6 +27,8 @@ from waybill.streaming.status import (
     latest,
     rate_stream,
     read_status,
+    run_attempts_stream,
+    run_dedup_stream,
     run_status_stream,
     tail,
 )
@@ -107,6 +110,35 @@ def stream_actors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("stream_actors_hop_log", f"""WITH {ROUTES_SQL}, s AS (
+  SELECT 'prep' AS queue, 1 AS hop, 1 AS received, CASE m WHEN 2 THEN 'happy_end' ELSE 'routing' END
+    AS message_type FROM d
+  UNION ALL SELECT 'chunk', 2, (pos = 0)::INTEGER, 'routing' FROM lines
+  UNION ALL SELECT 'tag', 3, 1, 'happy_end' FROM lines
+  UNION ALL SELECT 'tag', 2, 1, 'happy_end' FROM d WHERE m = 1)
+SELECT queue, hop, 'success' AS outcome, message_type, sum(received)::BIGINT AS received,
+       count(*) AS sent, true AS in_order, sum(received)::BIGINT AS timed FROM s GROUP BY ALL""")
+def stream_actors_hop_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hop log of actor streams: hop numbers, and the times of queue, batch and call."""
+    queues, log = scratch(spark, "queues"), scratch(spark, "hop-log")
+    env = B.json_docs(B.docs(spark, sf_dir))
+    write_routed(env.withColumn("dest", F.lit("prep")), queues, batch="submitted")
+    for actor in ("prep", "chunk", "tag"):
+        checkpoint = scratch(spark, f"{actor}-checkpoint")
+        run_actor_stream(spark, queues, actor, python_registry(), checkpoint, log=log
+                         ).awaitTermination()
+    rows = read_log(spark, log)
+    order = ("enqueued_at", "started_at", "called_at", "ended_at")
+    late = [F.col(a) > F.col(b) for a, b in zip(order, order[1:])]
+    timed = [F.col(c) >= 0 for c in ("duration_s", "receive_s", "processing_s", "send_s")]
+    return rows.groupBy("queue", "hop", "outcome", "message_type").agg(
+        F.count_if(F.col("pos") == 0).alias("received"),
+        F.count(F.lit(1)).alias("sent"),
+        (F.count_if(late[0] | late[1] | late[2]) == 0).alias("in_order"),
+        F.count_if(timed[0] & timed[1] & timed[2] & timed[3]).alias("timed"),
+    )
+
+
 def creation_and_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Creation rows and updates as one stream; each update names the stored route."""
     upd = B.update_columns(stream_table(spark, sf_dir, "events"))
@@ -162,6 +194,65 @@ def stream_status_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# events dealt to four files, which arrive in this order
+ARRIVAL = (2, 0, 3, 1)
+
+
+def arriving(spark: SparkSession, sf_dir: str, name: str, columns, order=ARRIVAL) -> DataFrame:
+    """Events as a stream of several files, each a micro-batch of its own."""
+    path = scratch(spark, name)
+    rows = B.table(spark, sf_dir, "events")
+    part = F.floor(F.col("event_id") % 1000 / 250)
+    for k in order:  # one after the other: a file stream goes by time
+        columns(rows.filter(part == k)).coalesce(1).write.mode("append").parquet(path)
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(path)
+
+
+ARRIVAL_SQL = "CASE event_id % 1000 // 250 WHEN 2 THEN 0 WHEN 0 THEN 1 WHEN 3 THEN 2 ELSE 3 END"
+
+
+@query("stream_status_hot", f"""WITH {UPD_SQL.replace(
+    "SELECT user_id || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS envelope_id",
+    "SELECT CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 'hot' "
+    "ELSE user_id || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) END AS envelope_id")}
+SELECT id, status, result, error, message, actors, progress_percent AS progress,
+       current_actor_idx, current_actor_name, actors_completed,
+       (SELECT count(*) FROM ordered WHERE NOT late AND envelope_id = fold.id) AS n_updates
+FROM fold""")
+def stream_status_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One envelope with most updates, created again in every file, over many micro-batches."""
+    def rows(events: DataFrame) -> DataFrame:
+        upd = B.update_columns(events)
+        hot = F.col("status") == "running"
+        upd = upd.withColumn(
+            "envelope_id", F.when(hot, F.lit("hot")).otherwise(F.col("envelope_id")))
+        made = upd.groupBy("envelope_id").agg(F.min("ts").alias("ts")).withColumns(
+            {"seq": F.lit(-1).cast("bigint"), "actors": B.names(*B.STORED_ROUTE)})
+        return upd.unionByName(made, allowMissingColumns=True)
+
+    path, checkpoint = scratch(spark, "status-hot"), scratch(spark, "status-hot-checkpoint")
+    by_time = arriving_in_order(spark, sf_dir, "updates-hot", rows)
+    run_status_stream(by_time, path, checkpoint, compact=2).awaitTermination()
+    return read_status(spark, path).select(
+        "id", "status", "result", "error", "message",
+        F.array_join("actors", ",").alias("actors"), F.col("progress_percent").alias("progress"),
+        "current_actor_idx", "current_actor_name", "actors_completed", "n_updates",
+    )
+
+
+def arriving_in_order(spark: SparkSession, sf_dir: str, name: str, columns) -> DataFrame:
+    """Events as four files in the order of their ids."""
+    rows = B.table(spark, sf_dir, "events")
+    top = rows.agg(F.max("event_id")).first()[0] + 1
+    path = scratch(spark, name)
+    for k in range(4):
+        part = rows.filter((F.col("event_id") * 4 / top).cast("int") == k)
+        columns(part).coalesce(1).write.mode("append").parquet(path)
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(path)
+
+
 @query("stream_attempts", """
 SELECT 'u' || user_id AS id, event_id AS seq,
        row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS attempt,
@@ -177,14 +268,33 @@ def stream_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.redrive(out).select("id", "seq", "attempt", "target")
 
 
+@query("stream_attempts_hot", f"""WITH n AS (
+  SELECT CASE WHEN event_type = 'error' THEN 'u' || user_id ELSE 'hot' END AS id, event_id AS seq,
+         {ARRIVAL_SQL} AS arrival FROM events)
+SELECT id, seq, row_number() OVER (PARTITION BY id ORDER BY arrival, seq) AS attempt,
+       CASE WHEN row_number() OVER (PARTITION BY id ORDER BY arrival, seq) > 3
+            THEN 'dead-letter' ELSE 'queue' END AS target FROM n""")
+def stream_attempts_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts of one key with most deliveries, whose files arrive out of order."""
+    key = F.when(F.col("event_type") == "error", F.concat(F.lit("u"), F.col("user_id")))
+    rows = arriving(spark, sf_dir, "deliveries", lambda e: e.select(
+        key.otherwise(F.lit("hot")).alias("id"), F.col("event_id").alias("seq")))
+    path = scratch(spark, "attempts-hot")
+    run_attempts_stream(rows, path, scratch(spark, "attempts-hot-checkpoint"), compact=2
+                        ).awaitTermination()
+    out = spark.read.parquet(f"{path}/rows")
+    return D.redrive(out).select("id", "seq", "attempt", "target")
+
+
 @query("stream_dedup", "SELECT DISTINCT 'u' || user_id AS id, event_type AS hop FROM events")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Duplicate deliveries dropped within the watermark."""
-    rows = stream_table(spark, sf_dir, "events").select(
+    """Duplicate deliveries dropped, however far apart they arrive."""
+    rows = arriving(spark, sf_dir, "duplicates", lambda e: e.select(
         F.concat(F.lit("u"), F.col("user_id")).alias("id"), F.col("event_type").alias("hop"),
-        F.col("ts").cast("timestamp").alias("ts"),
-    )
-    return drain(D.dedup(rows, watermark="40 days"), spark, "dedup").select("id", "hop")
+        F.col("ts").cast("timestamp").alias("ts")))
+    path = scratch(spark, "dedup")
+    run_dedup_stream(rows, path, scratch(spark, "dedup-checkpoint")).awaitTermination()
+    return spark.read.parquet(path).select("id", "hop")
 
 
 @query("stream_rate", f"""WITH {HOP_SQL}, w AS (

@@ -122,12 +122,30 @@ def timeouts_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = F.lit(NOW).cast("timestamp")
     upd = updates(spark, sf_dir).filter(F.col("ts") <= now)
     snap = S.fold_status(tracked(upd), upd)
-    expired = S.timeouts(snap, now).select(
-        F.col("envelope_id").alias("id"), F.col("error").alias("timeout_error")
+    state = F.col("status"), F.col("deadline"), now
+    return snap.select(
+        "id", "status", utc("deadline").alias("deadline"), S.is_active(*state).alias("active"),
+        F.when(S.is_due(*state), F.lit(S.TIMED_OUT)).alias("timeout_error"),
     )
-    return snap.join(expired, "id", "left").select(
-        "id", "status", utc("deadline").alias("deadline"),
-        S.is_active(F.col("status"), F.col("deadline"), now).alias("active"), "timeout_error",
+
+
+@query("timeout_updates", f"""WITH {UPD_SQL_NOW}, closing AS (
+  SELECT fold.*, deadline, status NOT IN ('succeeded', 'failed') AND deadline < TIMESTAMP '{NOW}' AS due
+  FROM fold JOIN env ON env.envelope_id = fold.id)
+SELECT id, CASE WHEN due THEN 'failed' ELSE status END AS status, result,
+       CASE WHEN due THEN 'envelope timed out' ELSE error END AS error, message, actors,
+       CASE WHEN due THEN 100.0::DOUBLE ELSE progress_percent END AS progress_percent,
+       CASE WHEN due THEN greatest(deadline, updated_at) ELSE updated_at END AS updated_at
+FROM closing""")
+def timeout_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with its timeouts appended, folded again."""
+    now = F.lit(NOW).cast("timestamp")
+    upd = updates(spark, sf_dir).filter(F.col("ts") <= now)
+    made = S.timeouts(S.fold_status(tracked(upd), upd), now)
+    snap = S.fold_status(tracked(upd), upd.unionByName(made.select(*upd.columns)))
+    return snap.select(
+        "id", "status", "result", "error", "message", F.array_join("actors", ",").alias("actors"),
+        "progress_percent", utc("updated_at").alias("updated_at"),
     )
 
 

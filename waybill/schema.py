@@ -58,6 +58,8 @@ TRACE_ENTRY = T.StructType(
         T.StructField("size_out", T.LongType()),
         T.StructField("started_at", T.TimestampType()),
         T.StructField("duration_s", T.DoubleType()),
+        # when the row was put on this actor's queue
+        T.StructField("enqueued_at", T.TimestampType()),
     ]
 )
 

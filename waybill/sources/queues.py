@@ -18,7 +18,7 @@ def _schema(payload: str = "string") -> T.StructType:
     kind = T.StructType.fromDDL(f"p {payload}").fields[0].dataType
     return T.StructType(
         [T.StructField("payload", kind) if f.name == "payload" else f for f in ENVELOPE.fields]
-        + [T.StructField("hop", T.IntegerType())]
+        + [T.StructField("hop", T.IntegerType()), T.StructField("enqueued_at", T.TimestampType())]
     )
 
 
@@ -26,11 +26,12 @@ def write_routed(df: DataFrame, path: str, batch: str | None = None) -> None:
     """Append each envelope to the queue of its destination (column ``dest``).
 
     With ``batch`` the rows land in a partition of that name which is replaced
-    when the same batch is written again.
+    when the same batch is written again. ``enqueued_at`` is the time of writing unless given.
     """
     columns = [f.name for f in ENVELOPE.fields]
     hop = F.col("hop") if "hop" in df.columns else F.lit(0)
-    rows = df.select(*columns, hop.cast("int").alias("hop"), "dest")
+    at = F.col("enqueued_at") if "enqueued_at" in df.columns else F.current_timestamp()
+    rows = df.select(*columns, hop.cast("int").alias("hop"), at.alias("enqueued_at"), "dest")
     if batch is None:
         rows.write.mode("append").partitionBy("dest").parquet(path)
         return

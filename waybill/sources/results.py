@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,6 +12,8 @@ from waybill.operators.terminal import to_error
 from waybill.schema import ENVELOPE
 
 PARTITIONS = ("terminal", "date", "hour", "last_actor")
+INDEX = "-index"  # beside the folder of the objects
+FOLDERS = 1000  # folders that a lookup names one by one
 
 
 def _schema() -> T.StructType:
@@ -25,16 +29,31 @@ def _schema() -> T.StructType:
     )
 
 
+def _ended(rows: DataFrame) -> Column:
+    """When a row's last call ended, as its trace says; the time of writing without one."""
+    if "trace" not in rows.columns:
+        return F.current_timestamp()
+    last = F.try_element_at("trace", F.lit(-1))
+    micros = F.unix_micros(last["started_at"]) + F.coalesce(
+        F.round(last["duration_s"] * 1e6).cast("bigint"), F.lit(0))
+    return F.coalesce(F.timestamp_micros(micros), last["enqueued_at"], F.current_timestamp())
+
+
 def write_terminal(
-    done: DataFrame, base: str, *, mode: str = "append", compact: bool = False, **parts
+    done: DataFrame, base: str, *, mode: str = "append", compact: bool = False,
+    batch: str | None = None, index: bool = False, **parts
 ) -> None:
-    """Persist terminal rows whole. ``finished_at`` is the time of the run unless given.
+    """Persist terminal rows whole. ``finished_at`` is the end of the row's last call unless given.
 
-    ``compact`` trades one shuffle for fewer and evenly sized files. Extra keyword values become leading partition columns (a batch id, say).
+    With ``batch`` the rows go to a folder of that name, and the same batch written again
+    replaces it as a whole, in whatever hours its first attempt ended. ``index`` also writes
+    where each id is (``read_terminal`` then opens those folders only). ``compact`` trades one
+    shuffle for fewer and evenly sized files. Extra keyword values become leading partition
+    columns.
     """
     rows = to_error(done)
     if "finished_at" not in rows.columns:
-        rows = rows.withColumn("finished_at", F.current_timestamp())
+        rows = rows.withColumn("finished_at", _ended(rows))
     at = F.col("finished_at")
     named = [F.lit(v).alias(k) for k, v in parts.items()]
     frame = rows.select(
@@ -48,7 +67,24 @@ def write_terminal(
     )
     if compact:
         frame = frame.hint("rebalance", *PARTITIONS)
-    frame.write.mode(mode).partitionBy(*parts, *PARTITIONS).json(base)
+    writer, place = frame.write.mode(mode), base
+    if batch is not None:
+        writer = frame.write.mode("overwrite").option("partitionOverwriteMode", "static")
+        place = f"{base}/batch={batch}"
+    writer.partitionBy(*parts, *PARTITIONS).json(place)
+    if index:
+        if batch is None or parts:
+            raise ValueError("an index needs a batch, and no other leading partitions")
+        _write_index(done.sparkSession, base, batch)
+
+
+def _write_index(spark: SparkSession, base: str, batch: str) -> None:
+    """Where the ids of a batch are, read back from what was written, in order of the ids: the
+    bounds that parquet keeps then skip most of an index for one id or one prefix."""
+    stored = spark.read.schema(_schema()).json(f"{base}/batch={batch}").select("id", *PARTITIONS)
+    # ids that start alike stay together
+    spread = stored.repartitionByRange("id").sortWithinPartitions("id")
+    spread.write.mode("overwrite").parquet(f"{base}{INDEX}/batch={batch}")
 
 
 def read_terminal(
@@ -58,13 +94,39 @@ def read_terminal(
     *,
     prefix: str | None = None,
     terminal: str | None = None,
+    index: bool = False,
 ) -> DataFrame:
-    """Stored terminal rows, of one id, of ids with a prefix, or of one terminal."""
-    rows = spark.read.schema(_schema()).json(base)
+    """Stored terminal rows, of one id, of ids with a prefix, or of one terminal.
+
+    With ``index`` (written with the rows) ids are looked up first, and only the folders that
+    hold some are opened: they are named in the plan up to ``FOLDERS`` of them, and joined, so
+    that Spark prunes them while it runs, beyond.
+    """
+    schema = _schema()
+    rows = spark.read.schema(schema.add("batch", "string") if index else schema).json(base)
+    wanted = []
     if terminal is not None:
-        rows = rows.filter(F.col("terminal") == terminal)
+        wanted.append(F.col("terminal") == terminal)
     if id is not None:
-        rows = rows.filter(F.col("id") == id)
+        wanted.append(F.col("id") == id)
     if prefix is not None:
-        rows = rows.filter(F.col("id").startswith(prefix))
+        wanted.append(F.col("id").startswith(prefix))
+    if index and (id is not None or prefix is not None):
+        rows = _in_folders(spark, rows, base, wanted).drop("batch")
+    for test in wanted:
+        rows = rows.filter(test)
     return rows
+
+
+def _in_folders(spark: SparkSession, rows: DataFrame, base: str, wanted: list[Column]) -> DataFrame:
+    """The rows of the folders in which the index has wanted ids."""
+    found = spark.read.parquet(f"{base}{INDEX}").withColumn("batch", F.col("batch").cast("string"))
+    for test in wanted:
+        found = found.filter(test)
+    keys = ("batch", *PARTITIONS)
+    folders = found.select(*keys).distinct()
+    few = folders.limit(FOLDERS + 1).collect()
+    if len(few) > FOLDERS:
+        return rows.join(folders, list(keys), "left_semi")
+    each = lambda r: reduce(lambda a, b: a & b, [F.col(k) == F.lit(r[k]) for k in keys])
+    return rows.filter(reduce(lambda a, b: a | b, [each(r) for r in few], F.lit(False)))

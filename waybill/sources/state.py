@@ -7,15 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def append_updates(upd: DataFrame, path: str, *, compact: bool = False) -> None:
+def append_updates(
+    upd: DataFrame, path: str, *, batch: str | None = None, compact: bool = False
+) -> None:
     """Append updates, partitioned by day.
 
-    ``compact`` trades one shuffle for fewer and evenly sized files per day.
+    With ``batch`` they go to a folder of that name; the same batch written again replaces it
+    as a whole, whatever days its first attempt wrote. A log takes either named batches or
+    none. ``compact`` trades one shuffle for fewer and evenly sized files per day.
     """
     dated = upd.withColumn("date", F.to_date("ts"))
     if compact:
         dated = dated.hint("rebalance", "date")
-    dated.write.mode("append").partitionBy("date").parquet(path)
+    if batch is None:
+        dated.write.mode("append").partitionBy("date").parquet(path)
+        return
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
+        "date").parquet(f"{path}/batch={batch}")
 
 
 def read_updates(spark: SparkSession, path: str) -> DataFrame:
