@@ -120,7 +120,7 @@ def test_family_of_deep_chain_cycle_and_missing_parent(spark):
     rows = [("r", None)] + [(f"c{i}", "r" if i == 0 else f"c{i - 1}") for i in range(13)]
     rows += [("x", "y"), ("y", "x"), ("lost", "gone")]
     got = {r.id: (r.root, r.depth) for r in
-           L.family(spark.createDataFrame(rows, "id string, parent_id string"), 6).collect()}
+           L.family(spark.createDataFrame(rows, "id string, parent_id string")).collect()}
     assert len(got) == len(rows)
     assert all(got[f"c{i}"] == ("r", i + 1) for i in range(13))
     assert got["r"] == ("r", 0) and got["lost"] == ("gone", 1)

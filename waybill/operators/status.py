@@ -30,6 +30,14 @@ _CARRIED = {"progress_percent": "__base", "current_actor_name": "__name",
             "completed": "__completed", "n_updates": "__count", "last_seq": "__seq"}
 
 
+# what the fold hands on as it is stored
+_FRAME = ("parent_id", "payload", "timeout_sec", "deadline", "created_at")
+
+
+def _frame(envs: DataFrame) -> list[str]:
+    return [c for c in _FRAME if c in envs.columns]
+
+
 def _created(envs: DataFrame, like: DataFrame) -> DataFrame:
     """First row of each log: the stored route, and the state reached so far if any."""
     born = F.coalesce("updated_at", "created_at") if "updated_at" in envs.columns else "created_at"
@@ -48,7 +56,8 @@ def _created(envs: DataFrame, like: DataFrame) -> DataFrame:
         (F.col(c) if c in envs.columns else F.lit(None)).cast(kinds[n]).alias(n)
         for c, n in _CARRIED.items()
     ]
-    return envs.select(*cells, F.lit(True).alias("__made"))
+    frame = F.struct(F.lit(True).alias("made"), *_frame(envs)).alias("__frame")
+    return envs.select(*cells, F.lit(True).alias("__made"), frame)
 
 
 def apply_order(envs: DataFrame, upd: DataFrame, chunk_rows: int = SEQ_CHUNK) -> DataFrame:
@@ -90,6 +99,7 @@ def apply_order(envs: DataFrame, upd: DataFrame, chunk_rows: int = SEQ_CHUNK) ->
         *upd.columns,
         "__chunk",
         "__made",
+        "__frame",
         *_CARRIED.values(),
         (F.coalesce("__final", F.lit(0)) == 1).alias("late"),
         (F.coalesce("__known", F.lit(0)) == 1).alias("known"),
@@ -105,7 +115,8 @@ def progress(envs: DataFrame, upd: DataFrame, chunk_rows: int = SEQ_CHUNK) -> Da
     applied = F.when(~F.col("late"), F.col("raw"))
     rows = running(ordered, [ID], ["seq"], F.col("__chunk"), progress=Running("max", applied))
     rows = rows.filter(~F.col("__made"))
-    return rows.drop("__chunk", "__made", "known", "raw", *_CARRIED.values()).withColumn(
+    extra = ("__chunk", "__made", "__frame", "known", "raw", *_CARRIED.values())
+    return rows.drop(*extra).withColumn(
         "progress", F.round(F.coalesce("progress", F.lit(0.0)), 2)
     )
 
@@ -130,7 +141,8 @@ def fold_status(envs: DataFrame, upd: DataFrame, chunk_rows: int = SEQ_CHUNK) ->
     ``envs`` are stored envelopes, or an earlier result of this fold with new
     envelopes added: then only the updates since are read. The fold is a plain
     aggregation (combined on the map side), so a hot envelope costs its reducer
-    no more than one row per map task.
+    no more than one row per map task. What is stored with an envelope travels in
+    its first row, so the envelopes are not joined again.
     """
     log = apply_order(envs, upd, chunk_rows).filter(~F.col("late"))
     made = F.col("__made")
@@ -139,6 +151,7 @@ def fold_status(envs: DataFrame, upd: DataFrame, chunk_rows: int = SEQ_CHUNK) ->
     none = F.array().cast("array<int>")
     state = log.groupBy(ID).agg(
         F.max(F.col("known")).alias("known"),
+        F.max_by("__frame", F.when(made, F.lit(1))).alias("frame"),
         _last(F.col("status")).alias("status"),
         _last(F.col("result")).alias("result"),
         _last(_text("error")).alias("error"),
@@ -160,15 +173,11 @@ def fold_status(envs: DataFrame, upd: DataFrame, chunk_rows: int = SEQ_CHUNK) ->
             )
         ).alias("completed"),
     )
-    folded = state.filter("known").drop("known")
-    frame = envs.select(
-        "id",
-        *[c for c in ("parent_id", "payload", "timeout_sec", "deadline", "created_at")
-          if c in envs.columns],
-    )
+    folded = state.filter("known")
     total = F.when(F.col("route_actors").isNull(), 0).otherwise(F.size("route_actors"))
-    return frame.join(folded.withColumnRenamed(ID, "id"), "id").select(
-        *frame.columns,
+    return folded.select(
+        F.col(ID).alias("id"),
+        *[F.col(f"frame.{c}").alias(c) for c in _frame(envs)],
         F.coalesce("status", F.lit("pending")).alias("status"),
         "result",
         "error",
