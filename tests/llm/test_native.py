@@ -117,3 +117,9 @@ def test_mix_takes_what_the_plan_says(spark):
     # given weights: sources without one take nothing
     weights = spark.createDataFrame([("s0", 1.0), (None, 1.0), ("s1", -2.0)], "source string, weight double")
     assert {r.source for r in mix(docs, weights).collect()} == {"s0", None}
+    # a source given twice has the sum of its weights, and its documents do not double
+    twice = spark.createDataFrame([("s0", 1.0), ("s0", 2.0), ("s1", 1.0)], "source string, weight double")
+    got = [r.source for r in mixing_plan(docs, twice).collect() if r.target]
+    once = spark.createDataFrame([("s0", 3.0), ("s1", 1.0)], "source string, weight double")
+    assert mixing_plan(docs, twice).count() == mixing_plan(docs, once).count()
+    assert mix(docs, twice).count() == mix(docs, once).count() and len(got) == 2

@@ -87,7 +87,8 @@ def mixing_plan(
 ) -> DataFrame:
     """One row per source: size, target, whole repetitions and the hash threshold.
 
-    ``weights`` has (source, weight); without it weights 1, 2, 3 repeat along the sources.
+    ``weights`` has (source, weight), those of a source given twice added up; without it
+    weights 1, 2, 3 repeat along the sources.
     """
     base = docs.select(
         column(source).alias("source"),
@@ -97,7 +98,10 @@ def mixing_plan(
     # one small row per source and bin; everything below works on these
     bins = stored(base.groupBy("source", "__bin").agg(F.sum("__size").alias("__mass")), "bins")
     sources = bins.groupBy("source").agg(F.sum("__mass").alias("source_size"))
-    given = cyclic_weights(sources) if weights is None else weights.select("source", "weight")
+    if weights is None:
+        given = cyclic_weights(sources)
+    else:
+        given = weights.groupBy("source").agg(F.sum("weight").alias("weight"))
     given = given.select(
         F.col("source").alias("__given"), F.col("weight").cast("double").alias("weight")
     )

@@ -246,26 +246,35 @@ def candidate_pairs(members: DataFrame) -> DataFrame:
     return star.unionByName(chained).filter("a < b").distinct()
 
 
-def _weights(docs: DataFrame, ids: DataFrame, idf) -> DataFrame:
-    """(id, found, weight) of the documents: their shingles' hashes, cut to 32 bits, and weights."""
+def _shingled(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, found, times) of the documents: the low 32 bits of their shingles, which name the
+    counter too, and how often each occurs, in as few bytes as that takes."""
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(idf.value, np.float32)
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cut, weights = [], []
+            cut, times = [], []
             for text in batch.column("text").to_pylist():
-                found, weight = weighted(text, table)
-                found, at = np.unique((found >> _U(32)).astype("<u4"), return_inverse=True)
+                low = (shingles(text or "", SHINGLE) & _U(0xFFFFFFFF)).astype("<u4")
+                found, n = np.unique(low, return_counts=True)
+                wide = next(k for k in ("<u1", "<u2", "<u4") if n.max(initial=0) <= np.iinfo(k).max)
                 cut.append(found.tobytes())
-                weights.append(np.bincount(at, weight, len(found)).astype("<f4").tobytes())
+                times.append(n.astype(wide).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(cut, pa.binary()), pa.array(weights, pa.binary())],
-                names=["id", "found", "weight"],
+                [batch.column("id"), pa.array(cut, pa.binary()), pa.array(times, pa.binary())],
+                names=["id", "found", "times"],
             )
 
     wanted = ids.select(F.col("rep").alias("__rep")).distinct()
     rows = docs.join(wanted, F.col("id") == F.col("__rep")).select("id", "text")
-    return rows.mapInArrow(weigh, "id bigint, found binary, weight binary")
+    return rows.mapInArrow(shingle, "id bigint, found binary, times binary")
+
+
+def _read_shingles(row: dict, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, ascending, and their weights."""
+    found = np.frombuffer(row["found"], "<u4")
+    kind = f"<u{len(row['times']) // max(1, len(found))}" if len(found) else "<u1"
+    times = np.frombuffer(row["times"], kind)
+    return found, times.astype(np.float32) * idf[found % np.uint32(COUNTERS)]
 
 
 class _Classes:
@@ -285,13 +294,14 @@ class _Classes:
         self.root[self.find(a)] = self.find(b)
 
 
-def joining_pairs(asked: list[dict], others: list[dict], band: int, similarity: float):
+def joining_pairs(
+    asked: list[dict], others: list[dict], band: int, similarity: float, idf: np.ndarray
+) -> list[tuple[int, int]]:
     """Pairs (a, b) of two blocks that are similar and join two classes."""
     parts = lambda rows: (
         *(np.array([r[c] for r in rows]) for c in ("rep", "class", "apart", "keys")),
         np.frombuffer(b"".join(r["drawn"] for r in rows), "<u2").reshape(len(rows), -1),
-        [np.frombuffer(r["found"], "<u4") for r in rows],
-        [np.frombuffer(r["weight"], "<f4") for r in rows],
+        *zip(*[_read_shingles(r, idf) for r in rows]),
     )
     (x, xc, _, xk, xs, xf, xw), (y, yc, ya, yk, ys, yf, yw) = parts(asked), parts(others)
     agree = np.zeros((len(x), len(y)), np.int8)
@@ -343,15 +353,17 @@ def remaining_pairs(
     keys = named.filter("apart").select("band", "key").distinct()
     around = stored(named.join(keys, ["band", "key"], "left_semi"), "around")
     drawn = reps.select(F.col("rep").alias("__rep"), "keys", "drawn")
-    weights = stored(_weights(docs, around, idf), "weights").withColumnRenamed("id", "__id")
+    weights = stored(_shingled(docs, around), "shingles").withColumnRenamed("id", "__id")
     whole = around.join(drawn, F.col("rep") == F.col("__rep")).join(
         weights, F.col("rep") == F.col("__id"))
     parts = F.ceil(F.col("n") / BLOCK)
-    row = F.struct("rep", "class", "apart", "keys", "drawn", "found", "weight")
+    row = F.struct("rep", "class", "apart", "keys", "drawn", "found", "times")
     blocked = whole.withColumns({"parts": parts, "block": F.pmod(F.xxhash64("rep"), parts)})
 
     def blocks(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("band", "key", "block", "parts").agg(F.collect_list(row).alias(name))
+        # by the columns of the join below: the blocks are not dealt out twice
+        return rows.groupBy("band", "key", "block").agg(
+            F.max("parts").alias("parts"), F.collect_list(row).alias(name))
 
     # every asked block is sent to each block of its key, so no key meets in one task
     asked = blocks(blocked.filter("apart"), "asked").select(
@@ -360,10 +372,11 @@ def remaining_pairs(
         F.col("band").alias("__band"), F.col("key").alias("__key"), "block", "others")
 
     def closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(idf.value, np.float32)
         for batch in batches:
             for k in range(batch.num_rows):
                 r = batch.slice(k, 1).to_pylist()[0]
-                found = joining_pairs(r["asked"], r["others"], r["band"], similarity)
+                found = joining_pairs(r["asked"], r["others"], r["band"], similarity, table)
                 yield pa.RecordBatch.from_pydict({
                     "a": pa.array([p[0] for p in found], pa.int64()),
                     "b": pa.array([p[1] for p in found], pa.int64()),
