@@ -52,7 +52,7 @@ COUNTERS = 1 << 20
 CHUNK = 1 << 12  # counters per row of the frequency table
 BANDS, ROWS = 10, 3
 IDF_SHARE = 0.25
-BLOCK, AGREE = 256, 16
+BLOCK, AGREE = 1024, 16
 
 _U = np.uint64
 _BLOCK = 2048  # shingles sampled at a time
