@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from waybill import Registry, hop_log, run, step, terminals
 from waybill.functions.route import make_route
+from waybill.operators.hops import RAISED
 from waybill.operators.terminal import to_error
 from waybill.sources.wire import parse_envelopes, to_wire
 
@@ -283,3 +284,80 @@ def test_run_without_a_hop_limit(spark):
     assert all(done[f"e{i}"].terminal == "happy-end" for i in (1, 3, 9, 14))
     assert (done["x"].terminal, done["x"].payload.n) == ("error-end", 7)
     assert len(done["e14"].trace) == 14
+
+
+def raising(**options):
+    """Column actors that raise on some rows, each in another way."""
+    reg = Registry()
+    # the same division several times: no part of it may run outside the trial
+    reg.column_actor("divide", lambda p: p.withField("n", (p["n"] / p["d"] + p["n"] / p["d"]).cast(
+        "bigint")).withField("d", (p["n"] / p["d"]).cast("int")), **options)
+    reg.column_actor("number", lambda p: p.withField("n", p["s"].cast("bigint") + 1))
+    reg.column_actor("third", lambda p: F.transform(F.split(p["s"], ","), lambda s: p.withField(
+        "s", F.element_at(F.split(s, "-"), 3))), many=True)
+    reg.column_actor("shout", lambda p: F.when(p["s"] == "no", F.raise_error("no")).otherwise(p))
+    reg.column_actor("checked", lambda p: p.withField("n", p["n"] % p["d"]),
+                     fails=lambda p: F.when(p["d"] == 0, "zero"))
+    reg.column_actor("check", lambda p: p, fails=lambda p: F.when(p["n"] / p["d"] > 9, "big"))
+    reg.column_actor("turn", lambda p: p, reroute=lambda p, r: r.withField(
+        "actors", F.array_append(r["actors"], F.element_at(F.split(p["s"], "-"), 2))))
+    return reg
+
+
+RAISING = [  # id, actor, n, d, s, message of the error
+    ("d0", "divide", 4, 0, "", RAISED), ("d1", "divide", 4, 2, "", None),
+    ("d2", "divide", None, 0, "", None),
+    ("n0", "number", 0, 0, "x", RAISED), ("n1", "number", 0, 0, "41", None),
+    ("n2", "number", 0, 0, None, None),
+    ("t0", "third", 0, 0, "a-b-c,a-b", RAISED), ("t1", "third", 0, 0, "a-b-c,a-b-d", None),
+    ("s0", "shout", 0, 0, "no", RAISED), ("s1", "shout", 0, 0, "yes", None),
+    ("c0", "checked", 1, 0, "", "zero"), ("c1", "checked", 7, 4, "", None),
+    ("f0", "check", 1, 0, "", RAISED), ("f1", "check", 10, 1, "", "big"),
+    ("f2", "check", 1, 1, "", None),
+    ("r0", "turn", 0, 0, "a", RAISED), ("r1", "turn", 0, 0, "a-shout", None),
+]
+
+
+def raising_rows(spark):
+    return spark.createDataFrame(
+        [r[:5] for r in RAISING], "id string, actor string, n bigint, d int, s string"
+    ).repartition(3).select(
+        "id", make_route(F.array("actor")).alias("route"), F.struct("n", "d", "s").alias("payload"))
+
+
+@pytest.mark.parametrize("codegen", ["true", "false"])
+def test_expressions_that_raise_are_error_rows(spark, codegen):
+    spark.conf.set("spark.sql.codegen.wholeStage", codegen)
+    try:
+        done = run(raising_rows(spark), raising(), 2)
+        rows = {(r.id, r.payload.s): r for r in done.collect()}
+        # whichever columns are read, the same rows end as errors
+        ends = {(r.id, r.terminal) for r in done.select("id", "terminal").collect()}
+        bad = {r.id for r in done.filter("terminal = 'error-end'").select("id").collect()}
+        traced = {r.id for r in hop_log(done).filter("outcome = 'runtime_error'").select("id").collect()}
+        n_rows = done.count()
+    finally:
+        spark.conf.unset("spark.sql.codegen.wholeStage")
+    want = {r[0] for r in RAISING if r[5] is not None}
+    assert bad == traced == {i for i, t in ends if t == "error-end"} == want
+    assert n_rows == len(rows) == len(RAISING) + 1  # t1 has two outputs
+    told = {i: r.details.message for (i, _), r in rows.items() if r.terminal == "error-end"}
+    assert told == {r[0]: r[5] for r in RAISING if r[5] is not None}
+    by = {i: r for (i, _), r in rows.items()}
+    for i, actor, n, d, s, message in RAISING:  # an error row keeps its input and its actor
+        if message is not None:
+            assert (tuple(by[i].payload), by[i].last_actor) == ((n, d, s), actor)
+    assert tuple(by["d1"].payload)[:2] == (4, 2) and by["n1"].payload.n == 42
+    assert (by["d2"].payload.n, by["n2"].payload.n, by["c1"].payload.n) == (None, None, 3)
+    assert by["r1"].route.actors == ["turn", "shout"] and by["r1"].route.current == 2
+    assert {s for i, s in rows if i.startswith("t1")} == {"c", "d"}
+
+
+def test_unguarded_expressions_are_not_tried(spark):
+    reg = Registry()
+    reg.column_actor("plus", lambda p: p.withField("n", p["n"] + 1), guard=False)
+    env = raising_rows(spark).withColumn("route", make_route(F.array(F.lit("plus"))))
+    done = run(env, reg, 1)
+    assert "tryeval" not in done._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.id: r.payload.n for r in done.collect()} == {
+        r[0]: None if r[2] is None else r[2] + 1 for r in RAISING}

@@ -175,6 +175,22 @@ def _pick(actors: list[Actor], value) -> Column:
     return chain
 
 
+RAISED = "the expression raised an error"
+
+
+def _tried(expr, *given: Column) -> Column:
+    """Not null unless ``expr`` raises on this row.
+
+    ``try_to_binary`` gives null for whatever its argument raises. Inside a lambda no part of
+    the expression is shared with others, so nothing of it runs before the trial.
+    """
+    args = F.struct(*[g.alias(f"a{i}") for i, g in enumerate(given)])
+    trial = F.transform(
+        F.array(args), lambda row: expr(*[row[f"a{i}"] for i in range(len(given))])
+    )
+    return F.try_to_binary(F.size(trial).cast("string"), F.lit("utf-8"))
+
+
 def _from_text(text: Column, kind: str) -> Column:
     return text if kind == "string" else F.from_json(text, kind)
 
@@ -188,14 +204,46 @@ class Handlers:
         singles, lists = [a for a in natives if not a.many], [a for a in natives if a.many]
         failing, rerouting = [a for a in natives if a.fails], [a for a in natives if a.reroute]
         self.registry, self.kind = registry, kind
-        self.one = _pick(singles, lambda a: a.call(payload))
-        self.many = _pick(lists, lambda a: a.call(payload))
-        self.message = _pick(failing, lambda a: a.fails(payload))
-        self.turned = _pick(rerouting, lambda a: a.reroute(F.col("__value"), route))
+        guarded = any(a.guard for a in natives)
+
+        def result(a: Actor, given: Column) -> Column:
+            return a.call(given).cast(f"array<{kind}>" if a.many else kind)
+
+        def message(a: Actor) -> Column:
+            if not a.guard:
+                return a.fails(payload)
+            return F.when(_tried(a.fails, payload).isNotNull(), a.fails(payload)).otherwise(RAISED)
+
+        def trial(a: Actor, expr, *given: Column) -> Column:
+            return _tried(expr, *given) if a.guard else F.to_binary(F.lit("1"), F.lit("utf-8"))
+
+        def kept(value: Column | None, tried: str, checked: bool) -> Column | None:
+            if value is None or not checked:
+                return value
+            return F.when(F.col(tried).isNotNull(), value)
+
+        # what a row's own expression gave on trial; read by the columns after it
+        self.tried = self.turn_tried = None
+        if guarded:
+            self.tried = _pick(
+                natives, lambda a: trial(a, lambda p: result(a, p), payload)
+            ).alias("__tried")
+        self.one = kept(_pick(singles, lambda a: result(a, payload)), "__tried", guarded)
+        self.many = kept(_pick(lists, lambda a: result(a, payload)), "__tried", guarded)
+        self.message = _pick(failing, message)
+        value, checked = F.col("__value"), any(a.guard for a in rerouting)
+        if checked:
+            self.turn_tried = _pick(
+                rerouting, lambda a: trial(a, a.reroute, value, route)
+            ).alias("__turn_tried")
+        self.turned = kept(
+            _pick(rerouting, lambda a: a.reroute(value, route)), "__turn_tried", checked)
+        self.native_names = ", ".join(_quote(a.name) for a in natives)
+        self.rerouting_names = ", ".join(_quote(a.name) for a in rerouting)
         if self.one is not None:
-            self.one = self.one.cast(kind).alias("__one")
+            self.one = self.one.alias("__one")
         if self.many is not None:
-            self.many = self.many.cast(f"array<{kind}>").alias("__many")
+            self.many = self.many.alias("__many")
         self.whole = bool(registry.names(ENVELOPE))
         self.python = python_call(registry) if registry.has_python() else None
         if self.python is not None:
@@ -293,7 +341,7 @@ def hop(
         ended = ("coalesce(timestamp_micros(unix_micros(__call.started_at) "
                  f"+ bigint(round(__call.duration_s * 1e6))), {_TAKEN})")
 
-    computed = [c for c in (handlers.one, handlers.many) if c is not None]
+    computed = [c for c in (handlers.tried, handlers.one, handlers.many) if c is not None]
     if python:
         computed += handlers.outs
     if handlers.message is not None:
@@ -302,6 +350,11 @@ def hop(
             f"CASE WHEN __message IS NOT NULL THEN {_processing_error('__message', 'ValueError')} "
             "END"
         )
+    raised = _processing_error(_quote(RAISED), "ExpressionError")
+    if handlers.tried is not None:
+        failures.append(
+            f"CASE WHEN __tried IS NULL AND __actor IN ({handlers.native_names}) THEN {raised} END"
+        )
     computed.append(F.expr(f"coalesce({', '.join(failures)}) AS __fail"))
 
     if python or handlers.many is not None:
@@ -313,15 +366,25 @@ def hop(
         after = [*computed, F.expr("int(__fail IS NULL AND __one IS NOT NULL) AS __n")]
 
     to, headers = _moved("route"), "headers"
+    fail, sent = "__fail", "__n > 0"
     if whole:
         to, headers, out = "__out.r", "__out.h", "__out.p"
     if handlers.turned is not None:
-        after += [F.expr(f"{out} AS __value"), handlers.turned.alias("__turned")]
+        after.append(F.expr(f"{out} AS __value"))
+        if handlers.turn_tried is not None:
+            # an output whose own rewrite raises is an error row at this actor
+            fail, sent = "__astray", "__n > 0 AND __astray IS NULL"
+            lost = (f"__n > 0 AND __turn_tried IS NULL AND __actor IN ({handlers.rerouting_names})")
+            after += [
+                handlers.turn_tried,
+                F.expr(f"coalesce(__fail, CASE WHEN {lost} THEN {raised} END) AS __astray"),
+            ]
+        after.append(handlers.turned.alias("__turned"))
         to = f"CASE WHEN __turned IS NOT NULL THEN {_moved('__turned')} ELSE {to} END"
     after += [
-        F.expr(f"CASE WHEN __n > 0 THEN {to} ELSE route END AS __next"),
+        F.expr(f"CASE WHEN {sent} THEN {to} ELSE route END AS __next"),
         F.expr(
-            f"CASE WHEN __at IS NULL THEN dest WHEN __fail IS NOT NULL THEN '{ERROR_END}' "
+            f"CASE WHEN __at IS NULL THEN dest WHEN {fail} IS NOT NULL THEN '{ERROR_END}' "
             f"WHEN __n = 0 THEN '{HAPPY_END}' ELSE {_destination('__next')} END AS __dest"
         ),
     ]
@@ -335,19 +398,19 @@ def hop(
         id="id",
         parent_id="parent_id",
         actor="__at",
-        outcome="CASE WHEN __fail.reason = 'route_mismatch' THEN 'route_mismatch' "
-        "WHEN __fail IS NOT NULL THEN 'runtime_error' WHEN __n = 0 THEN 'empty_response' "
+        outcome=f"CASE WHEN {fail}.reason = 'route_mismatch' THEN 'route_mismatch' "
+        f"WHEN {fail} IS NOT NULL THEN 'runtime_error' WHEN __n = 0 THEN 'empty_response' "
         "ELSE 'success' END",
-        reason="__fail.reason",
-        error_type="CASE WHEN startswith(__fail.error, 'Runtime timeout') THEN 'execution_error' "
-        "ELSE __fail.details.type END",
+        reason=f"{fail}.reason",
+        error_type=f"CASE WHEN startswith({fail}.error, 'Runtime timeout') THEN 'execution_error' "
+        f"ELSE {fail}.details.type END",
         message_type=f"CASE WHEN __dest = '{ERROR_END}' THEN 'error_end' "
         f"WHEN __dest = '{HAPPY_END}' THEN 'happy_end' ELSE 'routing' END",
         dest="__dest",
         pos=pos,
         n_outputs="__n",
         size_in=measure("payload"),
-        size_out=f"CASE WHEN __n > 0 THEN {measure(out)} END",
+        size_out=f"CASE WHEN {sent} THEN {measure(out)} END",
         enqueued_at="since",
         **timing,
     )
@@ -365,10 +428,10 @@ def hop(
         *ids,
         "__next AS route",
         "headers" if headers == "headers" else
-        f"CASE WHEN __n > 0 THEN {headers} ELSE headers END AS headers",
-        f"CASE WHEN __n > 0 THEN {out} ELSE payload END AS payload",
+        f"CASE WHEN {sent} THEN {headers} ELSE headers END AS headers",
+        f"CASE WHEN {sent} THEN {out} ELSE payload END AS payload",
         "__dest AS dest",
-        "coalesce(failure, __fail) AS failure",
+        f"coalesce(failure, {fail}) AS failure",
         f"CASE WHEN __at IS NOT NULL THEN {ended} ELSE since END AS since",
         f"CASE WHEN __at IS NOT NULL THEN concat({past}, array({entry})) ELSE trace END AS trace",
     )
@@ -390,7 +453,7 @@ def _outputs(handlers: Handlers) -> str:
 
 def _explode(state: DataFrame) -> DataFrame:
     """One row per output (``__pos``, ``__out``); rows without outputs stay."""
-    used = ("__one", "__many", "__outs", "__bad", "__docs", "__reasons", "__list")
+    used = ("__tried", "__one", "__many", "__outs", "__bad", "__docs", "__reasons", "__list")
     return state.selectExpr(
         *[c for c in state.columns if c not in used],
         "greatest(coalesce(size(__list), 0), 0) AS __n",

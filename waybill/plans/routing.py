@@ -56,9 +56,10 @@ def tag(p: Column) -> Column:
 
 def native_registry(**prep_options) -> Registry:
     reg = Registry()
-    reg.column_actor("prep", prep, **prep_options)
-    reg.column_actor("chunk", chunk, many=True)
-    reg.column_actor("tag", tag)
+    # nothing in these three can raise
+    reg.column_actor("prep", prep, guard=False, **prep_options)
+    reg.column_actor("chunk", chunk, many=True, guard=False)
+    reg.column_actor("tag", tag, guard=False)
     return reg
 
 
@@ -741,6 +742,37 @@ def misrouted_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("column_errors", """
+WITH judged AS (
+  SELECT *, n_chars % 7 = 0 AS halted, len(string_split(text, ' ')) < 40 AS short FROM documents)
+SELECT 'doc-' || doc_id AS id,
+       CASE WHEN halted OR short THEN 'error-end' ELSE 'happy-end' END AS terminal,
+       CASE WHEN halted THEN 'share' ELSE 'word' END AS last_actor,
+       CASE WHEN halted OR short THEN 'the expression raised an error' END AS message,
+       CASE WHEN NOT halted THEN (10000 // (n_chars % 7))::BIGINT END AS share,
+       CASE WHEN NOT halted AND NOT short THEN string_split(text, ' ')[40] END AS word
+FROM judged""")
+def column_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expressions that raise, by division or by index, cost their own row only."""
+    env = docs(spark, sf_dir).select(
+        F.concat(F.lit("doc-"), F.col("doc_id")).alias("id"),
+        R.make_route(names("share", "word")).alias("route"),
+        F.struct(
+            "text", F.col("n_chars").cast("bigint").alias("n_chars"),
+            F.lit(None).cast("bigint").alias("share"), F.lit(None).cast("string").alias("word"),
+        ).alias("payload"),
+    )
+    reg = Registry()
+    reg.column_actor("share", lambda p: p.withField(
+        "share", F.floor(F.lit(10000) / (p["n_chars"] % 7))))
+    reg.column_actor("word", lambda p: p.withField(
+        "word", F.element_at(F.split(p["text"], " "), 40)))
+    return run(env, reg, max_hops=2).select(
+        "id", "terminal", "last_actor", F.col("details.message").alias("message"),
+        F.col("payload.share").alias("share"), F.col("payload.word").alias("word"),
+    )
+
+
 @query("header_propagation", """
 SELECT 'doc-' || doc_id AS id, lang AS header_lang, source AS header_source, 2 AS n_headers,
        'doc-' || doc_id AS job, CASE WHEN doc_id % 2 = 0 THEN 'tool' ELSE 'default' END AS tier,
