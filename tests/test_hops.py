@@ -1,5 +1,6 @@
 import json
 import time
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -286,20 +287,21 @@ def test_run_without_a_hop_limit(spark):
     assert len(done["e14"].trace) == 14
 
 
-def raising(**options):
+def raising():
     """Column actors that raise on some rows, each in another way."""
     reg = Registry()
+    add = partial(reg.column_actor, guard=True)
     # the same division several times: no part of it may run outside the trial
-    reg.column_actor("divide", lambda p: p.withField("n", (p["n"] / p["d"] + p["n"] / p["d"]).cast(
-        "bigint")).withField("d", (p["n"] / p["d"]).cast("int")), **options)
-    reg.column_actor("number", lambda p: p.withField("n", p["s"].cast("bigint") + 1))
-    reg.column_actor("third", lambda p: F.transform(F.split(p["s"], ","), lambda s: p.withField(
+    add("divide", lambda p: p.withField("n", (p["n"] / p["d"] + p["n"] / p["d"]).cast(
+        "bigint")).withField("d", (p["n"] / p["d"]).cast("int")))
+    add("number", lambda p: p.withField("n", p["s"].cast("bigint") + 1))
+    add("third", lambda p: F.transform(F.split(p["s"], ","), lambda s: p.withField(
         "s", F.element_at(F.split(s, "-"), 3))), many=True)
-    reg.column_actor("shout", lambda p: F.when(p["s"] == "no", F.raise_error("no")).otherwise(p))
-    reg.column_actor("checked", lambda p: p.withField("n", p["n"] % p["d"]),
+    add("shout", lambda p: F.when(p["s"] == "no", F.raise_error("no")).otherwise(p))
+    add("checked", lambda p: p.withField("n", p["n"] % p["d"]),
                      fails=lambda p: F.when(p["d"] == 0, "zero"))
-    reg.column_actor("check", lambda p: p, fails=lambda p: F.when(p["n"] / p["d"] > 9, "big"))
-    reg.column_actor("turn", lambda p: p, reroute=lambda p, r: r.withField(
+    add("check", lambda p: p, fails=lambda p: F.when(p["n"] / p["d"] > 9, "big"))
+    add("turn", lambda p: p, reroute=lambda p, r: r.withField(
         "actors", F.array_append(r["actors"], F.element_at(F.split(p["s"], "-"), 2))))
     return reg
 
@@ -355,7 +357,7 @@ def test_expressions_that_raise_are_error_rows(spark, codegen):
 
 def test_unguarded_expressions_are_not_tried(spark):
     reg = Registry()
-    reg.column_actor("plus", lambda p: p.withField("n", p["n"] + 1), guard=False)
+    reg.column_actor("plus", lambda p: p.withField("n", p["n"] + 1))
     env = raising_rows(spark).withColumn("route", make_route(F.array(F.lit("plus"))))
     done = run(env, reg, 1)
     assert "tryeval" not in done._jdf.queryExecution().optimizedPlan().toString()

@@ -52,7 +52,7 @@ class Actor:
     many: bool = False
     fails: Callable | None = None
     reroute: Callable | None = None
-    guard: bool = True
+    guard: bool = False
 
 
 @dataclass
@@ -99,7 +99,7 @@ class Registry:
     def column_actor(self, name: str, expr: Callable[[Column], Column], *, many: bool = False,
                      fails: Callable[[Column], Column] | None = None,
                      reroute: Callable[[Column, Column], Column] | None = None,
-                     guard: bool = True) -> None:
+                     guard: bool = False) -> None:
         """Register a Catalyst expression from payload column to payload column.
 
         A null result means no output. With ``many`` the expression yields an
@@ -107,11 +107,10 @@ class Registry:
         maps (new payload, route) to a rewritten route; the cursor is advanced
         afterwards.
 
-        A row on which one of these expressions raises (ANSI arithmetic, casts,
-        indices, ``raise_error``) becomes an error row; the job goes on. To find
-        such rows an expression is evaluated once on trial. ``guard=False``
-        leaves that out, for expressions that cannot raise and for Python
-        functions as expressions, which cannot be tried.
+        With ``guard`` a row on which one of these expressions raises (ANSI
+        arithmetic, casts, indices, ``raise_error``) becomes an error row and the
+        job goes on; each expression is evaluated once more, on trial. Without it
+        such a row fails the job. Python functions cannot be tried.
         """
         self._add(Actor(name, COLUMN, call=expr, many=many, fails=fails, reroute=reroute,
                         guard=guard))

@@ -56,10 +56,9 @@ def tag(p: Column) -> Column:
 
 def native_registry(**prep_options) -> Registry:
     reg = Registry()
-    # nothing in these three can raise
-    reg.column_actor("prep", prep, guard=False, **prep_options)
-    reg.column_actor("chunk", chunk, many=True, guard=False)
-    reg.column_actor("tag", tag, guard=False)
+    reg.column_actor("prep", prep, **prep_options)
+    reg.column_actor("chunk", chunk, many=True)
+    reg.column_actor("tag", tag)
     return reg
 
 
@@ -764,9 +763,9 @@ def column_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     reg = Registry()
     reg.column_actor("share", lambda p: p.withField(
-        "share", F.floor(F.lit(10000) / (p["n_chars"] % 7))))
+        "share", F.floor(F.lit(10000) / (p["n_chars"] % 7))), guard=True)
     reg.column_actor("word", lambda p: p.withField(
-        "word", F.element_at(F.split(p["text"], " "), 40)))
+        "word", F.element_at(F.split(p["text"], " "), 40)), guard=True)
     return run(env, reg, max_hops=2).select(
         "id", "terminal", "last_actor", F.col("details.message").alias("message"),
         F.col("payload.share").alias("share"), F.col("payload.word").alias("word"),
