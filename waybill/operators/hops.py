@@ -228,8 +228,10 @@ class Handlers:
             self.tried = _pick(
                 natives, lambda a: trial(a, lambda p: result(a, p), payload)
             ).alias("__tried")
-        self.one = kept(_pick(singles, lambda a: result(a, payload)), "__tried", guarded)
-        self.many = kept(_pick(lists, lambda a: result(a, payload)), "__tried", guarded)
+        one, many = (_pick(group, lambda a: a.call(payload)) for group in (singles, lists))
+        one = None if one is None else one.cast(kind)
+        many = None if many is None else many.cast(f"array<{kind}>")
+        self.one, self.many = kept(one, "__tried", guarded), kept(many, "__tried", guarded)
         self.message = _pick(failing, message)
         value, checked = F.col("__value"), any(a.guard for a in rerouting)
         if checked:
