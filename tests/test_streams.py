@@ -172,3 +172,23 @@ def test_repeated_writes_and_lookups(spark):
     assert read_terminal(spark, base, prefix="fe", terminal="happy-end", index=True).count() == 12
     with patch.object(results, "FOLDERS", 1):  # more folders than are named one by one
         assert read_terminal(spark, base, prefix="e1", index=True).count() == 11
+
+
+def test_lookup_in_hundreds_of_folders(spark):
+    """Each id in an hour of its own: the folders are named in the plan, and it stays flat."""
+    base, at = scratch(spark, "terminals"), datetime(2024, 5, 1)
+    done = spark.range(700).select(
+        F.concat(F.lit("e"), F.col("id")).alias("id"),
+        (F.lit(at) + F.make_interval(hours=F.col("id").cast("int"))).alias("finished_at"),
+        F.lit("happy-end").alias("terminal"), F.lit("tag").alias("last_actor"),
+        F.lit(None).cast("string").alias("parent_id"),
+        F.lit(None).cast("map<string,string>").alias("headers"),
+        make_route(F.array(F.lit("tag"))).alias("route"), F.lit("{}").alias("payload"),
+        F.lit(None).cast("string").alias("error"), F.lit(None).cast(DETAILS).alias("details"))
+    write_terminal(done.coalesce(1), base, batch="1", index=True)
+    many = read_terminal(spark, base, prefix="e", index=True)
+    assert {r.id for r in many.collect()} == {f"e{i}" for i in range(700)}
+    some = read_terminal(spark, base, prefix="e1", index=True)
+    assert some.count() == 111
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "hour" in plan.split("PartitionFilters: [")[1].split("],")[0]

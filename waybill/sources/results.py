@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,5 +126,6 @@ def _in_folders(spark: SparkSession, rows: DataFrame, base: str, wanted: list[Co
     few = folders.limit(FOLDERS + 1).collect()
     if len(few) > FOLDERS:
         return rows.join(folders, list(keys), "left_semi")
-    each = lambda r: reduce(lambda a, b: a & b, [F.col(k) == F.lit(r[k]) for k in keys])
-    return rows.filter(reduce(lambda a, b: a | b, [each(r) for r in few], F.lit(False)))
+    # one flat list of folders: a chain of conditions would be as deep as there are folders
+    each = [F.struct(*[F.lit(r[k]).cast(rows.schema[k].dataType).alias(k) for k in keys]) for r in few]
+    return rows.filter(F.struct(*keys).isin(each)) if few else rows.filter(F.lit(False))
