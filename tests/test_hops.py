@@ -2,11 +2,13 @@ import json
 import time
 from functools import partial
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from waybill import Registry, hop_log, run, step, terminals
 from waybill.functions.route import make_route
+from waybill.operators.actors import CALLS, python_call
 from waybill.operators.hops import RAISED
 from waybill.operators.terminal import to_error
 from waybill.sources.wire import parse_envelopes, to_wire
@@ -363,3 +365,20 @@ def test_unguarded_expressions_are_not_tried(spark):
     assert "tryeval" not in done._jdf.queryExecution().optimizedPlan().toString()
     assert {r.id: r.payload.n for r in done.collect()} == {
         r[0]: None if r[2] is None else r[2] + 1 for r in RAISING}
+
+
+def test_calls_hold_few_rows_at_a_time(spark):
+    """A large Arrow batch is called and handed on in small parts."""
+    reg, seen, n = Registry(), [], 3 * CALLS + 5
+
+    @reg.actor("echo")
+    def echo(p):
+        seen.append(p["i"])
+        return p
+
+    bodies = [None if i == 7 else json.dumps({"i": i}) for i in range(n)]
+    parts = python_call(reg).func(iter([(pa.array(["echo"] * n), pa.array(bodies))]))
+    first = next(parts)
+    assert len(seen) == CALLS - 1 and len(first) == CALLS
+    rows = [r for part in (first, *parts) for r in part.to_pylist()]
+    assert [r and r["outs"] for r in rows] == [b and [b] for b in bodies]

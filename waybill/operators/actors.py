@@ -186,6 +186,8 @@ def outputs_of(value: Any) -> list:
     return list(value) if isinstance(value, (list, tuple)) else [value]
 
 
+CALLS = 128  # rows whose inputs and outputs a Python worker holds as objects at a time
+
 # handlers of class actors, alive as long as the Python worker
 _BUILT: dict[tuple[str, str], Callable] = {}
 
@@ -240,11 +242,14 @@ def python_call(registry: Registry) -> Callable[[Column, Column], Column]:
                           ("details", details), ("started_at", pa.timestamp("us", tz="UTC")),
                           ("duration_s", pa.float64())])
         for names, bodies in batches:
-            rows = [
-                call_actor(token, handlers[n], b) if b is not None and n in handlers else None
-                for n, b in zip(names.to_pylist(), bodies.to_pylist())
-            ]
-            yield pa.array(rows, type=kind)
+            # an Arrow batch may hold thousands of long texts, and results as long again
+            for at in range(0, len(bodies), CALLS):
+                part = names.slice(at, CALLS).to_pylist(), bodies.slice(at, CALLS).to_pylist()
+                rows = [
+                    call_actor(token, handlers[n], b) if b is not None and n in handlers else None
+                    for n, b in zip(*part)
+                ]
+                yield pa.array(rows, type=kind)
 
     # evaluated once per row even when several columns read the result
     return F.arrow_udf(call, CALL_RESULT).asNondeterministic()
