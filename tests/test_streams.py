@@ -2,8 +2,9 @@ import random
 from contextlib import contextmanager
 from datetime import datetime, timedelta
 from pathlib import Path
-from unittest.mock import patch
+from unittest.mock import Mock, patch
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +16,7 @@ from waybill.sources import results
 from waybill.sources.results import read_terminal, write_terminal
 from waybill.sources.slots import StateTable
 from waybill.sources.state import stream_updates
+from waybill.streaming.processors import StatusFold
 from waybill.streaming.status import (STATUS, read_status, run_attempts_stream, run_dedup_stream,
                                       run_status_stream)
 
@@ -192,3 +194,58 @@ def test_lookup_in_hundreds_of_folders(spark):
     assert some.count() == 111
     plan = some._jdf.queryExecution().executedPlan().toString()
     assert "hour" in plan.split("PartitionFilters: [")[1].split("],")[0]
+
+
+class Handle:
+    """A page's value and timer, with the number of calls to the store."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_a_page_of_envelopes_is_one_value_with_one_timer():
+    fold, handle, at = StatusFold(), Handle(), lambda s: T0 + timedelta(seconds=s)
+    fold.init(handle)
+    clock = lambda s: Mock(getCurrentWatermarkInMs=lambda: ms(s))
+    ms = lambda s: int(at(s).timestamp() * 1000)
+    fire = lambda s, now: list(fold.handleExpiredTimer(
+        (0,), clock(now), Mock(getExpiryTimeInMs=lambda: ms(s))))
+
+    def row(i, seq, status="running", due=None, idx=0):
+        return Row(envelope_id=i, seq=seq, status=status, message=None, result=None, error=None,
+                   actors=["a", "b"], current_actor_idx=idx, envelope_state="received", ts=at(seq),
+                   deadline=None if due is None else at(due))
+
+    rows = [row(f"e{i}", 2 * i + 1, due=100 + i) for i in range(20)]
+    rows += [row("e0", 50, "succeeded"), row("e0", 51, "failed"), row("e1", 0, idx=1), row(None, 3)]
+    out = {r.id: r for r in fold.handleInputRows((0,), iter(rows), clock(0))}
+    assert len(out) == 21 and handle.calls == 3 and handle.timers == {ms(101)}
+    assert (out["e0"].status, out["e0"].progress, out["e0"].version) == ("succeeded", 100.0, 1)
+    assert (out["e1"].current_actor_name, out["e1"].progress) == ("a", 55.0)
+    handle.timers.discard(ms(101))  # Spark removes the one that fired
+    late = {r.id: r for r in fire(101, 106)}
+    assert sorted(late) == ["e1", "e2", "e3", "e4", "e5"] and handle.timers == {ms(106)}
+    assert {r.error for r in late.values()} == {"envelope timed out"}
+    assert late["e5"].updated_at == at(105) and late["e5"].version == 2
+    out = list(fold.handleInputRows((0,), iter([row("e6", 60, "succeeded"), row("e5", 61)]), clock(106)))
+    assert [(r.id, r.status, r.version) for r in out] == [("e6", "succeeded", 2), ("e5", "failed", 3)]
+    assert handle.timers == {ms(107)}

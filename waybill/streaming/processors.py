@@ -1,4 +1,7 @@
-"""State processors: one small value per key, kept in the stream's state store.
+"""State processors: small values in the stream's state store, per key or per page of keys.
+
+A call to the state store costs far more than an update, so envelopes that share a page are
+loaded, folded and saved together, and a page has one timer.
 
 Spark also loads these in a driver-side worker that does not see files added to
 the session, so this module is pickled by value.
@@ -37,6 +40,13 @@ SNAPSHOT = T.StructType(
     [T.StructField("id", T.StringType())] + [f for f in STATE.fields if f.name != "deadline_ms"]
 )
 
+PAGE = T.StructType([
+    T.StructField("rows", T.ArrayType(T.StructType([T.StructField("id", T.StringType()),
+                                                    *STATE.fields])))
+])
+_NAMES = [f.name for f in STATE.fields]
+_SHOWN = [f.name for f in SNAPSHOT.fields[1:]]
+
 WEIGHTS = {"received": 10.0, "processing": 50.0, "completed": 100.0}
 
 
@@ -85,49 +95,72 @@ def _empty() -> dict:
                                                    "version": 0}
 
 
+def next_due(page: dict) -> int | None:
+    """Earliest deadline of a page's open envelopes."""
+    return min((state["deadline_ms"] for state in page.values()
+                if state["deadline_ms"] is not None and state["status"] not in FINAL), default=None)
+
+
 class StatusFold(StatefulProcessor):
-    """One small state value per envelope and a timer at its deadline."""
+    """The states of a page of envelopes, and a timer at the page's earliest deadline."""
 
     def init(self, handle) -> None:
         self._handle = handle
-        self._state = handle.getValueState("state", STATE)
+        self._page = handle.getValueState("page", PAGE)
 
     def _load(self) -> dict:
-        value = self._state.get()
-        return _empty() if value is None else dict(zip([f.name for f in STATE.fields], value))
-
-    def _save(self, state: dict) -> None:
-        self._state.update(tuple(state[f.name] for f in STATE.fields))
+        """The page's states by envelope id."""
+        value = self._page.get()
+        rows = [] if value is None else value[0]
+        return {row[0]: dict(zip(_NAMES, row[1:])) for row in rows}
+
+    def _save(self, page: dict, due: int | None, passed: bool = False) -> None:
+        """Store a page and move its timer, which stood at ``due`` and may have passed."""
+        self._page.update(([(i, *[state[n] for n in _NAMES]) for i, state in page.items()],))
+        now = next_due(page)
+        if now != due:
+            if due is not None and not passed:
+                self._handle.deleteTimer(due)
+            if now is not None:
+                self._handle.registerTimer(now)
 
     @staticmethod
-    def _row(key, state: dict) -> Row:
-        return Row(**({"id": key[0]} | {f.name: state[f.name] for f in SNAPSHOT.fields[1:]}))
+    def _row(id_: str | None, state: dict) -> Row:
+        return Row(**({"id": id_} | {n: state[n] for n in _SHOWN}))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        state, had = self._load(), False
+        page = self._load()
+        due, touched = next_due(page), {}
         for row in in_order(rows):
-            row, had = row.asDict(), True
+            row = row.asDict()
+            id_ = row["envelope_id"]
+            state = page.get(id_)
+            if state is None:
+                state = _empty()
             if row.get("deadline") is not None and state["deadline_ms"] is None:
                 state["deadline_ms"] = int(row["deadline"].timestamp() * 1000)
-                self._handle.registerTimer(state["deadline_ms"])
-            was = state["status"]
-            state = apply_update(state, row)
-            ended = was not in FINAL and state["status"] in FINAL
-            if ended and state["deadline_ms"] is not None:
-                self._handle.deleteTimer(state["deadline_ms"])
-        if had:
-            state["version"] += 1
-            self._save(state)
-            yield self._row(key, state)
+            page[id_] = touched[id_] = apply_update(state, row)
+        if touched:
+            for state in touched.values():
+                state["version"] += 1
+            self._save(page, due)
+            for id_, state in touched.items():
+                yield self._row(id_, state)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        state = self._load()
-        if state["status"] not in FINAL:
-            at = datetime.fromtimestamp(expiredTimerInfo.getExpiryTimeInMs() / 1000)
+        page, due = self._load(), expiredTimerInfo.getExpiryTimeInMs()
+        # one timer stands for all deadlines that the watermark has passed by now
+        until = max(due, timerValues.getCurrentWatermarkInMs() - 1)
+        late = [(i, state) for i, state in page.items() if state["status"] not in FINAL
+                and state["deadline_ms"] is not None and state["deadline_ms"] <= until]
+        for _, state in late:
+            at = datetime.fromtimestamp(state["deadline_ms"] / 1000)
             state |= {"status": "failed", "error": "envelope timed out", "updated_at": at,
                       "progress": 100.0, "version": state["version"] + 1}
-            self._save(state)
-            yield self._row(key, state)
+        if late:
+            self._save(page, due, passed=True)
+            for id_, state in late:
+                yield self._row(id_, state)
 
     def close(self) -> None:
         pass

@@ -16,15 +16,23 @@ from waybill.sources.slots import COMPACT, StateTable
 from waybill.streaming.processors import SNAPSHOT, AttemptCount, StatusFold
 
 
-def fold_status_stream(updates: DataFrame, watermark: str = "10 minutes") -> DataFrame:
+PAGES = 65536
+
+
+def fold_status_stream(
+    updates: DataFrame, watermark: str = "10 minutes", pages: int = PAGES
+) -> DataFrame:
     """Snapshot rows as they change, one per envelope and micro-batch.
 
     ``updates`` carries the update log and creation rows (``seq = -1`` with the
     stored route, and ``deadline``). The newest ``version`` of an id is its
-    state. The source's admission limit (``maxFilesPerTrigger``) bounds how many
-    rows of one envelope meet in a task.
+    state. Envelopes are dealt to ``pages`` by their ids; the state of a page is read and
+    written as one value, so a page should hold some tens or hundreds of envelopes. The number
+    of pages is fixed by a checkpoint. The source's admission limit (``maxFilesPerTrigger``)
+    bounds how many rows of one page meet in a task.
     """
-    keyed = updates.withWatermark("ts", watermark).groupBy("envelope_id")
+    page = F.pmod(F.xxhash64("envelope_id"), F.lit(pages)).alias("page")
+    keyed = updates.withWatermark("ts", watermark).select("*", page).groupBy("page")
     return keyed.transformWithState(
         statefulProcessor=StatusFold(),
         outputStructType=SNAPSHOT,
