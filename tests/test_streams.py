@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from waybill.functions.route import make_route
 from waybill.operators import status as S
+from waybill.plans import streams
 from waybill.schema import DETAILS, UPDATE
 from waybill.session import scratch
 from waybill.sources import results
@@ -249,3 +250,19 @@ def test_a_page_of_envelopes_is_one_value_with_one_timer():
     out = list(fold.handleInputRows((0,), iter([row("e6", 60, "succeeded"), row("e5", 61)]), clock(106)))
     assert [(r.id, r.status, r.version) for r in out] == [("e6", "succeeded", 2), ("e5", "failed", 3)]
     assert handle.timers == {ms(107)}
+
+
+def test_arrivals_are_written_by_many_tasks(spark, tmp_path):
+    """Each arrival is one micro-batch, of as many files as tasks wrote."""
+    spark.range(0, 4000, 1, 8).select(F.col("id").alias("event_id")).write.parquet(
+        f"{tmp_path}/events.parquet")
+    for arrivals, first in ((streams.arriving, 500), (streams.arriving_in_order, 0)):
+        batches, checkpoint = [], scratch(spark, "check")
+        for arrived in arrivals(spark, str(tmp_path), "arrivals", lambda e: e):
+            arrived.writeStream.foreachBatch(lambda b, i: batches.append(
+                (i, b.count(), b.agg(F.min("event_id")).first()[0], b.select(F.input_file_name()).distinct().count()))
+            ).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(
+            ).awaitTermination()
+        assert [b[:2] for b in batches] == [(k, 1000) for k in range(4)]
+        assert batches[0][2] == first
+        assert max(b[3] for b in batches) > 1

@@ -6,6 +6,8 @@ and read back once the stream has drained.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -198,15 +200,22 @@ def stream_status_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 ARRIVAL = (2, 0, 3, 1)
 
 
-def arriving(spark: SparkSession, sf_dir: str, name: str, columns, order=ARRIVAL) -> DataFrame:
-    """Events as a stream of several files, each a micro-batch of its own."""
-    path = scratch(spark, name)
+def arriving(spark: SparkSession, sf_dir: str, name: str, columns, order=ARRIVAL
+             ) -> Iterator[DataFrame]:
+    """Events as a stream of several arrivals, each a micro-batch of its own.
+
+    An arrival is written when the stream is asked for again, by as many tasks as read it: a
+    stream that is run until it has drained takes all its files at once.
+    """
     rows = B.table(spark, sf_dir, "events")
     part = F.floor(F.col("event_id") % 1000 / 250)
-    for k in order:  # one after the other: a file stream goes by time
-        columns(rows.filter(part == k)).coalesce(1).write.mode("append").parquet(path)
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(path)
+    return _arrivals(spark, scratch(spark, name), (columns(rows.filter(part == k)) for k in order))
+
+
+def _arrivals(spark: SparkSession, path: str, parts: Iterable[DataFrame]) -> Iterator[DataFrame]:
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        yield spark.readStream.schema(part.schema).parquet(path)
 
 
 ARRIVAL_SQL = "CASE event_id % 1000 // 250 WHEN 2 THEN 0 WHEN 0 THEN 1 WHEN 3 THEN 2 ELSE 3 END"
@@ -232,8 +241,8 @@ def stream_status_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
         return upd.unionByName(made, allowMissingColumns=True)
 
     path, checkpoint = scratch(spark, "status-hot"), scratch(spark, "status-hot-checkpoint")
-    by_time = arriving_in_order(spark, sf_dir, "updates-hot", rows)
-    run_status_stream(by_time, path, checkpoint, compact=2).awaitTermination()
+    for arrived in arriving_in_order(spark, sf_dir, "updates-hot", rows):
+        run_status_stream(arrived, path, checkpoint, compact=2).awaitTermination()
     return read_status(spark, path).select(
         "id", "status", "result", "error", "message",
         F.array_join("actors", ",").alias("actors"), F.col("progress_percent").alias("progress"),
@@ -241,16 +250,12 @@ def stream_status_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def arriving_in_order(spark: SparkSession, sf_dir: str, name: str, columns) -> DataFrame:
-    """Events as four files in the order of their ids."""
+def arriving_in_order(spark: SparkSession, sf_dir: str, name: str, columns) -> Iterator[DataFrame]:
+    """Events as four arrivals in the order of their ids."""
     rows = B.table(spark, sf_dir, "events")
     top = rows.agg(F.max("event_id")).first()[0] + 1
-    path = scratch(spark, name)
-    for k in range(4):
-        part = rows.filter((F.col("event_id") * 4 / top).cast("int") == k)
-        columns(part).coalesce(1).write.mode("append").parquet(path)
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(path)
+    part = (F.col("event_id") * 4 / top).cast("int")
+    return _arrivals(spark, scratch(spark, name), (columns(rows.filter(part == k)) for k in range(4)))
 
 
 @query("stream_attempts", """
@@ -277,11 +282,10 @@ SELECT id, seq, row_number() OVER (PARTITION BY id ORDER BY arrival, seq) AS att
 def stream_attempts_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempts of one key with most deliveries, whose files arrive out of order."""
     key = F.when(F.col("event_type") == "error", F.concat(F.lit("u"), F.col("user_id")))
-    rows = arriving(spark, sf_dir, "deliveries", lambda e: e.select(
-        key.otherwise(F.lit("hot")).alias("id"), F.col("event_id").alias("seq")))
-    path = scratch(spark, "attempts-hot")
-    run_attempts_stream(rows, path, scratch(spark, "attempts-hot-checkpoint"), compact=2
-                        ).awaitTermination()
+    path, checkpoint = scratch(spark, "attempts-hot"), scratch(spark, "attempts-hot-checkpoint")
+    for rows in arriving(spark, sf_dir, "deliveries", lambda e: e.select(
+            key.otherwise(F.lit("hot")).alias("id"), F.col("event_id").alias("seq"))):
+        run_attempts_stream(rows, path, checkpoint, compact=2).awaitTermination()
     out = spark.read.parquet(f"{path}/rows")
     return D.redrive(out).select("id", "seq", "attempt", "target")
 
@@ -289,11 +293,11 @@ def stream_attempts_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_dedup", "SELECT DISTINCT 'u' || user_id AS id, event_type AS hop FROM events")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicate deliveries dropped, however far apart they arrive."""
-    rows = arriving(spark, sf_dir, "duplicates", lambda e: e.select(
-        F.concat(F.lit("u"), F.col("user_id")).alias("id"), F.col("event_type").alias("hop"),
-        F.col("ts").cast("timestamp").alias("ts")))
-    path = scratch(spark, "dedup")
-    run_dedup_stream(rows, path, scratch(spark, "dedup-checkpoint")).awaitTermination()
+    path, checkpoint = scratch(spark, "dedup"), scratch(spark, "dedup-checkpoint")
+    for rows in arriving(spark, sf_dir, "duplicates", lambda e: e.select(
+            F.concat(F.lit("u"), F.col("user_id")).alias("id"), F.col("event_type").alias("hop"),
+            F.col("ts").cast("timestamp").alias("ts"))):
+        run_dedup_stream(rows, path, checkpoint).awaitTermination()
     return spark.read.parquet(path).select("id", "hop")
 
 
