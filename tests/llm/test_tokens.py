@@ -56,6 +56,29 @@ def test_encoder_equals_library(memo):
         assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == ids_of(text), repr(text)
 
 
+@pytest.mark.parametrize("memo", [2, 16, 1 << 18])
+def test_encoder_equals_library_on_marks_and_line_ends(memo):
+    enc = Encoder(tokenizer_path(), memo)
+    rng = random.Random(6)
+    parts = ["cat", "Été", " ", " ", "\n", "\n\n", "###", "***.", "<|x", "'s", "don't", "a_b", "7",
+             "<|endoftext|>", "--", "\x1c", "\u3000", "\ud55c", "$$$", "|", "cat's", ">>", "\r\n"]
+    made = ["".join(rng.choices(parts, k=rng.randrange(1, 12))) for _ in range(3000)]
+    for text in made:
+        assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == ids_of(text), repr(text)
+
+
+def test_encoder_keeps_common_pieces_and_forgets_rare_ones():
+    """A piece met all the time is encoded once, and no more pieces are held than asked for."""
+    enc, learnt = Encoder(tokenizer_path(), 64), []
+    token = enc._token
+    enc._token = lambda word: learnt.append(word) or token(word)
+    letters = "abcdefgh"
+    for i in range(500):
+        enc.encode("x often " + " ".join(f"r{letters[i >> 6]}{letters[i >> 3 & 7]}{letters[i & 7]}" for _ in "12"))
+        assert len(enc.memo) + len(enc.memo.before) <= 64
+    assert learnt.count(" often") == 1 and len(learnt) == 501
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 50_000])
 def test_perfect_hash_is_minimal(n):
     keys = np.random.default_rng(n).choice(2**62, n, replace=False).astype(np.int64)
