@@ -5,10 +5,11 @@ import zlib
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from waybill.llm.packing import best_fit, pack
+from waybill.llm.packing import best_fit, pack, packed_batches
 from waybill.llm.queries_files import op2_token_ids, op8_packing, tokenizer_path
 from waybill.llm.token_files import PerfectHash, Shard, read_ids, write_ids
 from waybill.llm.tokens import Encoder
@@ -164,6 +165,29 @@ def test_best_fit_picks_tightest():
     assert n == len(free)
 
 
+def test_pack_hands_on_little_at_a_time():
+    """Full windows are handed on while documents come, and no batch of pieces is large."""
+    enc, read = Encoder(tokenizer_path()), []
+
+    def batches():
+        for d in range(6):
+            read.append(d)
+            texts = ["x y " * 40_000, "z"] + ["a b"] * 300
+            yield pa.RecordBatch.from_pydict({"key": [d * 1000 + i for i in range(302)], "text": texts})
+
+    seen, first, lengths = set(), None, 0
+    for out in packed_batches(batches(), enc, 5, 64, 0, 512):
+        first = first or len(read)
+        assert 0 < out.num_rows <= 256
+        ends = list(zip(out["sequence_id"].to_pylist(), out["offset"].to_pylist()))
+        assert not seen & set(ends)
+        seen |= set(ends)
+        assert [len(x) // 4 for x in out["ids"].to_pylist()] == out["length"].to_pylist()
+        lengths += sum(out["length"].to_pylist())
+    assert first == 1 and min(seen) == (5, 0)
+    assert lengths == 6 * (len(ids_of("x y " * 40_000)) + 1 + 2 + 300 * (len(ids_of("a b")) + 1))
+
+
 def test_pack_odd_rows(spark):
     rows = [(None, None), (1, "a"), (1, "a"), (2, ""), (3, "x y " * 3000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("length", F.lit(1))

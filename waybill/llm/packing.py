@@ -4,7 +4,8 @@ Each task packs the documents it reads, so nothing is shuffled. Documents longer
 a window are first cut into full windows; what is left of them, and shorter documents,
 are gathered into blocks of ``block`` pieces, sorted by length and put into the tightest
 open window. A segment tree over the remaining capacities finds it in log(window) steps.
-A block is the most a task holds at once.
+A task holds one document and the ids of one block, at most a window each; it hands on
+``HANDED`` pieces at a time, and full windows as soon as there are so many.
 
 Defined results: a null text is an empty document of one end token; an empty table gives
 no rows; rows that repeat a key are packed as documents of their own; other columns are
@@ -23,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from waybill.llm.common import column
-from waybill.llm.tokens import encoder
+from waybill.llm.tokens import Encoder, encoder
 
 WINDOW = 1024
 BLOCK = 8192
+HANDED = 256  # pieces of an Arrow batch
 
 
 class OpenWindows:
@@ -92,6 +94,60 @@ PIECES = (
 )
 
 
+def packed_batches(
+    batches: Iterator[pa.RecordBatch], enc: Encoder, base: int, window: int, end_id: int, block: int
+) -> Iterator[pa.RecordBatch]:
+    """The pieces of (key, text) batches; sequences are numbered from ``base`` on."""
+    end = np.array([end_id], dtype="<u4")
+    made = 0
+
+    def rows(pieces, places):
+        for at in range(0, len(pieces), HANDED):
+            some, where = pieces[at : at + HANDED], places[at : at + HANDED]
+            keys, starts, ids, tokens = zip(*some)
+            rest = (starts, [len(x) // 4 for x in ids], ids, tokens,
+                    [base + s for s, _ in where], [o for _, o in where])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, key_type),
+                 *[pa.array(v, t) for v, (_, t, _) in zip(rest, PIECES)]],
+                names=["key", *[n for n, _, _ in PIECES]],
+            )
+
+    def whole_windows(pieces):
+        nonlocal made
+        made += len(pieces)
+        yield from rows(pieces, [(made - len(pieces) + i, 0) for i in range(len(pieces))])
+
+    def packed(pieces):
+        nonlocal made
+        place, offset, n = best_fit([len(p[2]) // 4 for p in pieces], window)
+        first, made = made, made + n
+        yield from rows(pieces, [(first + s, o) for s, o in zip(place, offset)])
+
+    # pieces hold ids of their own: a view would keep its document's
+    pool, full, key_type = [], [], None
+    for batch in batches:
+        key_type = batch.schema.field("key").type
+        for k, t in zip(batch.column("key").to_pylist(), batch.column("text")):
+            ids = np.frombuffer(enc.encode(t.as_py() or ""), dtype=enc.dtype).astype("<u4")
+            ids = np.concatenate([ids, end])
+            whole = len(ids) // window * window
+            for at in range(0, whole, window):
+                full.append((k, at, ids[at : at + window].tobytes(), len(ids)))
+                if len(full) == HANDED:
+                    yield from whole_windows(full)
+                    full = []
+            if whole < len(ids):
+                pool.append((k, whole, ids[whole:].tobytes(), len(ids)))
+                if len(pool) == block:
+                    yield from packed(pool)
+                    pool = []
+    if full:
+        yield from whole_windows(full)
+    if pool:
+        yield from packed(pool)
+
+
 def pack(
     docs: DataFrame,
     tokenizer: str,
@@ -111,54 +167,7 @@ def pack(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
-        end = np.array([end_id], dtype="<u4")
         base = TaskContext.get().partitionId() << 40
-        made = 0
-
-        def rows(pieces, places):
-            keys = pa.array([p[0] for p in pieces], type=key_type)
-            rest = [
-                pa.array(list(v), type=t)
-                for v, (_, t, _) in zip(
-                    zip(*[
-                        (p[1], len(p[2]), p[2].tobytes(), p[3], base + s, o)
-                        for p, (s, o) in zip(pieces, places)
-                    ]),
-                    PIECES,
-                )
-            ]
-            names = ["key", *[n for n, _, _ in PIECES]]
-            return pa.RecordBatch.from_arrays([keys, *rest], names=names)
-
-        def packed(pieces):
-            nonlocal made
-            place, offset, n = best_fit([len(p[2]) for p in pieces], window)
-            out = rows(pieces, [(made + s, o) for s, o in zip(place, offset)])
-            made += n
-            return out
-
-        pool, full, key_type = [], [], None
-        for batch in batches:
-            key_type = batch.schema.field("key").type
-            for k, t in zip(batch.column("key").to_pylist(), batch.column("text")):
-                ids = np.frombuffer(enc.encode(t.as_py() or ""), dtype=enc.dtype).astype("<u4")
-                ids = np.concatenate([ids, end])
-                whole = len(ids) // window * window
-                for at in range(0, whole, window):
-                    full.append((k, at, ids[at : at + window], len(ids)))
-                    if len(full) == block:
-                        yield rows(full, [(made + i, 0) for i in range(len(full))])
-                        made, full = made + len(full), []
-                if whole < len(ids):
-                    pool.append((k, whole, ids[whole:], len(ids)))
-                    if len(pool) == block:
-                        yield packed(pool)
-                        pool = []
-        if full:
-            yield rows(full, [(made + i, 0) for i in range(len(full))])
-            made += len(full)
-        if pool:
-            yield packed(pool)
+        yield from packed_batches(batches, encoder(tokenizer), base, window, end_id, block)
 
     return kept.mapInArrow(run, schema).withColumnRenamed("key", key)
