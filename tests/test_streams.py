@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 from pathlib import Path
 from unittest.mock import Mock, patch
 
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -197,6 +198,94 @@ def test_lookup_in_hundreds_of_folders(spark):
     assert "hour" in plan.split("PartitionFilters: [")[1].split("],")[0]
 
 
+def ended(rows):
+    """Terminal rows of (id, time, actor)."""
+    return rows.toDF("id", "finished_at", "last_actor").select(
+        "*", F.when(F.col("id") > "e5", "error-end").otherwise("happy-end").alias("terminal"),
+        F.lit(None).cast("string").alias("parent_id"),
+        F.create_map(F.lit("k"), F.col("id")).alias("headers"),
+        make_route(F.array(F.lit("tag"))).alias("route"),
+        F.to_json(F.struct("id", F.lit("line\n\u00fc").alias("text"))).alias("payload"),
+        F.lit("broken").alias("error"), F.lit(None).cast(DETAILS).alias("details"))
+
+
+def test_indexed_writes_are_those_of_spark(spark):
+    """Folders made by the workers: the same names and lines as Spark's, without a process each."""
+    at = datetime(2024, 5, 1, 10)
+    actors = ["tag", "", None, "a/b", "x=1", "50% {of}", "two words"]
+    rows = [(f"e{i}", None if i == 4 else at + timedelta(hours=i % 3), actors[i % 7])
+            for i in range(80)] + [(None, at, "tag"), ("e1", at, "tag"), ("e1", at, "tag")]
+    done = ended(spark.createDataFrame(rows, "id string, finished_at timestamp, last_actor string"))
+    plain, base = scratch(spark, "terminals"), scratch(spark, "terminals")
+    write_terminal(done, plain, batch="01")
+    for compact in (False, True):  # the second replaces the first
+        write_terminal(done, base, batch="01", index=True, compact=compact)
+
+    def lines(place):
+        at = Path(place, "batch=01")
+        return sorted((str(f.parent.relative_to(at)), line) for f in at.rglob("*.json")
+                      for line in f.read_bytes().splitlines())
+
+    assert lines(base) == lines(plain) and len(lines(base)) == len(rows)
+    assert sorted(p.name for p in Path(base).iterdir()) == ["batch=01"]
+    assert Path(base, "batch=01", "_SUCCESS").exists() and not [*Path(base).rglob("*.crc")]
+    for i in range(1, 8):
+        want = read_terminal(spark, plain, id=f"e{i}").drop("batch").collect()
+        assert read_terminal(spark, base, id=f"e{i}", index=True).collect() == want and want
+    there = scratch(spark, "terminals")
+    with patch.object(results, "local_path", return_value=None):  # as on any other file system
+        write_terminal(done, there, batch="01", index=True)
+    kept = [spark.read.parquet(f"{at}-index").collect() for at in (base, there)]
+    assert sorted(map(str, kept[0])) == sorted(map(str, kept[1])) and len(kept[0]) == len(rows)
+    write_terminal(done.filter("false"), base, batch="01", index=True)
+    assert not lines(base) and read_terminal(spark, base, id="e1", index=True).count() == 0
+
+
+def test_a_folder_over_many_batches_is_one_file(spark):
+    rows = spark.range(25_000, numPartitions=1).select(
+        F.concat(F.lit("e"), "id"), F.timestamp_seconds(F.col("id") % 2 * 3600), F.lit("tag"))
+    base = scratch(spark, "terminals")
+    write_terminal(ended(rows).withColumn("terminal", F.lit("happy-end")), base, batch="1", index=True)
+    stored = read_terminal(spark, base)
+    assert len(stored.inputFiles()) == 2
+    assert stored.select("id", "payload").distinct().count() == stored.count() == 25_000
+
+
+def test_folders_beyond_ascii_and_failed_writes(spark):
+    """Which bytes such a name becomes is Spark's business; a failure leaves what was there."""
+    at = datetime(2024, 5, 1, 10)
+    rows = [(f"e{i}", at, "\u00fcber" if i % 2 else "tag") for i in range(9)]
+    done = ended(spark.createDataFrame(rows, "id string, finished_at timestamp, last_actor string"))
+    base = scratch(spark, "terminals")
+    write_terminal(done, base, batch="1", index=True)
+    assert {r.id for r in read_terminal(spark, base).collect()} == {f"e{i}" for i in range(9)}
+    broken = done.withColumn("payload", F.when(F.col("id") == "e7", F.raise_error(F.lit("no"))).otherwise("x"))
+    with pytest.raises(Exception, match="no"):
+        write_terminal(broken, base, batch="1", index=True)
+    assert read_terminal(spark, base).count() == 9
+    assert sorted(p.name for p in Path(base).iterdir()) == ["batch=1"]
+
+
+def test_lookup_lists_its_folders_only(spark):
+    at = datetime(2024, 5, 1)
+    rows = [(f"e{i}", at + timedelta(hours=7 * i), "tag") for i in range(60)]
+    done = ended(spark.createDataFrame(rows, "id string, finished_at timestamp, last_actor string"))
+    base = scratch(spark, "terminals")
+    write_terminal(done.coalesce(1), base, batch="1", index=True)
+    listed = lambda found: sum(f"{base}/" in f for f in found.inputFiles())
+    one = read_terminal(spark, base, id="e7", index=True)
+    assert [r.id for r in one.collect()] == ["e7"] and listed(one) == 1
+    with patch.object(results, "FOLDERS", 5):  # more folders than are named, on five days
+        some = read_terminal(spark, base, prefix="e5", index=True)
+        assert some.count() == 11 and 11 <= listed(some) < 20
+        many = read_terminal(spark, base, prefix="e", index=True)
+        assert many.count() == 60 and listed(many) == 60
+    # an index that names a folder which is gone
+    write_terminal(done.filter("id <> 'e7'"), base, batch="1")
+    assert read_terminal(spark, base, prefix="e", index=True).count() == 59
+    assert read_terminal(spark, base, id="e7", index=True).count() == 0
+
+
 class Handle:
     """A page's value and timer, with the number of calls to the store."""
 

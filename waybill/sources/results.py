@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waybill.operators.terminal import to_error
 from waybill.schema import ENVELOPE
+from waybill.session import stored
+from waybill.sources.folders import folder_name, local_path, put_rows
 
 PARTITIONS = ("terminal", "date", "hour", "last_actor")
 INDEX = "-index"  # beside the folder of the objects
 FOLDERS = 1000  # folders that a lookup names one by one
+KEYS = ("batch", *PARTITIONS)  # folders of a batch's rows
+DAY = KEYS[:3]
 
 
 def _schema() -> T.StructType:
@@ -45,9 +50,9 @@ def write_terminal(
 
     With ``batch`` the rows go to a folder of that name, and the same batch written again
     replaces it as a whole, in whatever hours its first attempt ended. ``index`` also writes
-    where each id is (``read_terminal`` then opens those folders only). ``compact`` trades one
-    shuffle for fewer and evenly sized files. Extra keyword values become leading partition
-    columns.
+    where each id is (``read_terminal`` then opens those folders only); on a local file system
+    the Python workers make its folders (``put_rows``). ``compact`` trades one shuffle for fewer
+    and evenly sized files. Extra keyword values become leading partition columns.
     """
     rows = to_error(done)
     if "finished_at" not in rows.columns:
@@ -69,19 +74,27 @@ def write_terminal(
     if batch is not None:
         writer = frame.write.mode("overwrite").option("partitionOverwriteMode", "static")
         place = f"{base}/batch={batch}"
+    indexed = index and batch is not None and not parts
+    local = local_path(done.sparkSession, place) if indexed else None
+    if local is not None:
+        _write_index(put_rows(frame, PARTITIONS, local), base, batch)
+        return
     writer.partitionBy(*parts, *PARTITIONS).json(place)
     if index:
-        if batch is None or parts:
+        if not indexed:
             raise ValueError("an index needs a batch, and no other leading partitions")
-        _write_index(done.sparkSession, base, batch)
+        # read back from what was written, once
+        written = done.sparkSession.read.schema(_schema()).json(place).select("id", *PARTITIONS)
+        _write_index(stored(written, "objects"), base, batch)
 
 
-def _write_index(spark: SparkSession, base: str, batch: str) -> None:
-    """Where the ids of a batch are, read back from what was written, in order of the ids: the
-    bounds that parquet keeps then skip most of an index for one id or one prefix."""
-    stored = spark.read.schema(_schema()).json(f"{base}/batch={batch}").select("id", *PARTITIONS)
+def _write_index(written: DataFrame, base: str, batch: str) -> None:
+    """Where the ids of a batch are, in order of the ids: the bounds that parquet keeps then skip
+    most of an index for one id or one prefix."""
+    # an empty name is a folder without a value, as it is read back
+    keys = [F.nullif(k, F.lit("")).alias(k) if k in ("terminal", "last_actor") else k for k in PARTITIONS]
     # ids that start alike stay together
-    spread = stored.repartitionByRange("id").sortWithinPartitions("id")
+    spread = written.select("id", *keys).repartitionByRange("id").sortWithinPartitions("id")
     spread.write.mode("overwrite").parquet(f"{base}{INDEX}/batch={batch}")
 
 
@@ -97,11 +110,10 @@ def read_terminal(
     """Stored terminal rows, of one id, of ids with a prefix, or of one terminal.
 
     With ``index`` (written with the rows) ids are looked up first, and only the folders that
-    hold some are opened: they are named in the plan up to ``FOLDERS`` of them, and joined, so
-    that Spark prunes them while it runs, beyond.
+    hold some are listed and opened: they are named in the plan up to ``FOLDERS`` of them. Beyond,
+    the days that hold some are listed (all days above ``FOLDERS`` of them), and the folders are
+    joined, so that Spark prunes them while it runs.
     """
-    schema = _schema()
-    rows = spark.read.schema(schema.add("batch", "string") if index else schema).json(base)
     wanted = []
     if terminal is not None:
         wanted.append(F.col("terminal") == terminal)
@@ -110,22 +122,42 @@ def read_terminal(
     if prefix is not None:
         wanted.append(F.col("id").startswith(prefix))
     if index and (id is not None or prefix is not None):
-        rows = _in_folders(spark, rows, base, wanted).drop("batch")
+        rows = _in_folders(spark, base, wanted).drop("batch")
+    else:
+        schema = _schema()
+        rows = spark.read.schema(schema.add("batch", "string") if index else schema).json(base)
     for test in wanted:
         rows = rows.filter(test)
     return rows
 
 
-def _in_folders(spark: SparkSession, rows: DataFrame, base: str, wanted: list[Column]) -> DataFrame:
-    """The rows of the folders in which the index has wanted ids."""
-    found = spark.read.parquet(f"{base}{INDEX}").withColumn("batch", F.col("batch").cast("string"))
+def _in_folders(spark: SparkSession, base: str, wanted: list[Column]) -> DataFrame:
+    """The rows of the folders in which the index has wanted ids; no other folder is listed."""
+    types = _schema().add("batch", "string")
+    found = spark.read.schema(T.StructType([types[k] for k in ("id", *KEYS)])).parquet(f"{base}{INDEX}")
     for test in wanted:
         found = found.filter(test)
-    keys = ("batch", *PARTITIONS)
-    folders = found.select(*keys).distinct()
+    folders = found.select(*KEYS).distinct()
     few = folders.limit(FOLDERS + 1).collect()
     if len(few) > FOLDERS:
-        return rows.join(folders, list(keys), "left_semi")
+        days = folders.select(*DAY).distinct().limit(FOLDERS + 1).collect()
+        rows = _open(spark, base, DAY, days if len(days) <= FOLDERS else [])
+        return rows.join(folders, list(KEYS), "left_semi")
+    if not few:
+        return spark.createDataFrame([], types)
+    rows = _open(spark, base, KEYS, few)
     # one flat list of folders: a chain of conditions would be as deep as there are folders
-    each = [F.struct(*[F.lit(r[k]).cast(rows.schema[k].dataType).alias(k) for k in keys]) for r in few]
-    return rows.filter(F.struct(*keys).isin(each)) if few else rows.filter(F.lit(False))
+    each = [F.struct(*[F.lit(r[k]).cast(types[k].dataType).alias(k) for k in KEYS]) for r in few]
+    return rows.filter(F.struct(*KEYS).isin(each))
+
+
+def _open(spark: SparkSession, base: str, keys: tuple[str, ...], few: list[Row]) -> DataFrame:
+    """The rows below some folders, or all rows without any."""
+    reader = spark.read.schema(_schema().add("batch", "string"))
+    try:
+        named = [f"{base}/{folder_name(keys, r)}" for r in few]
+        return reader.option("basePath", base).json(named or base)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return reader.json(base)  # an index older than its rows names folders that are gone
